@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldsong.llm.bpe import ranks_file, token_digests
 from fieldsong.llm.common import table
+from fieldsong.llm.media import media_digests
 from fieldsong.llm.mixing import taken_per_document
 from fieldsong.llm.sharding import shard_documents
+from fieldsong.llm.simhash import hex_of, near_duplicates
 from fieldsong.llm.url_rules import filter_pages
 
 
@@ -16,6 +20,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_per_document(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "place")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of(found.fp).alias("fingerprint"), "component_id")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = ranks_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_pages(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "host", "path", "rule", "verdict")
 
@@ -24,7 +42,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op9_url_filters, op10_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_media, op4_simhash, op8_bpe, op9_url_filters, op10_shards)}
 
 ORACLE: dict[str, str] = {
     "op9_url_filters": r"""
