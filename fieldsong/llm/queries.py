@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldsong.llm.bpe import ranks_file, token_digests
 from fieldsong.llm.common import table
+from fieldsong.llm.language import fit, identify, training_rows
 from fieldsong.llm.media import media_digests
 from fieldsong.llm.mixing import taken_per_document
+from fieldsong.llm.quality import classify, learn
 from fieldsong.llm.sharding import shard_documents
 from fieldsong.llm.simhash import hex_of, near_duplicates
 from fieldsong.llm.url_rules import filter_pages
+from fieldsong.llm.vectors import nearest
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +27,25 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(training_rows(docs)))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(found.fp).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = ranks_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -42,7 +59,9 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_media, op4_simhash, op8_bpe, op9_url_filters, op10_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_mix_sources, op2_media, op3_language, op4_simhash, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards,
+)}
 
 ORACLE: dict[str, str] = {
     "op9_url_filters": r"""
