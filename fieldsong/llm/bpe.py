@@ -1,10 +1,11 @@
 """Byte-level BPE: encoding by merge replay over the words of a whole block of texts, and decoding.
 
 A task takes its texts in blocks. The distinct pretokens of a block stand end to end in one long row of bytes. An
-inverted index maps each merge's rank to the positions where that merge can be made; ranks are drawn lowest
-first, each is applied at all its positions at once, and only the pairs to the left and right of a merge
-change. Where a merge makes a pair of a lower rank than its own, its word's other positions wait until that
-lower rank has been drawn, so that each word sees the merges in the order in which it alone would see them.
+inverted index maps the pairs that merge, by the rank of the merge in bands, to the positions where they stand.
+The lowest band that is not empty is drawn; of each word's positions in it the one of lowest rank is merged, in
+all words at once, and only the pairs to the left and right of a merge change and are filed anew. A word's other
+positions wait, and new pairs may fall in a lower band, which is then drawn first, so that each word sees the
+merges in the order of rank in which it alone would see them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that make a block, and entries that a worker's table of pieces holds before it starts afresh.
 BLOCK_BYTES = 8 << 20
 TABLE_ENTRIES = 400_000
+#: Words that go through the merges together.
+REPLAYED = 40_000
+#: The index files places by bands of ranks; a band ends before each of these.
+BANDS = np.array([32, 128, 512, 1024, 2048, 4096, 8192, 16384, 32768])
 NONE = 1 << 30
 
 #: A space between two characters that are not white space always starts a pretoken (white space here in the
@@ -46,17 +50,19 @@ class Merges:
         self.token = {n: b for b, n in ranks.items()}
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary has no token for byte {missing[0]}")
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # Every way in which two tokens make a third, as sorted keys with the third's rank.
-        made = sorted((ranks[w[:k]] << 32 | ranks[w[k:]], n) for w, n in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks)
-        self.pair_keys = np.array([k for k, _ in made] + [1 << 62], dtype=np.int64)
-        self.pair_ranks = np.array([n for _, n in made] + [NONE], dtype=np.int64)
+        self.base = max(ranks.values()) + 1
+        kind = np.uint32 if self.base <= 1 << 16 else np.int64
+        made = sorted((ranks[w[:k]] * self.base + ranks[w[k:]], n) for w, n in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks)
+        self.pair_keys = np.array([k for k, _ in made] + [np.iinfo(kind).max], dtype=kind)
+        self.pair_ranks = np.array([n for _, n in made] + [NONE], dtype=np.int32)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of the tokens that pairs make, NONE where they make none."""
-        keys = a << 32 | b
+        keys = a.astype(self.pair_keys.dtype) * self.pair_keys.dtype.type(self.base) + b.astype(self.pair_keys.dtype)
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
 
@@ -64,63 +70,79 @@ class Merges:
         """The ids of each word, four bytes an id. All words go through the merges together."""
         if not words:
             return []
-        flat = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ids = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        word_of = np.repeat(np.arange(len(words)), lengths)
-        ids, left, right = flat, np.arange(-1, len(flat) - 1), np.arange(1, len(flat) + 1)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        left, right = np.arange(-1, len(ids) - 1, dtype=np.int32), np.arange(1, len(ids) + 1, dtype=np.int32)
         left[starts], right[ends - 1] = -1, -1
-        rank = np.full(len(flat), NONE, dtype=np.int64)
-        rank[:-1] = self.merged(flat[:-1], flat[1:])
+        rank = np.full(len(ids), NONE, dtype=np.int32)
+        rank[:-1] = self.merged(ids[:-1], ids[1:])
         rank[ends - 1] = NONE
-        places = np.flatnonzero(rank < NONE)
-        places = places[np.argsort(rank[places], kind="stable")]
-        values, cuts = np.unique(rank[places], return_index=True)
-        index = {r: p.tolist() for r, p in zip(values.tolist(), np.split(places, cuts[1:]))}
-        queue = list(index)
-        heapify(queue)
-        while queue:
-            r = heappop(queue)
-            at = np.array(index.pop(r))
-            at = at[rank[at] == r]
-            if len(at) > 1:
-                at.sort()
-                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-                # A word's first place only; its others come up again, after any lower rank that this one opens.
-                again = word_of[at[1:]] == word_of[at[:-1]]
-                if again.any():
-                    index[r] = at[1:][again].tolist()
-                    heappush(queue, r)
-                    at = at[np.concatenate(([True], ~again))]
+        index: list[list[np.ndarray]] = [[] for _ in range(len(BANDS) + 1)]
+
+        def file(spots: np.ndarray, ranks: np.ndarray) -> None:
+            some = np.flatnonzero(ranks < NONE)
+            band = np.searchsorted(BANDS, ranks[some], side="right").astype(np.int8)
+            some = some[np.argsort(band, kind="stable")]
+            cuts = np.cumsum(np.bincount(band, minlength=len(index))).tolist()
+            for k, (x, y) in enumerate(zip([0, *cuts], cuts)):
+                if x < y:
+                    index[k].append(spots[some[x:y]])
+
+        file(np.arange(len(ids), dtype=np.int32), rank)
+        while (k := next((k for k, x in enumerate(index) if x), None)) is not None:
+            at, index[k] = np.sort(np.concatenate(index[k])), []
+            own = rank[at]
+            good = np.searchsorted(BANDS, own, side="right") == k
+            good[1:] &= at[1:] != at[:-1]
+            good &= own < NONE
+            at, own = at[good], own[good]
             if not len(at):
                 continue
-            gone = right[at]
-            after, before = right[gone], left[at]
+            # Of each word's places the one of lowest rank, and the leftmost of these; the others come up again.
+            word = word_of[at]
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            lowest = np.repeat(np.minimum.reduceat(own, heads), np.diff(heads, append=len(at)))
+            first = np.flatnonzero(own == lowest)
+            first = first[np.flatnonzero(np.diff(word[first], prepend=-1))]
+            if len(first) < len(at):
+                rest = np.ones(len(at), bool)
+                rest[first] = False
+                index[k].append(at[rest])
+            at, r = at[first], own[first]
+            gone, before = right[at], left[at]
+            after = right[gone]
             ids[at], ids[gone], rank[at], rank[gone], right[at] = r, -1, NONE, NONE, after
             has, had = after >= 0, before >= 0
-            left[after[has]] = at[has]
-            spots = np.concatenate((at[has], before[had]))
-            fresh = self.merged(ids[spots], ids[right[spots]])
+            kept, r_after, r_before = at[has], r[has], r[had]
+            after, before = after[has], before[had]
+            left[after] = kept
+            fresh = np.concatenate((self.merged(r_after, ids[after]), self.merged(ids[before], r_before)))
+            spots = np.concatenate((kept, before))
             rank[spots] = fresh
-            some = fresh < NONE
-            for spot, n in zip(spots[some].tolist(), fresh[some].tolist()):
-                if n in index:
-                    index[n].append(spot)
-                else:
-                    index[n] = [spot]
-                    heappush(queue, n)
+            file(spots, fresh)
         kept = ids >= 0
         upto = (np.cumsum(np.add.reduceat(kept, starts)) * 4).tolist()
         packed = ids[kept].astype("<i4").tobytes()
         return [packed[a:b] for a, b in zip([0, *upto], upto)]
 
+    def pretokens(self, piece: str) -> list[str]:
+        """As the pattern splits it. A space and letters are one pretoken in any case, with or without a stop or comma."""
+        body = piece[1:]
+        if body and piece[0] == " ":
+            if body.isalpha():
+                return [piece]
+            if body[-1] in ".,!?;:" and body[:-1].isalpha():
+                return [piece[:-1], piece[-1]]
+        return self.split(piece)
+
     def learn(self, pieces: set[str]) -> None:
         """Fill the table of pieces with the ids of these, four bytes an id."""
         if len(self.pieces) > TABLE_ENTRIES:
             self.pieces, self.words = {}, {}
-        # A space and letters are one pretoken in any case.
-        new = {x: [x] if x[1:].isalpha() and x[0] == " " else self.split(x) for x in pieces if x not in self.pieces}
+        new = {x: self.pretokens(x) for x in pieces if x not in self.pieces}
         todo = {}
         for w in set().union(*new.values()):
             if w not in self.words:
@@ -129,8 +151,10 @@ class Merges:
                     self.words[w] = n.to_bytes(4, "little")
                 else:
                     todo[w] = b
-        for w, ids in zip(todo, self.replay(list(todo.values()))):
-            self.words[w] = ids
+        words = list(todo.values())
+        for a in range(0, len(words), REPLAYED):
+            words[a : a + REPLAYED] = self.replay(words[a : a + REPLAYED])
+        self.words.update(zip(todo, words))
         known = self.words
         for x, words in new.items():
             self.pieces[x] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
@@ -198,7 +222,7 @@ def decoder(spark: SparkSession, ranks: bytes, pattern: str):
 
     def decode(ids: pa.Array) -> pa.Array:
         merges = merges_of(sent.value, pattern)
-        return pa.array([None if x.as_py() is None else merges.decode(x.values.to_numpy(zero_copy_only=False)) for x in ids], pa.binary())
+        return pa.array([merges.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in ids], pa.binary())
 
     return F.arrow_udf(decode, "binary")
 
