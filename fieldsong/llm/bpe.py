@@ -13,9 +13,11 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that make a block, and entries that a worker's table of pieces holds before it starts afresh.
 BLOCK_BYTES = 8 << 20
 TABLE_ENTRIES = 400_000
+#: Texts decoded at once.
+DECODED = 256
 #: Words that go through the merges together.
 REPLAYED = 40_000
 #: The index files places by bands of ranks; a band ends before each of these.
@@ -57,8 +61,14 @@ class Merges:
         made = sorted((ranks[w[:k]] * self.base + ranks[w[k:]], n) for w, n in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks)
         self.pair_keys = np.array([k for k, _ in made] + [np.iinfo(kind).max], dtype=kind)
         self.pair_ranks = np.array([n for _, n in made] + [NONE], dtype=np.int32)
+        # All tokens' bytes end to end, for decoding.
+        tokens = [self.token.get(n, b"") for n in range(self.base)]
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.places, self.letters = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        # Ids of pieces after a space, of those that begin a text, and of pretokens.
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of the tokens that pairs make, NONE where they make none."""
@@ -128,56 +138,56 @@ class Merges:
         packed = ids[kept].astype("<i4").tobytes()
         return [packed[a:b] for a, b in zip([0, *upto], upto)]
 
-    def pretokens(self, piece: str) -> list[str]:
+    def pretokens(self, piece: str, spaced: bool) -> list[bytes]:
         """As the pattern splits it. A space and letters are one pretoken in any case, with or without a stop or comma."""
-        body = piece[1:]
-        if body and piece[0] == " ":
-            if body.isalpha():
-                return [piece]
-            if body[-1] in ".,!?;:" and body[:-1].isalpha():
-                return [piece[:-1], piece[-1]]
-        return self.split(piece)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Fill the table of pieces with the ids of these, four bytes an id."""
+        if spaced:
+            if piece.isalpha():
+                return [b" " + piece.encode()]
+            if piece[-1] in ".,!?;:" and piece[:-1].isalpha():
+                return [b" " + piece[:-1].encode(), piece[-1].encode()]
+            piece = f" {piece}"
+        return [w.encode() for w in self.split(piece)]
+
+    def learn(self, pieces: set[str], spaced: bool) -> dict[str, bytes]:
+        """The table of pieces with the ids of these filled in, four bytes an id."""
         if len(self.pieces) > TABLE_ENTRIES:
-            self.pieces, self.words = {}, {}
-        new = {x: self.pretokens(x) for x in pieces if x not in self.pieces}
-        todo = {}
-        for w in set().union(*new.values()):
-            if w not in self.words:
-                b = w.encode()
-                if (n := self.ranks.get(b)) is not None:
-                    self.words[w] = n.to_bytes(4, "little")
-                else:
-                    todo[w] = b
-        words = list(todo.values())
-        for a in range(0, len(words), REPLAYED):
-            words[a : a + REPLAYED] = self.replay(words[a : a + REPLAYED])
-        self.words.update(zip(todo, words))
+            self.pieces, self.heads, self.words = {}, {}, {}
+        table = self.pieces if spaced else self.heads
+        new = {x: self.pretokens(x, spaced) for x in pieces if x not in table}
+        todo = []
+        for w in set(chain.from_iterable(new.values())).difference(self.words):
+            if (n := self.ranks.get(w)) is not None:
+                self.words[w] = n.to_bytes(4, "little")
+            else:
+                todo.append(w)
+        for a in range(0, len(todo), REPLAYED):
+            part = todo[a : a + REPLAYED]
+            self.words.update(zip(part, self.replay(part)))
         known = self.words
         for x, words in new.items():
-            self.pieces[x] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            table[x] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        return table
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes an id. Texts are cut twice, so that no more than distinct pieces are held."""
-        rest, heads = set(), set()
-        for t in texts:
-            head, *others = cut(t)
-            heads.add(head)
-            rest.update(others)
+        """The ids of each text, four bytes an id."""
+        parts = [cut(t) for t in texts]
         # Every piece but a text's first has a space before it.
-        spaced = {x: f" {x}" for x in rest}
-        self.learn(heads.union(spaced.values()))
-        table = {x: self.pieces[y] for x, y in spaced.items()}
-        out = []
-        for t in texts:
-            head, *others = cut(t)
-            out.append(self.pieces[head] + b"".join(map(table.__getitem__, others)))
-        return out
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+        heads = [x[0] for x in parts]
+        rest: set[str] = set()
+        for x in parts:
+            x[0] = x[-1] if len(x) > 1 else None
+            rest.update(x)
+        rest.discard(None)
+        spaced = self.learn(rest, True).__getitem__
+        first = self.learn(set(heads), False)
+        return [first[head] + b"".join(map(spaced, x[1:])) for head, x in zip(heads, parts)]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and how many of them each id has."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.places[ids] - (ends - sizes), sizes)
+        return self.letters[at], sizes
 
 
 @lru_cache(maxsize=2)
@@ -222,7 +232,15 @@ def decoder(spark: SparkSession, ranks: bytes, pattern: str):
 
     def decode(ids: pa.Array) -> pa.Array:
         merges = merges_of(sent.value, pattern)
-        return pa.array([merges.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in ids], pa.binary())
+        marks = ids.offsets.to_numpy()
+        ends, pieces = [0], []
+        for a in range(0, len(ids), DECODED):
+            rows = marks[a : a + DECODED + 1]
+            letters, sizes = merges.decode(ids.values[rows[0] : rows[-1]].to_numpy(zero_copy_only=False))
+            pieces.append(letters.tobytes())
+            ends += (np.concatenate([[0], np.cumsum(sizes)])[rows[1:] - rows[0]] + ends[-1]).tolist()
+        whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.array(ends, dtype=np.int64)), pa.py_buffer(b"".join(pieces))])
+        return pc.if_else(ids.is_valid(), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
 
     return F.arrow_udf(decode, "binary")
 

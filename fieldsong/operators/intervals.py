@@ -112,21 +112,19 @@ def clip_to_page(df: DataFrame, page_start: Column, page_end: Column) -> DataFra
 def overlap_counts(df: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     """df with `overlaps`: how many neighbours an interval overlaps, going back and forth in time until one does not.
 
-    The walk stops at the first neighbour that does not overlap, so a long interval further off is not seen. Going
-    back it stops at the last row whose end is not after the start; going on at the first whose start is not
-    before the end, and starts are sorted, so the second is a range.
+    The walk stops at the first neighbour that does not overlap, so a long interval further off is not seen. Both
+    walks are read off one ordered list of starts and ends: going back, the last interval that had ended when this
+    one starts; going on, how many had started when it ends.
     """
-    ordered = Window.partitionBy(*by).orderBy("s", order)
-    df = df.withColumn("pos", F.row_number().over(ordered))
-    all_rows = Window.partitionBy(*by)
-    rows = df.withColumn("peers", F.array_sort(F.collect_list(F.struct("pos", "s", "e")).over(all_rows)))
-    step = lambda back: lambda acc, x: F.when(acc["go"] & back(x), F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("go")))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("go"))
-    behind = F.reverse(F.slice("peers", F.lit(1), F.col("pos") - 1))
-    ahead = F.slice("peers", F.col("pos") + 1, F.size("peers"))
-    back = F.aggregate(behind, zero, step(lambda x: x["e"] > F.col("s")), lambda acc: acc["n"])
-    on = F.aggregate(ahead, zero, step(lambda x: x["s"] < F.col("e")), lambda acc: acc["n"])
-    return rows.withColumn("overlaps", back + on).drop("peers", "pos")
+    df = df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("s", order)))
+    marks = F.array(F.struct(F.col("s").alias("t"), F.lit(0).alias("is_end")), F.struct(F.col("e").alias("t"), F.lit(1).alias("is_end")))
+    marks = df.select(*by, "pos", F.explode(marks).alias("m")).select(*by, "pos", "m.*")
+    far = Window.partitionBy(*by).orderBy("t", "pos", "is_end").rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.select(*by, "pos", "is_end", F.max(F.when(F.col("is_end") == 1, F.col("pos"))).over(far).alias("ended"), F.sum(1 - F.col("is_end")).over(far).alias("started"))
+    back = F.max(F.when(F.col("is_end") == 0, F.col("pos") - 1 - F.coalesce("ended", F.lit(0))))
+    on = F.max(F.when(F.col("is_end") == 1, F.col("started") - F.col("pos")))
+    counts = seen.groupBy(*by, "pos").agg((F.greatest(back, F.lit(0)) + on).cast("long").alias("overlaps"))
+    return df.join(counts, [*by, "pos"]).drop("pos")
 
 
 def frame_pages(df: DataFrame, index: str, page: int, overlap: int = 0) -> DataFrame:

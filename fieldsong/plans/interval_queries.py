@@ -224,6 +224,9 @@ r AS (SELECT rec, day, day - row_number() OVER (PARTITION BY rec ORDER BY day) A
 SELECT rec, CAST(min(day) AS DOUBLE) AS s, max(day) + 1.0::DOUBLE AS e FROM r GROUP BY rec, run""",
     "active_length": """WITH f AS (SELECT user_id, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS flag, sum(CASE WHEN value >= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
 r AS (SELECT user_id, run, sum(flag) AS n FROM f GROUP BY user_id, run) SELECT user_id, CAST(max(n) AS DOUBLE) * 0.5 AS active FROM r GROUP BY user_id""",
+    "overlap_count": f"""WITH {DET}, p AS (SELECT *, row_number() OVER (PARTITION BY rec, species ORDER BY s, ord) AS pos FROM det)
+SELECT i.ord, i.rec, i.species, i.pos - 1 - coalesce((SELECT max(j.pos) FROM p j WHERE j.rec = i.rec AND j.species = i.species AND j.pos < i.pos AND j.e <= i.s), 0)
+ + (SELECT coalesce(min(j.pos) FILTER (j.s >= i.e), max(j.pos) + 1) - i.pos - 1 FROM p j WHERE j.rec = i.rec AND j.species = i.species AND j.pos >= i.pos) AS overlaps FROM p i""",
     "clip_to_page": f"WITH {DET} SELECT ord, CAST(floor((greatest(s, 1704844800.0)) * 1000) AS BIGINT) AS s, CAST(floor((least(e, 1704931200.0)) * 1000) AS BIGINT) AS e FROM det WHERE e > 1704844800.0 AND s < 1704931200.0",
     "union_segments": f"""WITH {DET}, u AS (SELECT rec, species, s, e, cert = 50 AS side FROM det WHERE cert IN (50, 100)),
 o AS (SELECT *, min(side) OVER (PARTITION BY rec, species) = max(side) OVER (PARTITION BY rec, species) AS alone FROM u),
