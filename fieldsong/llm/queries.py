@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldsong.llm.bpe import ranks_file, token_digests
+from fieldsong.llm.chat import paired_by_opening
 from fieldsong.llm.common import table
 from fieldsong.llm.language import fit, identify, training_rows
 from fieldsong.llm.media import media_digests
@@ -37,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(found.fp).alias("fingerprint"), "component_id")
 
 
+def op5_preference_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_by_opening(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -60,10 +65,42 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mix_sources, op2_media, op3_language, op4_simhash, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards,
+    op1_mix_sources, op2_media, op3_language, op4_simhash, op5_preference_chats, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards,
 )}
 
 ORACLE: dict[str, str] = {
+    "op5_preference_chats": r"""
+WITH entries AS (
+  SELECT conv_id AS conv, turn AS place, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS nth
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+), seats AS (
+  SELECT conv, row_number() OVER (ORDER BY md5(role || chr(10) || text), conv) - 1 AS seat
+  FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY conv ORDER BY place, nth) = 1)
+), pairs AS (
+  SELECT seat // 2 AS pair_id, max(conv) FILTER (seat % 2 = 0) AS chosen_id, max(conv) FILTER (seat % 2 = 1) AS rejected_id FROM seats GROUP BY seat // 2
+), laid AS (
+  SELECT seat // 2 AS pair_id, CASE WHEN seat % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, e.* FROM seats JOIN entries e USING (conv)
+), apart AS (
+  SELECT pair_id, min({'place': place, 'nth': nth}) AS differs
+  FROM (SELECT pair_id, place, nth FROM laid GROUP BY ALL HAVING count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text)) GROUP BY pair_id
+), shown AS (
+  SELECT laid.*, (differs IS NULL OR {'place': place, 'nth': nth} < differs) AS shared,
+         '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head, replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM laid LEFT JOIN apart USING (pair_id)
+), runs AS (
+  SELECT pair_id, place, nth, place // 512 AS part, CASE WHEN shared THEN 'prompt' ELSE side END AS kind, head || body AS piece,
+         CASE WHEN role = 'assistant' THEN length(head) || ',' || length(body) ELSE (length(head) + length(body)) || ',0' END AS run
+  FROM shown WHERE NOT (shared AND side = 'rejected')
+), whole AS (
+  SELECT pair_id, part, count(*) FILTER (kind = 'prompt') AS prompt_turns,
+         string_agg(piece, '' ORDER BY place, nth) FILTER (kind = 'prompt') AS prompt,
+         string_agg(piece, '' ORDER BY place, nth) FILTER (kind = 'chosen') AS chosen, string_agg(run, ',' ORDER BY place, nth) FILTER (kind = 'chosen') AS chosen_mask,
+         string_agg(piece, '' ORDER BY place, nth) FILTER (kind = 'rejected') AS rejected, string_agg(run, ',' ORDER BY place, nth) FILTER (kind = 'rejected') AS rejected_mask
+  FROM runs GROUP BY pair_id, part
+)
+SELECT pair_id, coalesce(part, 0) AS part, chosen_id, rejected_id, coalesce(prompt_turns, 0) AS prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
+       coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected, '') AS rejected, coalesce(rejected_mask, '') AS rejected_mask
+FROM pairs LEFT JOIN whole USING (pair_id)""",
     "op9_url_filters": r"""
 WITH parts AS (
   SELECT page_id, coalesce(position('://' IN url), 0) AS mark, url FROM pages
