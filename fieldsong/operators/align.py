@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldsong.sources.scratch import written
+
 
 def _overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.least(e1, e2) - F.greatest(s1, s2)
@@ -88,7 +90,7 @@ def recorder_groups(edges: DataFrame, rounds: int = 32) -> DataFrame:
         offers = both.join(now, both.b == now.recorder).select(F.col("a").alias("recorder"), "root", (now["shift"] + both["shift"]).alias("shift"), (F.col("steps") + 1).alias("steps"), F.col("b").alias("via"))
         all_ = now.select("*", F.lit(None).cast(dict(edges.dtypes)["b"]).alias("via")).unionByName(offers)
         best = Window.partitionBy("recorder").orderBy("root", "steps", F.col("via").asc_nulls_first())
-        new = all_.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "via").checkpoint()
+        new = written(all_.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "via"))
         if new.select("recorder", "root").exceptAll(now.select("recorder", "root")).isEmpty():
             return new.select("recorder", "root", "shift")
         now = new

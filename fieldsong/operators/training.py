@@ -59,7 +59,7 @@ def best_subset(hits: DataFrame, nodes: list[int], most: int = 6, price: float =
     2 ** len(nodes) of them, and sets are spread over tasks.
     """
     bit = {n: 1 << k for k, n in enumerate(nodes)}
-    mask = F.sum(F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in bit.items() for v in kv]), "node"), F.lit(0)))
+    mask = F.sum(F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in bit.items() for v in kv]), F.col("node")), F.lit(0)))
     seen = hits.groupBy("threshold", "file_id", "win").agg(F.max("present").alias("present"), mask.alias("mask"))
     counts = seen.groupBy("threshold", "mask").agg(F.sum("present").alias("pos"), F.sum(1 - F.col("present")).alias("neg"))
     sets = [(sum(bit[n] for n in c), list(c)) for k in range(1, most + 1) for c in combinations(nodes, k)]
