@@ -121,14 +121,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
     key, size, turn = (fresh(docs, c) for c in ("mix_key", "mix_size", "mix_turn"))
+    m_key, m_size, m_turn, m_taken = (fresh(docs, c) for c in ("took_key", "took_size", "took_turn", "took_words"))
     no_id = F.lit(-(2**63))  # stands for a null doc_id
     rows = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), no_id)).withColumn(size, words_in(F.col(text)))
     rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key, size).orderBy(F.xxhash64(text))))
-    took = mix(docs, **how).where("taken > 0").select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("m_key"), F.col("size").alias("m_size"), "copy", "taken")
-    took = took.withColumn("m_turn", F.row_number().over(Window.partitionBy("m_key", "m_size", "copy").orderBy(F.desc("taken"))))
-    both = rows.join(took, (F.col(key) == F.col("m_key")) & (F.col(size) == F.col("m_size")) & (F.col(turn) == F.col("m_turn")))
-    short = F.col("taken") < F.col(size)
-    cut = F.when(short, _first_words(F.when(short, F.col(text)), "taken")).otherwise(F.col(text))
+    took = mix(docs, **how).where("taken > 0")
+    nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("long"), no_id), "size", "copy").orderBy(F.desc("taken")))
+    took = took.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias(m_key), F.col("size").alias(m_size), nth.alias(m_turn), F.col("taken").alias(m_taken))
+    both = rows.join(took, (F.col(key) == F.col(m_key)) & (F.col(size) == F.col(m_size)) & (F.col(turn) == F.col(m_turn)))
+    short = F.col(m_taken) < F.col(size)
+    cut = F.when(short, _first_words(F.when(short, F.col(text)), m_taken)).otherwise(F.col(text))
     return both.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
