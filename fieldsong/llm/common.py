@@ -42,6 +42,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def first_of_each(df: DataFrame, by: str, order: list[str], n: int, cells: int = 256) -> DataFrame:
+    """The first n rows of df of each value of `by`, in order (the first of which is a hash: it deals a value's rows out).
+
+    A value's rows are cut to n in each of its cells first, so that no task sees more than cells * n of one value.
+    """
+    cell, nth = fresh(df, "first_cell"), fresh(df, "first_nth")
+    dealt = df.withColumn(cell, F.pmod(F.col(order[0]), F.lit(cells)))
+    some = dealt.withColumn(nth, F.row_number().over(Window.partitionBy(by, cell).orderBy(*order))).where(F.col(nth) <= n).drop(nth, cell)
+    return some.withColumn(nth, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(nth) <= n).drop(nth)
+
+
 def numbered(df: DataFrame, order: list[Column], parts: int, number: str, carry: dict[str, Column] | None = None) -> DataFrame:
     """Number df's rows from 0 in a global sort order, and sum columns up to and with each row.
 

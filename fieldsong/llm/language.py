@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from fieldsong.llm.common import first_of_each
 
 #: Labelled documents a language, and words of one document, that the model is fitted on at most.
 FIT_DOCS, FIT_WORDS = 400, 96
@@ -199,13 +200,8 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """(lang, words) of at most FIT_DOCS labelled documents a language, FIT_WORDS words of each, the same each time."""
     spot = F.xxhash64(F.lit(3), F.col(doc_id))
     pool = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    picked = (
-        pool.select(F.col(doc_id).alias("p_id"), F.col(lang).alias("p_lang"), spot.alias("spot"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("p_lang").orderBy("spot", "p_id")))
-        .where(F.col("nth") <= FIT_DOCS)
-        .select("p_id")
-        .distinct()
-    )
+    named = pool.select(F.col(doc_id).alias("p_id"), F.col(lang).alias("p_lang"), spot.alias("spot"))
+    picked = first_of_each(named, "p_lang", ["spot", "p_id"], FIT_DOCS).select("p_id").distinct()
 
     def some(texts: pa.Array, spots: pa.Array) -> pa.Array:
         out = []

@@ -3,7 +3,8 @@
 Documents become latent-semantic vectors: counts of pairs of neighbouring character classes and of repeated
 words, damped and weighted by rarity, are projected on the leading singular vectors of the labelled sample. The
 sample's vectors go to every task; a block of documents is multiplied with all of them, and the nearest ones'
-labels are weighted by their cosine.
+labels are weighted by their cosine. The votes are raised to a power, learned from the votes that the labelled
+documents get from each other, so that the threshold falls where labels part best.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from fieldsong.llm.common import first_of_each
 from fieldsong.llm.language import held_out
 
 #: Labelled documents of each label that the model is fitted on, at most.
@@ -47,6 +48,7 @@ class Model(NamedTuple):
     labels: np.ndarray
     shares: np.ndarray  # documents that each vector stands for
     prior: float
+    power: float  # scores are raised to it, so that THRESHOLD parts the labels best
 
 
 def terms_of(data: bytes) -> np.ndarray:
@@ -96,19 +98,39 @@ def leading(y: np.ndarray, n: int, rounds: int = 4, seed: int = 1) -> np.ndarray
 def fit(x: np.ndarray, labels: np.ndarray, totals: dict[int, int]) -> Model:
     """x: damped terms of labelled documents; totals: how many documents of each label there are in all."""
     if not len(x):
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, np.zeros(0), 0.5)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, np.zeros(0), 0.5, 1.0)
     rarity = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     y = x * rarity
     axes = leading(y, DIMENSIONS)
     shares = np.array([totals[int(k)] / (labels == k).sum() for k in labels])
-    return Model(rarity, axes, project(x, rarity, axes), labels, shares, float((labels * shares).sum() / shares.sum()))
+    plain = Model(rarity, axes, project(x, rarity, axes), labels, shares, float((labels * shares).sum() / shares.sum()), 1.0)
+    own = np.concatenate([voted(plain, plain.vectors[a : a + BLOCK], np.arange(a, min(a + BLOCK, len(x)))) for a in range(0, len(x), BLOCK)])
+    return plain._replace(power=float(np.log(THRESHOLD) / np.log(parting(own, labels, shares))))
+
+
+def parting(scores: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> float:
+    """The score, 0.05 to 0.95, that parts the labels with the least weight on the wrong side; the middle of its gap."""
+    order = np.argsort(scores, kind="stable")
+    s, good = scores[order], labels[order] == 1
+    w = shares[order]
+    wrong = np.concatenate([[0.0], np.cumsum(np.where(good, w, 0))]) + np.concatenate([np.cumsum(np.where(good, 0, w)[::-1])[::-1], [0.0]])
+    edges = np.concatenate([[0.0], s, [1.0]])
+    gap = np.where(np.diff(edges) > 0, np.diff(edges), -1.0)
+    best = np.lexsort((-gap, np.where(gap > 0, wrong, np.inf)))[0]
+    return float(np.clip((edges[best] + edges[best + 1]) / 2, 0.05, 0.95))
 
 
 def score_block(model: Model, x: np.ndarray) -> np.ndarray:
     if not len(model.vectors):
         return np.full(len(x), model.prior)
-    v = project(x, model.weights, model.axes)
+    return voted(model, project(x, model.weights, model.axes)) ** model.power
+
+
+def voted(model: Model, v: np.ndarray, leave: np.ndarray | None = None) -> np.ndarray:
+    """The neighbours' votes on unit vectors v; leave: the labelled document that has no vote on each."""
     near = v @ model.vectors.T
+    if leave is not None:
+        near[np.arange(len(v)), leave] = -1
     k = min(NEIGHBOURS, near.shape[1])
     top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
     weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) * model.shares[top]
@@ -142,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id).alias("d_id"))
     pool = known.join(ids, F.col("l_id") == F.col("d_id"), "left_semi")
     totals = {r.label: r.n for r in pool.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = pool.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(spot, "l_id"))).where(F.col("nth") <= FIT_DOCS)
+    picked = first_of_each(pool.withColumn("spot", spot), "label", ["spot", "l_id"], FIT_DOCS).drop("spot")
 
     def terms(texts: pa.Array) -> pa.Array:
         return pa.array([damped(terms_of((t.as_py() or "").encode())[None])[0].tobytes() for t in texts], pa.binary())
