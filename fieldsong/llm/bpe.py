@@ -151,7 +151,7 @@ class Merges:
     def learn(self, pieces: set[str], spaced: bool) -> dict[str, bytes]:
         """The table of pieces with the ids of these filled in, four bytes an id."""
         if len(self.pieces) > TABLE_ENTRIES:
-            self.pieces, self.heads, self.words = {}, {}, {}
+            self.forget()
         table = self.pieces if spaced else self.heads
         new = {x: self.pretokens(x, spaced) for x in pieces if x not in table}
         todo = []
@@ -168,6 +168,10 @@ class Merges:
             table[x] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         return table
 
+    def forget(self) -> None:
+        """Drop the tables of pieces and words: workers live on between tasks, of other jobs too."""
+        self.pieces, self.heads, self.words = {}, {}, {}
+
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
         parts = [cut(t) for t in texts]
@@ -219,6 +223,7 @@ def encoder(spark: SparkSession, ranks: bytes, pattern: str):
                 out += merges.encode_block(block)
                 block, held = [], 0
         out += merges.encode_block(block)
+        merges.forget()
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
         flat = np.frombuffer(b"".join(out), dtype="<i4")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
