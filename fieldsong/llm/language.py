@@ -29,7 +29,7 @@ BUCKETS = 1 << 15
 LEXICON = 300
 GRAMS = (2, 3, 4)
 #: Characters of text labelled at once; a text of more than SEGMENT is labelled in parts of that size.
-BLOCK_CHARS, SEGMENT = 4 << 20, 1 << 20
+BLOCK_CHARS, SEGMENT = 2 << 20, 1 << 20
 NO_LETTERS = bytes(c for c in range(128) if not (chr(c).isalpha() or c == 32))
 UNKNOWN = "und"
 
