@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldsong.llm.common import numbered, written
 
@@ -28,11 +27,16 @@ def _clean(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit(OPENING), F.lit(BROKEN))
 
 
-def _entries(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    """conv, place (turn number; null ones come last), nth (of the rows with that number), role, text."""
+def _rows(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """conv, place (turn number; null ones come last), role, text."""
     rows = turns.select(F.col(conv_id).alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(LAST)).alias("place"), F.col(role).alias("role"), F.col(text).alias("text"))
-    tied = Window.partitionBy("conv", "place").orderBy("role", "text")
-    return rows.where(F.col("conv").isNotNull()).distinct().withColumn("nth", F.row_number().over(tied))
+    return rows.where(F.col("conv").isNotNull())
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """conv, place, nth (of the rows with that number, by role, then text), role, text: each once."""
+    held = rows.groupBy("conv", "place").agg(F.sort_array(F.collect_set(F.struct("role", "text"))).alias("said"))
+    return held.select("conv", "place", F.posexplode("said").alias("nth", "one")).select("conv", "place", "nth", "one.role", "one.text")
 
 
 def pair_by_opening(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -41,8 +45,9 @@ def pair_by_opening(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     Conversations that open alike stand side by side and are paired with each other; of a pair the first, by
     that order and then by conv_id, is the chosen one. With an odd number the last pair has no rejected one.
     """
-    first = F.min(F.struct("place", "nth", F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("opening")))
-    opened = _entries(turns, conv_id, turn, role, text).groupBy("conv").agg(first.alias("first")).select("conv", F.col("first.opening").alias("opening"))
+    first = _rows(turns, conv_id, turn, role, text).groupBy("conv").agg(F.min(F.struct("place", "role", "text")).alias("first"))
+    said = F.concat(F.coalesce("first.role", F.lit("")), F.lit("\n"), F.coalesce("first.text", F.lit("")))
+    opened = first.select("conv", F.md5(said).alias("opening"))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = numbered(opened, [F.col("opening"), F.col("conv")], parts, "seat")
     odd = F.col("seat") % 2 == 1
@@ -51,10 +56,11 @@ def pair_by_opening(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
 
 def preference_turns(turns: DataFrame, pairs: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """pair_id, place, nth, kind (prompt, chosen or rejected), head, body, learned: the pairs' turns rendered, one a row."""
+    """pair_id, chosen_id, rejected_id, place, nth, kind (prompt, chosen or rejected), head, body, learned: the pairs' turns rendered, one a row."""
     ids = F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv")))
-    sides = pairs.select("pair_id", F.explode(ids).alias("one")).select("pair_id", "one.side", F.col("one.conv").alias("s_conv"))
-    entries = _entries(turns, conv_id, turn, role, text)
+    own = ["pair_id", "chosen_id", "rejected_id"]
+    sides = pairs.select(*own, F.explode(ids).alias("one")).select(*own, "one.side", F.col("one.conv").alias("s_conv"))
+    entries = _entries(_rows(turns, conv_id, turn, role, text))
     laid = written(sides.join(entries, F.col("s_conv") == F.col("conv")).drop("s_conv", "conv"))
     said = F.sha2(F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}), 256)
     places = laid.groupBy("pair_id", "place", "nth").agg(F.count(F.lit(1)).alias("n"), F.min(said).alias("low"), F.max(said).alias("high"))
@@ -65,7 +71,7 @@ def preference_turns(turns: DataFrame, pairs: DataFrame, conv_id: str = "conv_id
     head = F.concat(F.lit(OPENING), _clean(F.col("role")), F.lit("|>\n"))
     body = F.concat(_clean(F.col("text")), F.lit("<|end|>\n"))
     learned = ~common & F.coalesce(F.col("role") == LEARNED_ROLE, F.lit(False))
-    return joined.where(~(common & (F.col("side") == "rejected"))).select("pair_id", "place", "nth", kind.alias("kind"), head.alias("head"), body.alias("body"), learned.alias("learned"))
+    return joined.where(~(common & (F.col("side") == "rejected"))).select(*own, "place", "nth", kind.alias("kind"), head.alias("head"), body.alias("body"), learned.alias("learned"))
 
 
 def _of_kind(kind: str) -> Column:
@@ -83,27 +89,23 @@ def preference_records(turns: DataFrame, pairs: DataFrame, conv_id: str = "conv_
     by role, then text; null turn numbers come last; null roles and texts are rendered as empty ones (but differ
     from them); rows with null conv_ids belong to no conversation. A side that is null or has no turns has an
     empty completion, and equal conversations are all prompt. A pair has a row for every part_turns turn
-    numbers that it uses (part: turn number divided by that, whole), and one with part 0 if it uses none;
-    the parts, in order, joined, make the whole. Empty tables give no rows. Columns of turns but the four are
+    numbers that it uses (part: turn number divided by that, whole), and always one with part 0; the parts, in
+    order, joined, make the whole. Empty tables give no rows. Columns of turns but the four are
     not read.
     """
+    own = ["pair_id", "chosen_id", "rejected_id"]
     rendered = preference_turns(turns, pairs, conv_id, turn, role, text)
+    blank = pairs.select(*own, F.lit(0).cast("long").alias("place"), F.lit(0).alias("nth"), F.lit("none").alias("kind"), F.lit("").alias("head"), F.lit("").alias("body"), F.lit(False).alias("learned"))
     piece = F.struct("place", "nth", "head", "body", "learned", "kind")
-    parts = rendered.groupBy(F.col("pair_id").alias("p_pair"), F.expr(f"place div {int(part_turns)}").alias("part")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    parts = rendered.unionByName(blank).groupBy(*own, F.expr(f"place div {int(part_turns)}").alias("part")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     of = {k: _of_kind(k) for k in ("prompt", "chosen", "rejected")}
     shown = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(x["head"], x["body"])), "")
     run = lambda x: F.when(x["learned"], F.array(F.length(x["head"]), F.length(x["body"]))).otherwise(F.array(F.length(x["head"]) + F.length(x["body"]), F.lit(0)))
     mask = lambda xs: F.flatten(F.transform(xs, run))
-    whole = parts.select(
-        "p_pair", "part", F.size(of["prompt"]).cast("long").alias("prompt_turns"), shown(of["prompt"]).alias("prompt"),
+    return parts.select(
+        "pair_id", "part", "chosen_id", "rejected_id", F.size(of["prompt"]).cast("long").alias("prompt_turns"), shown(of["prompt"]).alias("prompt"),
         shown(of["chosen"]).alias("chosen"), mask(of["chosen"]).alias("chosen_mask"), shown(of["rejected"]).alias("rejected"), mask(of["rejected"]).alias("rejected_mask"),
     )
-    none = F.array().cast("array<int>")
-    return pairs.join(whole, F.col("pair_id") == F.col("p_pair"), "left").select(
-        "pair_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "chosen_id", "rejected_id", F.coalesce("prompt_turns", F.lit(0)).cast("long").alias("prompt_turns"),
-        *[F.coalesce(c, F.lit("")).alias(c) for c in ("prompt", "chosen")], F.coalesce("chosen_mask", none).alias("chosen_mask"),
-        F.coalesce("rejected", F.lit("")).alias("rejected"), F.coalesce("rejected_mask", none).alias("rejected_mask"),
-    )
 
 
 def paired_by_opening(turns: DataFrame) -> DataFrame:
