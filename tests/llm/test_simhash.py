@@ -107,6 +107,28 @@ def test_near_copies_against_brute_force(spark, odd, odd_rows):
     assert near_copies.one_of_each(odd).columns == odd.columns
 
 
+def _against_brute_force(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(i, _shingles(t)) for i, t in rows]
+    linked = [(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) / len(a | b) >= 0.8]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == roots([i for i, _ in rows], linked)
+
+
+def test_large_group_without_a_centre(spark):
+    """Texts of widespread passages, alike only in pairs: a crowded passage does not keep a pair apart."""
+    rng = random.Random(8)
+    blocks = [[f"b{k}_{i}" for i in range(60)] for k in range(8)]
+    rows = []
+    for g in range(60):
+        w = [x for k in rng.sample(range(8), 4) for x in blocks[k]]
+        for c in range(2):
+            v = list(w)
+            v[5 + 7 * c] = f"x{g}_{c}"
+            rows.append((10 * g + c, " ".join(v)))
+    _against_brute_force(spark, rows)
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
     assert near_copies.one_of_each(none).count() == 0
