@@ -115,6 +115,16 @@ def _against_brute_force(spark, rows):
     assert got == roots([i for i, _ in rows], linked)
 
 
+def test_short_texts_with_words_added_at_the_ends(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(120):
+        w = [f"w{rng.randint(0, 99999)}" for _ in range(rng.randint(6, 40))]
+        longer = [[*w, f"y{g}"], [f"z{g}", *w], [f"z{g}", *w, f"y{g}"]]
+        rows += [(10 * g + c, " ".join(v)) for c, v in enumerate([w, longer[g % 3]])]
+    _against_brute_force(spark, rows)
+
+
 def test_large_group_without_a_centre(spark):
     """Texts of widespread passages, alike only in pairs: a crowded passage does not keep a pair apart."""
     rng = random.Random(8)
