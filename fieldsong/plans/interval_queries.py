@@ -166,6 +166,17 @@ def best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(found.select("pair", "shift", "overlap"), "overlap")
 
 
+def shift_overlaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All intervals of both recorders and all 601 shifts; shift_overlaps takes a seventh of each side and 61."""
+    return _r(align.shift_overlaps(*_two(spark, sf_dir), ["pair"], 300, 600.0, 86400.0), "overlap")
+
+
+def best_shift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all 601 shifts for all intervals of both recorders."""
+    found = align.best_shift(align.shift_overlaps(*_two(spark, sf_dir), ["pair"], 300, 600.0, 86400.0), ["pair"])
+    return _r(found.select("pair", "shift", "overlap"), "overlap")
+
+
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two(spark, sf_dir)
     return _r(align.best_match(a, b, ["pair"], ["ord"], 86400.0).select("ord", "ord2", "overlap"), "overlap")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldsong.operators import align, intervals
+from fieldsong.plans import interval_queries
 
 
 def frame(spark, rows, columns="s double, e double, certainty double"):
@@ -95,3 +96,24 @@ def test_recorders_linked_in_a_chain_are_one_group(spark):
     edges = spark.createDataFrame([(1, 2, 5.0), (2, 3, 5.0), (7, 9, 1.0)], "a int, b int, shift double")
     got = {r.recorder: (r.root, abs(r["shift"])) for r in align.recorder_groups(edges).collect()}
     assert got == {1: (1, 0), 2: (1, 5), 3: (1, 10), 7: (7, 0), 9: (7, 1)}
+
+
+def test_best_shift_of_all_intervals_and_601_shifts(spark, tmp_path):
+    """Two recorders with clocks 200 hops apart."""
+    rng = random.Random(4)
+    t0, rows = 1704067200, []
+    for k in range(40):
+        at = t0 + rng.randint(0, 20 * 86400)
+        rows += [(2 * k, 2, "view", at, 1.0 + rng.random()), (2 * k + 1, 3, "view", at + 200 * 600, 1.0 + rng.random())]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t long, value double")
+    df.selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(t) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    a, b = ([(t, t + v * 600) for _, u, _, t, v in rows if u == n] for n in (2, 3))
+    want = {}
+    for k in range(-300, 301):
+        total = sum(max(0.0, min(e + k * 600, e2) - max(s + k * 600, s2)) for s, e in a for s2, e2 in b)
+        if total > 0:
+            want[k] = total
+    got = {r["shift"]: r.overlap for r in interval_queries.shift_overlaps_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+    best = interval_queries.best_shift_all(spark, str(tmp_path)).collect()
+    assert [(r.pair, r["shift"]) for r in best] == [(1, 200)] and max(want, key=want.get) == 200
