@@ -111,6 +111,13 @@ def discretise_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.discretised(files, det, ["rec"], 3600.0)
 
 
+def discretise_presence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presence of purchases in each hour up to the end of a recorder's last detection; discretise_presence stops after three days."""
+    every = detections(spark, sf_dir).select("rec", "species", (F.col("s") - 1704067200).alias("s"), (F.col("e") - 1704067200).alias("e"))
+    files = every.groupBy("rec").agg(F.max("e").alias("duration"))
+    return summary.discretised(files, every.where("species = 'purchase'").select("rec", "s", "e"), ["rec"], 3600.0)
+
+
 def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = detections(spark, sf_dir)
     n = F.col("e") - F.col("s")
@@ -202,6 +209,12 @@ def annotation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.where("rec % 2 = 0").select("species", "cert", F.col("rec").alias("rec")).exceptAll(det.where("cert = 100").select("species", "cert", "rec"))
 
 
+def annotation_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and recorders of detections of certainty 50 and more, without as many of those that are not 50; all recorders."""
+    det = detections(spark, sf_dir)
+    return det.where("cert >= 50").select("species", "rec").exceptAll(det.where("cert != 50").select("species", "rec"))
+
+
 def next_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each recorder, the first detection after the tenth of January that is not certain."""
     det = detections(spark, sf_dir).where((F.col("s") > 1704844800.0) & (F.col("cert") < 100))
@@ -254,6 +267,9 @@ CASE WHEN count(*) FILTER (cert = 0) > 0 THEN 'red' WHEN count(*) FILTER (cert >
 SELECT rec, CASE WHEN least IS NULL THEN -1 WHEN least = 0 THEN 0 WHEN least < 100 THEN 1 ELSE 2 END AS status FROM (SELECT DISTINCT rec FROM det) LEFT JOIN l USING (rec)""",
     "discretise_presence": f"""WITH {DET}, h AS (SELECT DISTINCT rec, unnest(range(greatest(0, CAST(floor((s - 1704067200) / 3600) AS BIGINT)), least(72, CAST(ceil((e - 1704067200) / 3600) AS BIGINT)))) AS bin FROM det WHERE species = 'purchase'),
 sp AS (SELECT rec, unnest(range(72)) AS bin FROM (SELECT DISTINCT rec FROM det))
+SELECT sp.rec, sp.bin, CASE WHEN h.rec IS NULL THEN 0 ELSE 1 END AS present FROM sp LEFT JOIN h ON h.rec = sp.rec AND h.bin = sp.bin""",
+    "discretise_presence_all": f"""WITH {DET}, h AS (SELECT DISTINCT rec, unnest(range(CAST(floor((s - 1704067200) / 3600) AS BIGINT), CAST(ceil((e - 1704067200) / 3600) AS BIGINT))) AS bin FROM det WHERE species = 'purchase'),
+sp AS (SELECT rec, unnest(range(CAST(ceil((max(e) - 1704067200) / 3600) AS BIGINT))) AS bin FROM det GROUP BY rec)
 SELECT sp.rec, sp.bin, CASE WHEN h.rec IS NULL THEN 0 ELSE 1 END AS present FROM sp LEFT JOIN h ON h.rec = sp.rec AND h.bin = sp.bin""",
     "segment_summary": f"WITH {DET} SELECT rec, round(min(e - s), 4) AS shortest, round(max(e - s), 4) AS longest, round(median(e - s), 4) AS median, round(avg(e - s), 4) AS mean, count(*) AS n FROM det GROUP BY rec",
     "frequency_range": """WITH g AS (SELECT l_returnflag, l_linestatus, min(l_quantity) AS f1, median(l_extendedprice) AS mid, avg(l_extendedprice) AS mean FROM lineitem GROUP BY ALL),
@@ -274,6 +290,7 @@ f AS (SELECT rec, t FROM h WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.rec = h
 r AS (SELECT rec, t, t - row_number() OVER (PARTITION BY rec ORDER BY t) AS run FROM f)
 SELECT rec, CAST(min(t) AS DOUBLE) AS s, max(t) + 1.0::DOUBLE AS e, count(*) AS pieces FROM r GROUP BY rec, run""",
     "annotation_diff": f"WITH {DET} SELECT species, cert, rec FROM det WHERE rec % 2 = 0 EXCEPT ALL SELECT species, cert, rec FROM det WHERE cert = 100",
+    "annotation_diff_all": f"WITH {DET} SELECT species, rec FROM det WHERE cert >= 50 EXCEPT ALL SELECT species, rec FROM det WHERE cert <> 50",
     "next_annotation": f"WITH {DET} SELECT rec, ord FROM det WHERE s > 1704844800.0 AND cert < 100 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY s, ord) = 1",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
