@@ -117,3 +117,9 @@ def test_best_shift_of_all_intervals_and_601_shifts(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
     best = interval_queries.best_shift_all(spark, str(tmp_path)).collect()
     assert [(r.pair, r["shift"]) for r in best] == [(1, 200)] and max(want, key=want.get) == 200
+
+
+def test_a_chain_of_over_32_recorders_is_one_group(spark):
+    edges = spark.createDataFrame([(k, k + 1, 2.0) for k in range(36)], "a int, b int, shift double")
+    got = {r.recorder: (r.root, abs(r["shift"])) for r in align.recorder_groups(edges).collect()}
+    assert got == {k: (0, 2.0 * k) for k in range(37)}
