@@ -52,6 +52,12 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def whole_frames(samples: np.ndarray) -> np.ndarray:
+    """8-bit samples with silence after them, up to a whole number of hops, so that every sample is in a frame."""
+    short = max(FRAME - len(samples), -(len(samples) - FRAME) % HOP)
+    return np.concatenate([samples, np.full(short, 128, np.uint8)])
+
+
 def band_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Frames and bins of the peaks, in order of time, and the number of frames."""
     sound = samples.astype(np.float32) - 128
@@ -113,7 +119,7 @@ def wav_features(media: Column) -> Column:
                 rows.append(None)
                 continue
             payload = from_wav(f.as_py())
-            frame, bins, n = band_peaks(np.frombuffer(payload, np.uint8))
+            frame, bins, n = band_peaks(whole_frames(np.frombuffer(payload, np.uint8)))
             pair, at = peak_pairs(frame, bins)
             rows.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), n, pair, at))
         kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("frames", pa.int32())]

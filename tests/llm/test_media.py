@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fieldsong.llm import media
 
@@ -42,3 +43,12 @@ def test_blocks_do_not_change_features(monkeypatch):
 
 def test_empty(none):
     assert media.media_digests(none).count() == 0
+
+
+def test_every_byte_is_in_a_frame(spark):
+    texts = ["x" * n for n in (1, 256, 257, 320, 321, 449, 4032)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", media.wav_features(media.wav_column(F.col("text"))).alias("f"))
+    for r in df.collect():
+        assert r.f.frames == 1 + max(0, -(-(r.f.payload_bytes - 256) // 128))
+    loud = np.where(np.arange(320) >= 256, 128 + 100 * np.sin(2 * np.pi * np.arange(320) / 8), 128).astype(np.uint8)
+    assert len(media.band_peaks(media.whole_frames(loud))[0]) > 0
