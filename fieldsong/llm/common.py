@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 #: A word is a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SAMPLE_SEED = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where none is named."""
+    """The folder that all executors share, as the cluster names it; a temporary one only where Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='fieldsong-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,7 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/fieldsong/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written() tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -42,15 +57,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def first_of_each(df: DataFrame, by: str, order: list[str], n: int, cells: int = 256) -> DataFrame:
-    """The first n rows of df of each value of `by`, in order (the first of which is a hash: it deals a value's rows out).
+def share_of_each(by: Column, totals: dict, n: int, *key: Column) -> Column:
+    """Whether a row is in a sample, drawn by a hash of its key, that holds n rows and more of each value of `by`.
 
-    A value's rows are cut to n in each of its cells first, so that no task sees more than cells * n of one value.
+    totals: how many rows each value has, for a bounded number of values. About 2 n + 200 rows of a value are in the
+    sample however many it has, so that a hot value brings no more to one task than any other. Other values have no rows.
     """
-    cell, nth = fresh(df, "first_cell"), fresh(df, "first_nth")
-    dealt = df.withColumn(cell, F.pmod(F.col(order[0]), F.lit(cells)))
-    some = dealt.withColumn(nth, F.row_number().over(Window.partitionBy(by, cell).orderBy(*order))).where(F.col(nth) <= n).drop(nth, cell)
-    return some.withColumn(nth, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(nth) <= n).drop(nth)
+    if not totals:
+        return F.lit(False)
+    scale = 1 << 31
+    cuts = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, min(scale, (2 * n + 200) * scale // max(1, v)))])
+    return F.coalesce(F.pmod(F.xxhash64(F.lit(SAMPLE_SEED), *key), F.lit(scale)) < F.element_at(cuts, by), F.lit(False))
+
+
+def first_of_each(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of df of each value of `by`, in order."""
+    nth = fresh(df, "first_nth")
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(nth) <= n).drop(nth)
 
 
 def numbered(df: DataFrame, order: list[Column], parts: int, number: str, carry: dict[str, Column] | None = None) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fieldsong.llm.common import written
+from fieldsong.llm.common import discard, written
 
+#: Links that one task takes in a moment; tables of no more are not dealt out again each round.
+FEW = 100_000
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """links as a written table, and how many there are with a digest of them, told by the job that writes it."""
+    seen = Observation()
+    now = written(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("digest")))
+    return now, (seen.get["n"], seen.get["digest"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,13 +23,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     In a round, each node's larger neighbours, then its smaller ones, are linked to the smallest in its
     neighbourhood instead; at the end every node is linked to its root. Neighbourhoods are never gathered: a
-    minimum by node is joined back. Each round's links are written, so a lost executor costs one round at most.
+    minimum by node (summed up map-side) is joined back, and a hub's links are dealt over tasks by Spark's skew
+    join. Each round's links are written, so a lost executor costs one round at most.
     """
     high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    now = written(links.where(F.col(a) != F.col(b)).select(high, low).distinct())
-    state = _state(now)
+    table, state = _kept(links.where(F.col(a) != F.col(b)).select(high, low).distinct())
     while state[0]:
+        now = table.coalesce(1) if state[0] <= FEW else table
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if state[0] <= FEW else both
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         # now has every pair once, u above v: both ends of it learn the smallest around the other.
         large = both.join(least, F.col("u") == F.col("w")).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,8 +39,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         met = large.join(below, F.col("u") == F.col("w"))
         small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(small.distinct())
-        was, state = state, _state(now)
+        was, old = state, table
+        table, state = _kept((small.coalesce(1) if was[0] <= FEW else small).distinct())
+        discard(old)
         if state == was:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return table.select(F.col("u").alias("node"), F.col("v").alias("root"))

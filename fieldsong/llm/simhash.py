@@ -1,12 +1,16 @@
 """SimHash near-duplicates through an inverted index on positional bytes with count filtering.
 
 Fingerprints of 64 bits are eight bytes at eight positions. Two that differ in at most d bits share at least
-8 - d of them. Only distinct fingerprints are indexed, so copies never meet each other. A posting is a set of
-bytes at fixed positions, as many as the count guarantees, and lists the fingerprints that hold them all; a
-pair met in a posting is kept if its tally of shared positional bytes reaches the minimum, and then verified by
-its differing bits.
-
-Postings with many members (near copies of one text) are not paired: see _stars.
+8 - d of them. Postings of one byte would hold a 256th of all fingerprints each, so a posting is four bytes at
+once, at the positions of one of fourteen blocks. The blocks hold every three positions exactly once together, so
+how many blocks a pair shares tells how many bytes it shares: all 14 for eight bytes, 7 for seven, 3 for six, at
+most 1 for fewer. Each pair met in postings is tallied by blocks, pairs that reach the guaranteed minimum are
+retained, and their differing bits verified.
+
+Only distinct fingerprints are indexed, so copies never meet each other. A posting with many members (near copies
+of one text) is split by further positions: two members that share six bytes share two of the four bytes outside
+the block as well, and meet in the part of those two. A fingerprint has at most 2,080 others within two bits,
+so what is retained grows with the fingerprints, whatever the groups.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from fieldsong.llm.words import ngram_runs
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Postings with more members than this go the way of _stars.
-PAIRED = 24
+#: Postings with more members than this are split by further positions.
+CROWDED = 64
+#: Blocks of four positions: with the position's number in binary as a point of a space over {0, 1}, its planes.
+BLOCKS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 
 
 def fingerprint_of(data: bytes, n: int) -> int:
@@ -60,55 +66,49 @@ def _bytes_at(fp: Column, positions: tuple[int, ...]) -> Column:
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    apart = a.bitwiseXOR(b)
-    return sum((F.when(_bytes_at(apart, (k,)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
-
-
 def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _positions(max_bits: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions of which any two fingerprints max_bits apart agree on one at least.
+def least_tally(max_bits: int) -> int:
+    """Blocks that two fingerprints share at least if they differ in at most max_bits bytes."""
+    return sum(not set(p) & set(range(max_bits)) for p in BLOCKS)
 
-    With two bits the bytes go in pairs, and two of the four pairs agree; else any 8 - max_bits bytes.
-    """
-    if max_bits == 2:
-        return [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)]
-    return list(combinations(range(8), 8 - max_bits))
 
+def _posting(at: int, positions: tuple[int, ...]) -> Column:
+    return F.struct(F.lit(at).alias("at"), _bytes_at(F.col("fp"), positions).alias("held"))
 
-def _stars(crowded: DataFrame, max_bits: int) -> DataFrame:
-    """Links(a, b) that join any two of crowded(fp) at most max_bits apart, without pairing them, for 0 to 2 bits.
 
-    Two fingerprints at most two bits apart have a meeting point: a number that is each of them with at most one
-    bit turned. Each fingerprint calls at its 65 points, and all that call at one point, who are two bits apart
-    at most, are linked to the smallest.
-    """
-    flips = [0, *((1 << k) - (1 << 64) if k == 63 else 1 << k for k in range(64))]
-    turns = F.array(*[F.lit(x).cast("long") for x in (flips if max_bits else [0])])
-    calls = crowded.select("fp", F.explode(F.transform(turns, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
-    first = calls.groupBy("point").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    linked = calls.join(first, "point").where(F.col("fp") != F.col("least"))
-    return linked.select(F.col("least").alias("a"), F.col("fp").alias("b")).where(bits_apart(F.col("a"), F.col("b")) <= max_bits)
+def _met(index: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (a, b) of members of one posting, with the block."""
+    a = index.select(*keys, "block", F.col("fp").alias("a"))
+    b = index.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("fp").alias("b"))
+    same = F.col("a") < F.col("b")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"b_{k}"))
+    return a.join(b, same).select("a", "b", "block")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links(a, b) between distinct fingerprints fps(fp): enough to join all that are at most max_bits apart."""
+def tallied(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints fps(fp) with tally, the blocks that they share, where it is enough for max_bits."""
     if not 0 <= max_bits <= 2:
         raise ValueError("fingerprints are linked at 0, 1 or 2 differing bits")
-    sets = _positions(max_bits)
-    postings = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), _bytes_at(F.col("fp"), p).alias("held")) for k, p in enumerate(sets)]))
-    index = fps.select("fp", postings.alias("posting")).select("fp", "posting.*")
+    index = fps.select("fp", F.explode(F.array(*[_posting(k, p) for k, p in enumerate(BLOCKS)])).alias("posting")).select("fp", "posting.*")
     sizes = index.groupBy("at", "held").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = written(index.join(sizes, ["at", "held"]))
-    few, many = index.where(F.col("n") <= PAIRED), index.where(F.col("n") > PAIRED)
-    a, b = few.select("at", "held", F.col("fp").alias("a")), few.select(F.col("at").alias("b_at"), F.col("held").alias("b_held"), F.col("fp").alias("b"))
-    met = (F.col("at") == F.col("b_at")) & (F.col("held") == F.col("b_held")) & (F.col("a") < F.col("b"))
-    enough = shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits
-    pairs = a.join(b, met & enough & (bits_apart(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
-    return pairs.unionByName(_stars(many.select("fp").distinct(), max_bits))
+    index = written(index.join(sizes, ["at", "held"]).withColumn("block", F.col("at")))
+    few = _met(index.where(F.col("n") <= CROWDED), ["at", "held"])
+    # The four positions outside a block, two by two.
+    outside = [[_posting(6 * k + i, (*p, *q)) for i, q in enumerate(combinations(sorted(set(range(8)) - set(p)), 2))] for k, p in enumerate(BLOCKS)]
+    parts = F.element_at(F.array(*[F.array(*x) for x in outside]), F.col("block") + 1)
+    split = index.where(F.col("n") > CROWDED).select("fp", "block", F.explode(parts).alias("part")).select("fp", "block", "part.*")
+    pairs = few.unionByName(_met(split, ["at", "held"]))
+    tally = pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, block)")).alias("blocks"))
+    return tally.select("a", "b", F.bit_count("blocks").alias("tally")).where(F.col("tally") >= least_tally(max_bits))
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links(a, b) between distinct fingerprints fps(fp): all pairs that are at most max_bits apart."""
+    return tallied(fps, max_bits).where(bits_apart(F.col("a"), F.col("b")) <= max_bits).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

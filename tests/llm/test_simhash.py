@@ -46,24 +46,38 @@ def test_fingerprints_and_components_of_odd_texts(odd, odd_rows):
         assert r.component_id == least.get(root[int(r.hex, 16)])
 
 
-@pytest.mark.parametrize("paired", [24, 2])
-def test_links_join_all_within_two_bits(spark, monkeypatch, paired):
-    """Crowded postings go by meeting points: both ways give the groups of brute force."""
-    monkeypatch.setattr(simhash, "PAIRED", paired)
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_links_join_all_within_two_bits(spark, monkeypatch, crowded):
+    """Split postings or whole: both give the links of brute force."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(1)
     fps = {0, 1, 3, 2**63, 2**64 - 1}
     for _ in range(12):
         seed = rng.getrandbits(64)
         fps |= {seed ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(30)}
-    signed = [int(np.uint64(f).view(np.int64)) for f in sorted(fps)]
+    signed = sorted(int(np.uint64(f).view(np.int64)) for f in fps)
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    found = components(simhash.links(df))
-    root = {r.node: r.root for r in found.collect()}
     apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
-    wanted = roots(signed, [(a, b) for a in signed for b in signed if a < b and apart(a, b) <= 2])
+    pairs = [(a, b) for a in signed for b in signed if a < b]
+    for d in (0, 1, 2):
+        got = [(r.a, r.b) for r in simhash.links(df, d).collect()]
+        assert sorted(got) == [p for p in pairs if apart(*p) <= d]
+    root = {r.node: r.root for r in components(simhash.links(df)).collect()}
+    wanted = roots(signed, [p for p in pairs if apart(*p) <= 2])
     assert {f: root.get(f, f) for f in signed} == wanted
-    for r in simhash.links(df).collect():
-        assert apart(r.a, r.b) <= 2
+
+
+def test_tally_counts_shared_bytes(spark):
+    """What is retained before any bits are compared is just what shares enough positional bytes."""
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(rng.randint(0, 255) << 8 * k for k in rng.sample(range(8), rng.randint(0, 4))) for _ in range(150)}
+    signed = sorted(int(np.uint64(f).view(np.int64)) for f in fps)
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    shared = lambda a, b: sum((a >> 8 * k & 255) == (b >> 8 * k & 255) for k in range(8))
+    for d, tallies in ((2, {6: 3, 7: 7}), (1, {7: 7})):
+        want = {(a, b): tallies[shared(a, b)] for a in signed for b in signed if a < b and shared(a, b) in tallies}
+        assert {(r.a, r.b): r.tally for r in simhash.tallied(df, d).collect()} == want
 
 
 def test_components_of_a_long_chain(spark):
