@@ -15,13 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsong.llm.common import first_of_each
+from fieldsong.llm.common import first_of_each, share_of_each
 
-#: Labelled documents a language, and words of one document, that the model is fitted on at most.
-FIT_DOCS, FIT_WORDS = 400, 96
+#: Labelled documents of a language whose whole texts are cut into passages, words of a passage, and passages of a
+#: language, of all languages and languages (the most frequent ones) that the model is fitted on at most.
+FIT_DOCS, FIT_WORDS, FIT_PASSAGES, ALL_PASSAGES, LANGUAGES = 400, 96, 400, 12_000, 256
 STEPS, RATE, DECAY = 45, 0.12, 1e-4
 #: Mean run of one language in the sequences that are fitted on, and their length.
 RUN_WORDS, SEQUENCE = 24, 64
@@ -163,8 +164,10 @@ def language(model: Model, text: Column) -> Column:
     Of equally probable labels the first in code-point order is taken.
     """
 
+    sent = SparkSession.active().sparkContext.broadcast(model)  # BUCKETS x LANGUAGES weights at most
+
     def label(texts: pa.Array) -> pa.Array:
-        names, scores = [], []
+        model, names, scores = sent.value, [], []
         for block in _blocks(texts):
             known = [any(map(str.isalpha, t)) and bool(model.labels) for t in block]
             if not any(known):
@@ -183,9 +186,10 @@ def language(model: Model, text: Column) -> Column:
 def language_spans(model: Model, text: Column) -> Column:
     """A text column's runs of words of one language: array<struct<lang, words>>, in order; words are separated by white space."""
     kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
+    sent = SparkSession.active().sparkContext.broadcast(model)
 
     def spans(texts: pa.Array) -> pa.Array:
-        out = []
+        model, out = sent.value, []
         for block in _blocks(texts):
             for found, _ in label_block(model, block) if model.labels else ((np.empty((0, 1)), None) for _ in block):
                 best = found.argmax(axis=1)
@@ -197,30 +201,26 @@ def language_spans(model: Model, text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, list[str]]]:
-    """(lang, words) of at most FIT_DOCS labelled documents a language, FIT_WORDS words of each, the same each time."""
-    spot = F.xxhash64(F.lit(3), F.col(doc_id))
+    """(lang, words) of a bounded sample of passages, drawn evenly from whole texts, the same each time.
+
+    A sample of labelled documents of each language is cut into passages from end to end, and of these a sample is
+    drawn. Null texts and languages and held-out documents are not learned from. Other columns are not read.
+    """
     pool = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    named = pool.select(F.col(doc_id).alias("p_id"), F.col(lang).alias("p_lang"), spot.alias("spot"))
-    picked = first_of_each(named, "p_lang", ["spot", "p_id"], FIT_DOCS).select("p_id").distinct()
-
-    def some(texts: pa.Array, spots: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(texts, spots):
-            words = t.as_py().split()
-            at = s.as_py() % max(1, len(words) - FIT_WORDS + 1)
-            out.append(words[at : at + FIT_WORDS])
-        return pa.array(out, pa.list_(pa.string()))
-
-    # picked has FIT_DOCS rows a language at most.
-    rows = pool.join(F.broadcast(picked), F.col(doc_id) == F.col("p_id")).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.arrow_udf(some, "array<string>")(F.col(text), spot).alias("words"))
-    found = sorted((r.lang, str(r.id), r.words) for r in rows.collect())
-    taken: Counter = Counter()
-    out = []
-    for name, _, words in found:  # a doc_id that repeats may bring more
-        if words and taken[name] < FIT_DOCS:
-            taken[name] += 1
-            out.append((name, words))
-    return out
+    pool = pool.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    totals = {r.lang: r.n for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    some = pool.where(share_of_each(F.col("lang"), totals, FIT_DOCS // 2, F.col("id")))
+
+    def cut(texts: pa.Array) -> pa.Array:
+        words = [t.as_py().split() for t in texts]
+        return pa.array([[" ".join(w[a : a + FIT_WORDS]) for a in range(0, len(w), FIT_WORDS)] for w in words], pa.list_(pa.string()))
+
+    most = min(FIT_PASSAGES, ALL_PASSAGES // max(1, len(totals)))
+    each = some.select("id", "lang", F.posexplode(F.arrow_udf(cut, "array<string>")(F.col("text"))).alias("nth", "words"))
+    spot = F.xxhash64(F.lit(3), "id", "nth")
+    picked = first_of_each(each, "lang", [spot, F.col("id"), F.col("nth"), F.col("words")], most)
+    found = sorted((r.lang, str(r.id), r.nth, r.words) for r in picked.collect())
+    return [(name, words.split()) for name, _, _, words in found]
 
 
 def fit(rows: list[tuple[str, list[str]]], seed: int = 5) -> Model:
@@ -294,6 +294,10 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 5) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs; other columns are not read. An empty table gives no rows."""
+    """doc_id, held_out, lang_pred, score for each row of docs; other columns are not read.
+
+    Texts that are null or have no letter are `und` with score 0; null doc_ids are held out; very long texts are
+    labelled whole, in parts; repeated rows are repeated; an empty table gives no rows.
+    """
     found = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), language(model, F.col(text)).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns whose names the operators use themselves.
-CLASHING = "size long, taken long, target double, place long, shard int, slot long, cell int, held_out boolean, score double, fp long, component_id long, media binary, ids array<int>, host string, rule string, own_digest_a long, found_language string, quality_score double, mix_size long, mix_key long"
+CLASHING = "size long, taken long, target double, place long, shard int, slot long, cell int, held_out boolean, score double, fp long, component_id long, media binary, ids array<int>, host string, rule string, own_digest_a long, found_language string, quality_score double, mix_size long, mix_key long, label int, l_id long, p_id long, d_id long, id long, nth int, rep long, spot long, digest_a long, digest long, k_id long, found string, words string, s_id long, bits array<long>, token long"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
 WIDE = len(CLASHING.split(","))
 

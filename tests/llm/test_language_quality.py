@@ -77,7 +77,67 @@ def test_junk_is_voted_down(spark, odd):
 
 
 def test_terms_do_not_depend_on_runs(monkeypatch):
-    text = (b"word word other. " * 40)[:-1]
+    text = (b"word worse other. " * 40)[:-1]
     whole = quality.terms_of(text)
-    monkeypatch.setattr(quality, "RUN", 17)
-    assert np.array_equal(quality.terms_of(text)[: quality.REPEATS], whole[: quality.REPEATS])
+    for run in (1, 5, 17):
+        monkeypatch.setattr(quality, "RUN", run)
+        got = quality.terms_of(text)
+        assert np.array_equal(got[: quality.REPEATS], whole[: quality.REPEATS])
+        assert np.array_equal(got[quality.FIRST_WORD :], whole[quality.FIRST_WORD :])
+
+
+def test_columns_named_like_our_own_are_no_matter(spark, odd, odd_rows):
+    """Documents and labels may have columns with the names that learning uses in its joins."""
+    labels = spark.createDataFrame([(i, i % 2, 7, 7, "x") for i, *_ in odd_rows if i is not None], "doc_id long, quality int, l_id int, label int, d_id string")
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    a, b = quality.learn(odd, labels), quality.learn(plain, labels.select("doc_id", "quality"))
+    assert len(a.labels) and all(np.allclose(x, y) for x, y in zip(a, b))
+    assert language.training_rows(odd) == language.training_rows(plain) != []
+
+
+def test_votes_against_brute_force():
+    """Cosines of all labelled vectors, sorted by cosine and place; many are equal."""
+    rng = np.random.default_rng(3)
+    pool = rng.normal(size=(40, 6))
+    vectors = quality._unit(pool[rng.integers(0, 40, 300)])
+    labels, shares = rng.integers(0, 2, 300), rng.uniform(1, 3, 300)
+    model = quality.Model(None, None, vectors, labels, shares, 0.5, 1.0)
+    v = quality._unit(np.concatenate([pool[:10], rng.normal(size=(20, 6))]))
+    for x, got in zip(v, quality.voted(model, v)):
+        cosines = [round(float(c), quality.PLACES) for c in vectors @ x]
+        first = sorted(range(300), key=lambda i: (-cosines[i], i))[: quality.NEIGHBOURS]
+        weights = [max(cosines[i], 0) * shares[i] for i in first]
+        assert abs(got - sum(w * labels[i] for w, i in zip(weights, first)) / sum(weights)) < 1e-5
+
+
+def test_scores_against_brute_force(spark):
+    """The whole operator on few documents: terms, rarity, singular vectors (by numpy's own decomposition), votes, power."""
+    docs = spark.createDataFrame(made(120, 9), "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(k == "aa")) for i, _, k in made(120, 9)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    rows = [(i, t, int(k == "aa")) for i, t, k in made(120, 9)]
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    x = quality.damped(np.stack([quality.terms_of(t.encode()) for _, t, _ in own]))
+    rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    _, _, axes = np.linalg.svd(x * rarity, full_matrices=False)
+    axes = axes[: quality.DIMENSIONS].T
+    project = lambda y: (y * rarity) @ axes / np.linalg.norm((y * rarity) @ axes, axis=1, keepdims=True)
+    near = project(quality.damped(np.stack([quality.terms_of(t.encode()) for _, t, _ in rows]))) @ project(x).T
+    found = {r.doc_id: r.score for r in quality.classify(docs, model).collect()}
+    good = np.array([k for _, _, k in own])
+    off = []
+    for (i, _, _), row in zip(rows, near):
+        first = np.lexsort((np.arange(len(row)), -np.round(row, quality.PLACES)))[: quality.NEIGHBOURS]
+        w = np.maximum(row[first], 0)
+        off.append(abs((w @ good[first] / w.sum()) ** model.power - found[i]))
+    assert np.median(off) < 0.02 and max(off) < 0.25  # the singular vectors are found by iteration
+
+
+def test_repeated_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "ab cd " * 400_000), (1, "ab cd " * 400_000), (2, "xy"), (2, "xy"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    scores = [(r.doc_id, r.score) for r in quality.classify(docs, quality.learn(docs, labels)).collect()]
+    assert len(scores) == 5 and len(set(scores)) == 3
+    model = language.fit([("aa", ["ab", "cd"] * 30), ("bb", ["xy", "zz"] * 30)])
+    found = [(r.doc_id, r.lang_pred) for r in language.identify(docs, model).collect()]
+    assert sorted(found) == [(1, "aa"), (1, "aa"), (2, "bb"), (2, "bb"), (3, "und")]
