@@ -69,6 +69,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 )}
 
 ORACLE: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS size,
+         ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS spot FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sized GROUP BY source
+), capped AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM per
+), levels AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM capped WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), targets AS (
+  SELECT *, least(cap, coalesce((max(level) FILTER (cap >= level * weight) OVER ()) * weight, cap)) AS target FROM levels
+), queued AS (
+  SELECT s.doc_id, s.source, s.size, s.spot, t.source_size, t.weight, t.target, CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.spot, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS BIGINT) AS q
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, q + (copy - 1) * source_size AS start FROM queued, (VALUES (1), (2)) c(copy)
+), events AS (
+  SELECT *, (start + size) / weight AS finish, start + size = source_size * 2 AS ends FROM copies WHERE size > 0
+), placed AS (
+  SELECT *, row_number() OVER o - 1 AS place, coalesce(sum(CASE WHEN ends THEN weight ELSE 0.0::DOUBLE END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS gone,
+         coalesce(sum(CASE WHEN ends THEN source_size * 2 ELSE 0 END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+  FROM events WINDOW o AS (ORDER BY finish, source NULLS FIRST, spot, doc_id, size, copy)
+), sums AS (
+  SELECT sum(source_size) * 1.5::DOUBLE AS budget, sum(CASE WHEN source_size > 0 THEN weight END) AS weights FROM per
+), cut AS (
+  SELECT arg_min((budget - done) / (weights - gone), place) AS v FROM placed, sums WHERE done + finish * (weights - gone) >= budget
+), took AS (
+  SELECT doc_id, place, CAST(greatest(0, least(size, floor(v * weight + 1e-6) - start)) AS BIGINT) AS taken FROM placed, cut
+), summed AS (
+  SELECT doc_id, sum(taken) AS taken, min(place) FILTER (taken > 0) AS place FROM took GROUP BY doc_id
+)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(s.taken, 0) AS BIGINT) AS taken, CAST(s.place AS BIGINT) AS place FROM queued q LEFT JOIN summed s ON q.doc_id = s.doc_id""",
     "op5_preference_chats": r"""
 WITH entries AS (
   SELECT conv_id AS conv, turn AS place, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS nth
