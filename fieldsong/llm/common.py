@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 #: A word is a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SAMPLE_SEED = 3
+#: Texts are handed to Python in batches of so many bytes (or one text).
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def text_batches() -> SparkSession:
+    """The active session, set to hand texts to Python in batches of BATCH_BYTES: rows alone would not bound a batch."""
+    spark = SparkSession.active()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, whole after the loss of an executor."""
     spark = df.sparkSession

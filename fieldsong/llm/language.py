@@ -15,10 +15,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsong.llm.common import first_of_each, share_of_each
+from fieldsong.llm.common import first_of_each, share_of_each, text_batches
 
 #: Labelled documents of a language whose whole texts are cut into passages, words of a passage, and passages of a
 #: language, of all languages and languages (the most frequent ones) that the model is fitted on at most.
@@ -164,7 +164,7 @@ def language(model: Model, text: Column) -> Column:
     Of equally probable labels the first in code-point order is taken.
     """
 
-    sent = SparkSession.active().sparkContext.broadcast(model)  # BUCKETS x LANGUAGES weights at most
+    sent = text_batches().sparkContext.broadcast(model)  # BUCKETS x LANGUAGES weights at most
 
     def label(texts: pa.Array) -> pa.Array:
         model, names, scores = sent.value, [], []
@@ -186,7 +186,7 @@ def language(model: Model, text: Column) -> Column:
 def language_spans(model: Model, text: Column) -> Column:
     """A text column's runs of words of one language: array<struct<lang, words>>, in order; words are separated by white space."""
     kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
-    sent = SparkSession.active().sparkContext.broadcast(model)
+    sent = text_batches().sparkContext.broadcast(model)
 
     def spans(texts: pa.Array) -> pa.Array:
         model, out = sent.value, []

@@ -14,10 +14,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsong.llm.common import first_of_each, share_of_each
+from fieldsong.llm.common import first_of_each, share_of_each, text_batches
 from fieldsong.llm.language import held_out
 
 #: Labelled documents of each label that the model is fitted on, at most.
@@ -195,7 +195,7 @@ def quality(model: Model, text: Column) -> Column:
     A text without similar labelled ones gets the share of label 1; if nothing was labelled, 0.5. Equal texts have equal
     scores. The model, whose size its parameters bound, is broadcast.
     """
-    sent = SparkSession.active().sparkContext.broadcast(model)
+    sent = text_batches().sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> pa.Array:
         out = []

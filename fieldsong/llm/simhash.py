@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldsong.llm.components import components
-from fieldsong.llm.common import written
+from fieldsong.llm.common import text_batches, written
 from fieldsong.llm.words import ngram_runs
 
 SEED = 42
@@ -50,6 +50,7 @@ def fingerprint_of(data: bytes, n: int) -> int:
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """A text column's fingerprints as signed longs. Texts without words, null ones too, have 0."""
+    text_batches()
 
     def read(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint_of((t.as_py() or "").encode(), shingle) for t in texts], pa.int64())

@@ -41,8 +41,14 @@ class Index(NamedTuple):
     dims: int
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest component near 1: squares neither vanish nor overflow, and nothing is rounded."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -92,7 +98,7 @@ def lists_for(index: Index, x: np.ndarray, n: int) -> np.ndarray:
 
 def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Pair by pair, in double precision."""
-    a, b = queries.astype(np.float64), rows.astype(np.float64)
+    a, b = scaled(queries), scaled(rows)
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 

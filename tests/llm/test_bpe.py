@@ -1,5 +1,6 @@
 import base64
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,13 @@ def test_odd_texts(odd_rows):
     same(["".join(rng.choice("ab \n\x1c\x85\u3000.,'é漢") for _ in range(rng.randint(0, 40))) for _ in range(2000)])
 
 
+def test_any_code_point():
+    """Characters that Unicode has no name for yet too, alone and among letters and digits."""
+    rng = random.Random(1)
+    same(["".join(chr(rng.choice([rng.randrange(0x110000 - 0x800) + 0x800, rng.randrange(0xD800), 0x61, 0x31, 0x20, 0x323B0 + rng.randrange(0x1000)])) for _ in range(12)).encode("utf-16", "surrogatepass").decode("utf-16", "replace") for _ in range(4000)])
+    same([f"x{chr(c)}1 {chr(c)}a" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and (c < 0x20000 or c % 37 == 0)])
+
+
 def test_low_ranks_made_late():
     """A merge can open one of a lower rank; other places of its word wait for that."""
     ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"abc": 0, b"ab": 1, b"bc": 2, b"abcab": 3}

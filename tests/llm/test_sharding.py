@@ -2,7 +2,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from fieldsong.llm import sharding
 
@@ -22,9 +23,58 @@ def test_odd_rows(odd, odd_rows):
     assert sorted(map(str, sharding.shard_documents(odd.repartition(3)).collect())) == sorted(map(str, rows))
 
 
-@pytest.mark.parametrize("cells", [100_000, 20])
-def test_sizes_are_near_equal_with_a_hot_text(spark, monkeypatch, cells):
-    monkeypatch.setattr(sharding, "CELL_ROWS", cells)
+def by_hand(source, n=16):
+    """Shard and slot of each row: cut the sorted keys at the key nearest to each aim, or beside the text that it is in."""
+    key = lambda i, t: (int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).view(np.int64)), -(2**63) if i is None else i)
+    rows = sorted((key(i, t), len((t or "").encode()) + 1) for i, t in source)
+    size, of_text = defaultdict(int), defaultdict(int)
+    for k, b in rows:
+        size[k] += b
+        of_text[k[0]] += b
+    below, upto, first = {}, 0, {}
+    for k in sorted(size):
+        below[k] = upto
+        first.setdefault(k[0], upto)
+        upto += size[k]
+    cuts = []
+    for k in range(1, n):
+        aim = upto * k / n
+        lo = max(x for x in below if below[x] <= aim)
+        hi = min((x for x in below if below[x] > aim), default=None)
+        group = lo[0]
+        if of_text[group] <= upto / n / 16:
+            cuts.append(first[group] if aim - first[group] <= first[group] + of_text[group] - aim else first[group] + of_text[group])
+        else:
+            cuts.append(below[lo] if hi is None or aim - below[lo] <= below[hi] - aim else below[hi])
+    shard_of = {k: sum(c <= b for c in cuts) for k, b in below.items()}
+    seen, out = Counter(), []
+    for k, b in rows:
+        out.append((shard_of[k], seen[shard_of[k]], b))
+        seen[shard_of[k]] += 1
+    return sorted(out)
+
+
+def test_against_brute_force(spark, odd, odd_rows):
+    groups = [(k, f"text {k // 10} " * (k // 10 % 7 + 1)) for k in range(12_000)]
+    hot = [(k, "the same text" if k % 3 == 0 else f"text {k}") for k in range(900)]
+    for source in (groups, hot, [(i, t) for i, t, *_ in odd_rows]):
+        got = sharding.shard_documents(spark.createDataFrame(source, "doc_id long, text string")).collect()
+        assert sorted((r.shard, r.slot, r["size"]) for r in got) == by_hand(source)
+        if source is groups:
+            assert len({(r.text_crc32, r.shard) for r in got}) == 1200  # no text is in two shards
+
+
+def test_what_the_driver_sees_does_not_grow(spark, monkeypatch):
+    seen = []
+    draw = sharding._draw
+    monkeypatch.setattr(sharding, "_draw", lambda *a: seen.append(len(out := draw(*a))) or out)
+    for n in (2_000, 40_000):
+        seen.clear()
+        sharding.find_splitters(spark.range(n).select(F.xxhash64("id").alias("high"), F.col("id").alias("low"), F.lit(7).alias("bytes")), 16)
+        assert max(seen) <= 15 * sharding.PROBES and len(seen) <= 6
+
+
+def test_sizes_are_near_equal_with_a_hot_text(spark):
     source = [(k, "the same text " * 3 if k % 3 == 0 else f"text {k} " * (k % 11)) for k in range(3000)]
     rows = sharding.shard_documents(spark.createDataFrame(source, "doc_id long, text string")).collect()
     check(rows, source)

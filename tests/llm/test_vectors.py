@@ -48,3 +48,18 @@ def test_lists_that_hold_too_few(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))], "vec_id long, embedding array<double>")
     got = vectors.nearest(df).groupBy("query_id").count().collect()
     assert {r["count"] for r in got} == {5} and len(got) == 4
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    rows = [(i, (v * 10.0 ** rng.choice([-300, -200, 0, 200, 300])).tolist()) for i, v in enumerate(x)] + [(100, [1e-200, 0.0]), (150, [1e200, 1.0]), (200, [5e-324, 0.0])]
+    got = {}
+    for r in vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 50, 100, 150, 200} and all(len(v) == 5 for v in got.values())
+    plain = dict(rows)
+    angle = lambda v: np.arctan2(*(np.array(v) / np.abs(v).max()))
+    for q, found in got.items():
+        assert all(abs(s - np.cos(angle(plain[q]) - angle(plain[i]))) < 1e-9 for i, s in found)
+    assert dict(got[100])[200] == 1.0
