@@ -50,7 +50,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete written() tables that nothing reads any more."""
+    """Delete written() tables that nothing reads any more, and have Spark's cleaner drop the shuffles of jobs that are over."""
+    SparkSession.active()._jvm.System.gc()
     for df in tables:
         if path := getattr(df, "_scratch", None):
             jvm = df.sparkSession._jvm

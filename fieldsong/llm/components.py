@@ -28,6 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     table, state = _kept(links.where(F.col(a) != F.col(b)).select(high, low).distinct())
+    olds: list[DataFrame] = []
     while state[0]:
         now = table.coalesce(1) if state[0] <= FEW else table
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,9 +40,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         met = large.join(below, F.col("u") == F.col("w"))
         small = met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        was, old = state, table
+        was, olds = state, [*olds, table]
         table, state = _kept((small.coalesce(1) if was[0] <= FEW else small).distinct())
-        discard(old)
         if state == was:
             break
+    discard(*olds)
     return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
