@@ -37,20 +37,27 @@ def overlap_seconds(a: DataFrame, b: DataFrame, on: list[str], width: float, shi
 def shift_overlaps(a: DataFrame, b: DataFrame, on: list[str], most: int, hop: float, width: float) -> DataFrame:
     """on, shift (-most to most), overlap: seconds in common for every shift of a by shift * hop, where there are any.
 
-    Pairs within reach of each other meet once, by buckets, and each pair is expanded only to the shifts at which
-    it overlaps.
+    Times are whole milliseconds. As a is moved along, what an interval of each side have in common rises, stays and falls:
+    a sum of four ramps, which begin where one's end passes the other's start or end. Pairs within reach of each
+    other meet once, by buckets, and leave four rows whatever the number of shifts; these are summed up by the first shift past
+    each ramp's begin, and running sums over the shifts give all overlaps, exactly.
     """
-    reach = most * hop
-    wide = b.withColumn("lo", F.col("s2") - reach).withColumn("hi", F.col("e2") + reach)
-    left, right = bucketed(a, width), bucketed(wide, width, F.col("lo"), F.col("hi"))
-    near = (F.col("s") < F.col("hi")) & (F.col("e") > F.col("lo")) & (F.floor(F.greatest("s", "lo") / width).cast("long") == F.col("bucket"))
+    ms = lambda c: F.floor(F.col(c) * 1000).cast("long").alias(c)
+    step, reach = int(hop * 1000), int(most * hop * 1000)
+    wide = b.select(*on, ms("s2"), ms("e2")).withColumn("lo", F.col("s2") - reach).withColumn("hi", F.col("e2") + reach)
+    cell = width * 1000
+    left, right = bucketed(a.select(*on, ms("s"), ms("e")), cell), bucketed(wide, cell, F.col("lo"), F.col("hi"))
+    near = (F.col("s") <= F.col("hi")) & (F.col("e") >= F.col("lo")) & (F.floor(F.greatest("s", "lo") / cell).cast("long") == F.col("bucket"))
     pairs = left.join(right, [*on, "bucket"]).where(near)
-    first = F.greatest(F.lit(-most), F.floor((F.col("s2") - F.col("e")) / hop).cast("int"))
-    last = F.least(F.lit(most), F.ceil((F.col("e2") - F.col("s")) / hop).cast("int"))
-    each = pairs.withColumn("shift", F.explode(F.sequence(first, last)))
-    d = F.col("shift") * F.lit(float(hop))
-    each = each.withColumn("part", _overlap(F.col("s") + d, F.col("e") + d, F.col("s2"), F.col("e2"))).where("part > 0")
-    return each.groupBy(*on, "shift").agg(F.sum("part").alias("overlap"))
+    ramp = lambda x, y, sign: F.struct((F.col(x) - F.col(y)).alias("begin"), F.lit(sign).alias("sign"))
+    ramps = pairs.select(*on, F.explode(F.array(ramp("s2", "e", 1), ramp("s2", "s", -1), ramp("e2", "e", -1), ramp("e2", "s", 1))).alias("ramp")).select(*on, "ramp.*")
+    first = F.greatest(F.lit(-most), (F.floor(F.col("begin") / step) + 1).cast("int"))
+    begun = ramps.withColumn("shift", first).where(F.col("shift") <= most).groupBy(*on, "shift").agg(F.sum("sign").alias("slope"), F.sum(F.col("sign") * F.col("begin")).alias("base"))
+    every = begun.select(*on).distinct().withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    so_far = Window.partitionBy(*on).orderBy("shift").rowsBetween(Window.unboundedPreceding, 0)
+    known = every.join(begun, [*on, "shift"], "left")
+    total = F.sum(F.coalesce("slope", F.lit(0))).over(so_far) * F.col("shift") * step - F.sum(F.coalesce("base", F.lit(0))).over(so_far)
+    return known.select(*on, "shift", (total / 1000.0).alias("overlap")).where("overlap > 0")
 
 
 def best_shift(overlaps: DataFrame, on: list[str]) -> DataFrame:

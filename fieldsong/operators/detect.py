@@ -25,37 +25,43 @@ def window_detections(pages: DataFrame, filters: DataFrame, wanted: list[int], s
     return hit
 
 
-def detected_segments(windows: DataFrame, filters: DataFrame, seconds: float, page_seconds: float) -> DataFrame:
+def detected_segments(windows: DataFrame, filters: DataFrame, seconds: float, starts: DataFrame) -> DataFrame:
     """file_id, filter_id, species, calltype, s, e, certainty: runs of windows, joined over gaps, without short ones.
 
     Each recogniser's time range gives its least length and largest gap; longer segments than its longest are
-    split. Times count from the recording's start.
+    split. starts(file_id, page, page_start) says when a page begins; times count from the recording's start, and
+    calls that go on over a page's edge are one.
     """
-    keys = ["file_id", "page", "filter_id", "calltype"]
-    runs = intervals.run_lengths(windows, keys, "win", "present", seconds)
+    runs = intervals.run_lengths(windows, ["file_id", "page", "filter_id", "calltype"], "win", "present", seconds)
     about = F.broadcast(filters.select("filter_id", "calltype", "species", "time_range"))  # a row a subfilter
-    rows = runs.join(about, ["filter_id", "calltype"]).withColumn("ord", F.col("s"))
+    timed = runs.join(starts, ["file_id", "page"]).withColumns({c: F.col(c) + F.col("page_start") for c in ("s", "e")})
+    rows = timed.join(about, ["filter_id", "calltype"]).withColumn("ord", F.col("s"))
     least, longest, gap = F.col("time_range")[0], F.col("time_range")[1], F.col("time_range")[3]
-    by = [*keys, "species", "time_range"]
-    starts = F.col("reach").isNull() | (F.col("s") - F.col("reach") > gap)
-    joined = intervals._islands(rows, by, [F.col("s"), F.col("ord")], starts).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    by = ["file_id", "filter_id", "calltype", "species", "time_range"]
+    apart = F.col("reach").isNull() | (F.col("s") - F.col("reach") > gap)
+    joined = intervals._islands(rows, by, [F.col("s"), F.col("ord")], apart).groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     kept = joined.where(F.col("e") - F.col("s") >= least)
     n = F.greatest(F.lit(1), F.ceil((F.col("e") - F.col("s")) / longest)).cast("int")
     size = (F.col("e") - F.col("s")) / n
     pieces = kept.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
-    start = F.col("page") * page_seconds + F.col("s") + F.col("piece") * size
+    start = F.col("s") + F.col("piece") * size
     return pieces.select("file_id", "filter_id", "species", "calltype", start.alias("s"), (start + size).alias("e"), F.lit(50.0).alias("certainty"))
 
 
-def batch(pages: DataFrame, filters: DataFrame, seconds: float = 1.0, page_seconds: float = 900.0) -> DataFrame:
-    """Segments of all pages for all recognisers of pages' rates: each rate is resampled to once."""
+def batch(pages: DataFrame, filters: DataFrame, seconds: float = 1.0) -> DataFrame:
+    """Segments of all pages(file_id, page, fs, samples) for all recognisers: each rate is resampled to once.
+
+    A page begins at its start_sample; without that column every recording is one page.
+    """
+    begin = F.col("start_sample") / F.col("fs") if "start_sample" in pages.columns else F.lit(0.0)
+    starts = pages.select("file_id", "page", begin.alias("page_start"))
     listed = filters.select("sample_rate", "nodes").collect()  # a row a subfilter: recognisers are configuration
     parts = []
     for rate in sorted({r.sample_rate for r in listed}):
         own = filters.where(F.col("sample_rate") == rate)
         nodes = sorted({n for r in listed if r.sample_rate == rate for n in r.nodes})
         windows = window_detections(signal.resampled(pages, rate), own, nodes, seconds)
-        parts.append(detected_segments(windows, own, seconds, page_seconds))
+        parts.append(detected_segments(windows, own, seconds, starts))
     if not parts:
         return pages.sparkSession.createDataFrame([], "file_id string, filter_id string, species string, calltype string, s double, e double, certainty double")
     out = parts[0]

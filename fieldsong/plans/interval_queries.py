@@ -105,14 +105,7 @@ def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discretise_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Presence of purchases in each hour of the first three days of a recorder."""
-    det = detections(spark, sf_dir).where("species = 'purchase'").select("rec", (F.col("s") - 1704067200).alias("s"), (F.col("e") - 1704067200).alias("e"))
-    files = detections(spark, sf_dir).select("rec").distinct().withColumn("duration", F.lit(259200.0))
-    return summary.discretised(files, det, ["rec"], 3600.0)
-
-
-def discretise_presence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Presence of purchases in each hour up to the end of a recorder's last detection; discretise_presence stops after three days."""
+    """Presence of purchases in each hour up to the end of a recorder's last detection."""
     every = detections(spark, sf_dir).select("rec", "species", (F.col("s") - 1704067200).alias("s"), (F.col("e") - 1704067200).alias("e"))
     files = every.groupBy("rec").agg(F.max("e").alias("duration"))
     return summary.discretised(files, every.where("species = 'purchase'").select("rec", "s", "e"), ["rec"], 3600.0)
@@ -163,23 +156,11 @@ def overlap_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shift_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two(spark, sf_dir)
-    return _r(align.shift_overlaps(a.where("ord % 7 = 0"), b.where("ord2 % 7 = 0"), ["pair"], 30, 600.0, 86400.0), "overlap")
-
-
-def best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _two(spark, sf_dir)
-    found = align.best_shift(align.shift_overlaps(a.where("ord % 7 = 0"), b.where("ord2 % 7 = 0"), ["pair"], 30, 600.0, 86400.0), ["pair"])
-    return _r(found.select("pair", "shift", "overlap"), "overlap")
-
-
-def shift_overlaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All intervals of both recorders and all 601 shifts; shift_overlaps takes a seventh of each side and 61."""
+    """Seconds in common of neighbouring recorders at each of 601 shifts of ten minutes."""
     return _r(align.shift_overlaps(*_two(spark, sf_dir), ["pair"], 300, 600.0, 86400.0), "overlap")
 
 
-def best_shift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of all 601 shifts for all intervals of both recorders."""
+def best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align.best_shift(align.shift_overlaps(*_two(spark, sf_dir), ["pair"], 300, 600.0, 86400.0), ["pair"])
     return _r(found.select("pair", "shift", "overlap"), "overlap")
 
@@ -205,11 +186,6 @@ def unannotated_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = detections(spark, sf_dir).select("rec", "species", "cert")
-    return det.where("rec % 2 = 0").select("species", "cert", F.col("rec").alias("rec")).exceptAll(det.where("cert = 100").select("species", "cert", "rec"))
-
-
-def annotation_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds and recorders of detections of certainty 50 and more, without as many of those that are not 50; all recorders."""
     det = detections(spark, sf_dir)
     return det.where("cert >= 50").select("species", "rec").exceptAll(det.where("cert != 50").select("species", "rec"))
@@ -222,10 +198,10 @@ def next_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BEST = "JOIN b USING (pair) WHERE least(e, e2) > greatest(s, s2)"
-_SHIFT = f"""{DET}, {PAIRS}, d AS (SELECT unnest(range(-30, 31)) AS shift),
-o AS (SELECT pair, shift, sum(least(e + shift * 600.0, e2) - greatest(s + shift * 600.0, s2)) AS overlap
- FROM (SELECT * FROM a WHERE ord % 7 = 0) JOIN (SELECT * FROM b WHERE ord2 % 7 = 0) USING (pair) JOIN d ON true
- WHERE least(e + shift * 600.0, e2) > greatest(s + shift * 600.0, s2) GROUP BY pair, shift)"""
+_SHIFT = f"""{DET}, {PAIRS}, m AS (SELECT pair, CAST(floor(s * 1000) AS BIGINT) AS s, CAST(floor(e * 1000) AS BIGINT) AS e, CAST(floor(s2 * 1000) AS BIGINT) AS s2, CAST(floor(e2 * 1000) AS BIGINT) AS e2 FROM a JOIN b USING (pair)),
+x AS (SELECT *, unnest(range(greatest(-300, (s2 - e) // 600000 - 1), least(300, (e2 - s) // 600000 + 1) + 1)) AS shift FROM m WHERE s2 - e <= 180000000 AND e2 - s >= -180000000),
+o AS (SELECT pair, shift, CAST(sum(least(e + shift * 600000, e2) - greatest(s + shift * 600000, s2)) AS BIGINT) / 1000.0::DOUBLE AS overlap
+ FROM x WHERE least(e + shift * 600000, e2) > greatest(s + shift * 600000, s2) GROUP BY pair, shift)"""
 
 SQL = {
     "presence_by_day": f"""WITH {DET}, {_islands('s - pm > 3600')},
@@ -265,10 +241,7 @@ SELECT rec, bin, count(*) FILTER (cert = 0) AS unsure, count(*) FILTER (cert = 1
 CASE WHEN count(*) FILTER (cert = 0) > 0 THEN 'red' WHEN count(*) FILTER (cert > 0 AND cert < 100) > 0 THEN 'yellow' ELSE 'green' END AS colour FROM b GROUP BY rec, bin""",
     "file_status": f"""WITH {DET}, l AS (SELECT rec, min(cert) AS least FROM det WHERE species = 'error' GROUP BY rec)
 SELECT rec, CASE WHEN least IS NULL THEN -1 WHEN least = 0 THEN 0 WHEN least < 100 THEN 1 ELSE 2 END AS status FROM (SELECT DISTINCT rec FROM det) LEFT JOIN l USING (rec)""",
-    "discretise_presence": f"""WITH {DET}, h AS (SELECT DISTINCT rec, unnest(range(greatest(0, CAST(floor((s - 1704067200) / 3600) AS BIGINT)), least(72, CAST(ceil((e - 1704067200) / 3600) AS BIGINT)))) AS bin FROM det WHERE species = 'purchase'),
-sp AS (SELECT rec, unnest(range(72)) AS bin FROM (SELECT DISTINCT rec FROM det))
-SELECT sp.rec, sp.bin, CASE WHEN h.rec IS NULL THEN 0 ELSE 1 END AS present FROM sp LEFT JOIN h ON h.rec = sp.rec AND h.bin = sp.bin""",
-    "discretise_presence_all": f"""WITH {DET}, h AS (SELECT DISTINCT rec, unnest(range(CAST(floor((s - 1704067200) / 3600) AS BIGINT), CAST(ceil((e - 1704067200) / 3600) AS BIGINT))) AS bin FROM det WHERE species = 'purchase'),
+    "discretise_presence": f"""WITH {DET}, h AS (SELECT DISTINCT rec, unnest(range(CAST(floor((s - 1704067200) / 3600) AS BIGINT), CAST(ceil((e - 1704067200) / 3600) AS BIGINT))) AS bin FROM det WHERE species = 'purchase'),
 sp AS (SELECT rec, unnest(range(CAST(ceil((max(e) - 1704067200) / 3600) AS BIGINT))) AS bin FROM det GROUP BY rec)
 SELECT sp.rec, sp.bin, CASE WHEN h.rec IS NULL THEN 0 ELSE 1 END AS present FROM sp LEFT JOIN h ON h.rec = sp.rec AND h.bin = sp.bin""",
     "segment_summary": f"WITH {DET} SELECT rec, round(min(e - s), 4) AS shortest, round(max(e - s), 4) AS longest, round(median(e - s), 4) AS median, round(avg(e - s), 4) AS mean, count(*) AS n FROM det GROUP BY rec",
@@ -289,8 +262,7 @@ SELECT rec, day, count(*) AS n, count(*) FILTER (cert < 100) AS to_review, count
 f AS (SELECT rec, t FROM h WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.rec = h.rec AND (b.s - 1704067200) / 3600 <= h.t + 1 AND (b.e - 1704067200) / 3600 >= h.t)),
 r AS (SELECT rec, t, t - row_number() OVER (PARTITION BY rec ORDER BY t) AS run FROM f)
 SELECT rec, CAST(min(t) AS DOUBLE) AS s, max(t) + 1.0::DOUBLE AS e, count(*) AS pieces FROM r GROUP BY rec, run""",
-    "annotation_diff": f"WITH {DET} SELECT species, cert, rec FROM det WHERE rec % 2 = 0 EXCEPT ALL SELECT species, cert, rec FROM det WHERE cert = 100",
-    "annotation_diff_all": f"WITH {DET} SELECT species, rec FROM det WHERE cert >= 50 EXCEPT ALL SELECT species, rec FROM det WHERE cert <> 50",
+    "annotation_diff": f"WITH {DET} SELECT species, rec FROM det WHERE cert >= 50 EXCEPT ALL SELECT species, rec FROM det WHERE cert <> 50",
     "next_annotation": f"WITH {DET} SELECT rec, ord FROM det WHERE s > 1704844800.0 AND cert < 100 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY s, ord) = 1",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}

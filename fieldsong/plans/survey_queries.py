@@ -61,12 +61,7 @@ def _sheet_rows(det: DataFrame) -> DataFrame:
 
 
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as rows of a survey's sheet, matched with recordings that begin every quarter of an hour for one user in ten."""
-    return _sheet_rows(_day(spark, sf_dir).where("rec % 10 = 0"))
-
-
-def sheet_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all users."""
+    """Events as rows of a survey's sheet, matched with recordings that begin every quarter of an hour."""
     return _sheet_rows(_day(spark, sf_dir))
 
 
@@ -212,9 +207,7 @@ SELECT *, round(tn / nullif(CAST(tn + fp AS DOUBLE), 0), 6) AS specificity, roun
 t AS (SELECT rec, bin, calltype, quality FROM h QUALIFY row_number() OVER (PARTITION BY rec, bin ORDER BY quality DESC, calltype) = 1),
 g AS (SELECT rec, bin FROM (SELECT DISTINCT rec FROM dd) CROSS JOIN (SELECT unnest(range(24)) AS bin))
 SELECT rec, bin % 6 AS bin, CAST(calltype IS NOT NULL AS INT) AS present, calltype, quality, bin // 6 AS slot FROM g LEFT JOIN t USING (rec, bin)""",
-    "sheet_rows": f"""WITH {_DAY}, r AS (SELECT *, (ceil(s / 900) - 1) * 900 AS start_s FROM dd WHERE rec % 10 = 0 AND s > 0)
-SELECT ord, start_s, round(s - start_s - CASE WHEN ord % 2 = 0 THEN 40 ELSE 20 END, 4) AS s, round(s - start_s, 4) AS e FROM r""",
-    "sheet_rows_all": f"""WITH {_DAY}, r AS (SELECT *, (ceil(s / 900) - 1) * 900 AS start_s FROM dd WHERE s > 0)
+    "sheet_rows": f"""WITH {_DAY}, r AS (SELECT *, (ceil(s / 900) - 1) * 900 AS start_s FROM dd WHERE s > 0)
 SELECT ord, start_s, round(s - start_s - CASE WHEN ord % 2 = 0 THEN 40 ELSE 20 END, 4) AS s, round(s - start_s, 4) AS e FROM r""",
     "clip_spans": f"""WITH {_DAY}, c AS (SELECT ord, 0::INT AS part, CASE WHEN e - s < 14400 THEN greatest(0, (s + e) / 2 - 7200) ELSE greatest(s, 0) END AS cs FROM dd
 UNION ALL SELECT ord, 1, greatest(0, e - 14400) FROM dd WHERE e - s >= 14400) SELECT ord, part, round(cs, 4) AS cs, round(cs + 14400, 4) AS ce FROM c""",

@@ -113,9 +113,9 @@ def test_best_shift_of_all_intervals_and_601_shifts(spark, tmp_path):
         total = sum(max(0.0, min(e + k * 600, e2) - max(s + k * 600, s2)) for s, e in a for s2, e2 in b)
         if total > 0:
             want[k] = total
-    got = {r["shift"]: r.overlap for r in interval_queries.shift_overlaps_all(spark, str(tmp_path)).collect()}
+    got = {r["shift"]: r.overlap for r in interval_queries.shift_overlaps(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
-    best = interval_queries.best_shift_all(spark, str(tmp_path)).collect()
+    best = interval_queries.best_shift(spark, str(tmp_path)).collect()
     assert [(r.pair, r["shift"]) for r in best] == [(1, 200)] and max(want, key=want.get) == 200
 
 

@@ -54,8 +54,8 @@ def test_whole_jobs_leave_no_recorder_out(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     recorders = {r.user_id for r in events.select("user_id").distinct().collect()}
     user = {r.event_id: r.user_id for r in events.select("event_id", "user_id").collect()}
-    assert {user[r.ord] for r in rows("sheet_rows_all")} == recorders
-    assert {r.rec % 2 for r in rows("annotation_diff_all")} == {0, 1}
-    hours = rows("discretise_presence_all")
+    assert {user[r.ord] for r in rows("sheet_rows")} == recorders
+    assert {r.rec % 2 for r in rows("annotation_diff")} == {0, 1}
+    hours = rows("discretise_presence")
     assert {r.rec for r in hours} == recorders
     assert any(r.present and r.bin >= 72 for r in hours)
