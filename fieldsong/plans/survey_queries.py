@@ -180,7 +180,7 @@ def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("a", "one", 16000, "x", 0.3, [3, 5], [0.002, 0.02, 0.0, 0.004]), ("b", "two", 8000, "y", 0.8, [1, 6], [0.001, 0.05, 0.0, 0.002])],
         "filter_id string, species string, sample_rate int, calltype string, thr double, nodes array<int>, time_range array<double>",
     )
-    return detect.batch(_signals(spark, sf_dir), filters, 0.002, 0.064)
+    return detect.batch(_signals(spark, sf_dir), filters, 0.002)
 
 
 _DAY = f"""{DET}, dd AS (SELECT ord, rec, species, cert, day, s - day * 86400 AS s, s - day * 86400 + (e - s) AS e FROM (SELECT *, CAST(floor(s / 86400) AS BIGINT) AS day FROM det))"""
