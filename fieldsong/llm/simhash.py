@@ -7,10 +7,10 @@ how many blocks a pair shares tells how many bytes it shares: all 14 for eight b
 most 1 for fewer. Each pair met in postings is tallied by blocks, pairs that reach the guaranteed minimum are
 retained, and their differing bits verified.
 
-Only distinct fingerprints are indexed, so copies never meet each other. A posting with many members (near copies
-of one text) is split by further positions: two members that share six bytes share two of the four bytes outside
-the block as well, and meet in the part of those two. A fingerprint has at most 2,080 others within two bits,
-so what is retained grows with the fingerprints, whatever the groups.
+Only distinct fingerprints are indexed, so copies never meet each other. Near copies of one text can be many within
+two bits of each other: members of a posting that holds more than CROWDED are not paired but linked by way of the
+numbers that are at most one bit from two of them (see _stars), which joins the same ones by a number of links that
+grows with the members.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from fieldsong.llm.words import ngram_runs
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Postings with more members than this are split by further positions.
-CROWDED = 64
+#: Members of postings with more than this go the way of _stars.
+CROWDED = 24
 #: Blocks of four positions: with the position's number in binary as a point of a space over {0, 1}, its planes.
 BLOCKS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 
@@ -80,36 +80,46 @@ def _posting(at: int, positions: tuple[int, ...]) -> Column:
     return F.struct(F.lit(at).alias("at"), _bytes_at(F.col("fp"), positions).alias("held"))
 
 
-def _met(index: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of members of one posting, with the block."""
-    a = index.select(*keys, "block", F.col("fp").alias("a"))
-    b = index.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("fp").alias("b"))
-    same = F.col("a") < F.col("b")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"b_{k}"))
-    return a.join(b, same).select("a", "b", "block")
+def _stars(crowded: DataFrame, max_bits: int) -> DataFrame:
+    """Links(a, b) that join any two of crowded(fp) at most max_bits apart, without pairing them, for 0 to 2 bits.
 
+    Two fingerprints at most two bits apart have a meeting point: a number that is each of them with at most one
+    bit turned. Each fingerprint calls at its 65 points, and all that call at one point, who are two bits apart
+    at most, are linked to the smallest.
+    """
+    flips = [0, *((1 << k) - (1 << 64) if k == 63 else 1 << k for k in range(64))]
+    turns = F.array(*[F.lit(x).cast("long") for x in (flips if max_bits else [0])])
+    calls = crowded.select("fp", F.explode(F.transform(turns, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    first = calls.groupBy("point").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    linked = calls.join(first, "point").where(F.col("fp") != F.col("least"))
+    return linked.select(F.col("least").alias("a"), F.col("fp").alias("b")).where(bits_apart(F.col("a"), F.col("b")) <= max_bits)
 
-def tallied(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints fps(fp) with tally, the blocks that they share, where it is enough for max_bits."""
-    if not 0 <= max_bits <= 2:
-        raise ValueError("fingerprints are linked at 0, 1 or 2 differing bits")
+
+def postings(fps: DataFrame) -> DataFrame:
+    """fp, at (the block), held (its bytes), n: the written index, without postings of one member."""
     index = fps.select("fp", F.explode(F.array(*[_posting(k, p) for k, p in enumerate(BLOCKS)])).alias("posting")).select("fp", "posting.*")
     sizes = index.groupBy("at", "held").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = written(index.join(sizes, ["at", "held"]).withColumn("block", F.col("at")))
-    few = _met(index.where(F.col("n") <= CROWDED), ["at", "held"])
-    # The four positions outside a block, two by two.
-    outside = [[_posting(6 * k + i, (*p, *q)) for i, q in enumerate(combinations(sorted(set(range(8)) - set(p)), 2))] for k, p in enumerate(BLOCKS)]
-    parts = F.element_at(F.array(*[F.array(*x) for x in outside]), F.col("block") + 1)
-    split = index.where(F.col("n") > CROWDED).select("fp", "block", F.explode(parts).alias("part")).select("fp", "block", "part.*")
-    pairs = few.unionByName(_met(split, ["at", "held"]))
-    tally = pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, block)")).alias("blocks"))
-    return tally.select("a", "b", F.bit_count("blocks").alias("tally")).where(F.col("tally") >= least_tally(max_bits))
+    return written(index.join(sizes, ["at", "held"]))
+
+
+def tallied(index: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (a, b) that meet in the postings, with tally, the blocks that they share, where it is enough for max_bits."""
+    a, b = index.select("at", "held", F.col("fp").alias("a")), index.select(F.col("at").alias("b_at"), F.col("held").alias("b_held"), F.col("fp").alias("b"))
+    met = a.join(b, (F.col("at") == F.col("b_at")) & (F.col("held") == F.col("b_held")) & (F.col("a") < F.col("b")))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally")).where(F.col("tally") >= least_tally(max_bits))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links(a, b) between distinct fingerprints fps(fp): all pairs that are at most max_bits apart."""
-    return tallied(fps, max_bits).where(bits_apart(F.col("a"), F.col("b")) <= max_bits).select("a", "b")
+    """Links(a, b) between distinct fingerprints fps(fp): enough to join all that are at most max_bits apart.
+
+    Two that share a crowded posting are joined by _stars; two that share none meet in all the blocks that they share,
+    so their tally is whole.
+    """
+    if not 0 <= max_bits <= 2:
+        raise ValueError("fingerprints are linked at 0, 1 or 2 differing bits")
+    index = postings(fps)
+    pairs = tallied(index.where(F.col("n") <= CROWDED), max_bits).where(bits_apart(F.col("a"), F.col("b")) <= max_bits)
+    return pairs.select("a", "b").unionByName(_stars(index.where(F.col("n") > CROWDED).select("fp").distinct(), max_bits))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
