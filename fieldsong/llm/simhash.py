@@ -85,11 +85,13 @@ def _stars(crowded: DataFrame, max_bits: int) -> DataFrame:
 
     Two fingerprints at most two bits apart have a meeting point: a number that is each of them with at most one
     bit turned. Each fingerprint calls at its 65 points, and all that call at one point, who are two bits apart
-    at most, are linked to the smallest.
+    at most, are linked to the smallest. With one bit, only those who call on each other are linked.
     """
     flips = [0, *((1 << k) - (1 << 64) if k == 63 else 1 << k for k in range(64))]
     turns = F.array(*[F.lit(x).cast("long") for x in (flips if max_bits else [0])])
     calls = crowded.select("fp", F.explode(F.transform(turns, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    if max_bits < 2:
+        return calls.join(crowded.select(F.col("fp").alias("host")), F.col("point") == F.col("host")).where("fp < host").select(F.col("fp").alias("a"), F.col("host").alias("b"))
     first = calls.groupBy("point").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     linked = calls.join(first, "point").where(F.col("fp") != F.col("least"))
     return linked.select(F.col("least").alias("a"), F.col("fp").alias("b")).where(bits_apart(F.col("a"), F.col("b")) <= max_bits)
