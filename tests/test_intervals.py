@@ -1,5 +1,6 @@
 """Interval operators on small cases, and against plain loops on random ones."""
 
+import math
 import random
 
 import pytest
@@ -107,10 +108,11 @@ def test_best_shift_of_all_intervals_and_601_shifts(spark, tmp_path):
         rows += [(2 * k, 2, "view", at, 1.0 + rng.random()), (2 * k + 1, 3, "view", at + 200 * 600, 1.0 + rng.random())]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t long, value double")
     df.selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(t) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
-    a, b = ([(t, t + v * 600) for _, u, _, t, v in rows if u == n] for n in (2, 3))
+    ms = lambda t: math.floor(t * 1000)  # noqa: E731  times are whole milliseconds
+    a, b = ([(ms(t), ms(t + v * 600)) for _, u, _, t, v in rows if u == n] for n in (2, 3))
     want = {}
     for k in range(-300, 301):
-        total = sum(max(0.0, min(e + k * 600, e2) - max(s + k * 600, s2)) for s, e in a for s2, e2 in b)
+        total = sum(max(0, min(e + k * 600_000, e2) - max(s + k * 600_000, s2)) for s, e in a for s2, e2 in b) / 1000
         if total > 0:
             want[k] = total
     got = {r["shift"]: r.overlap for r in interval_queries.shift_overlaps(spark, str(tmp_path)).collect()}
