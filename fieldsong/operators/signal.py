@@ -103,11 +103,13 @@ def power_segments(frames: DataFrame, hop_s: float, threshold: float = 1.0, widt
 
 def amplitude_segments(pages: DataFrame, share: float) -> DataFrame:
     """Runs of samples louder than a share of the page's loudest, in seconds."""
-    from fieldsong.operators.intervals import run_lengths
 
-    loud = pages.withColumn("top", F.array_max(F.transform("samples", lambda x: F.abs(x))))
-    each = loud.select(*KEYS, "fs", "top", F.posexplode("samples").alias("i", "x")).withColumn("on", (F.abs("x") > share * F.col("top")).cast("int"))
-    return run_lengths(each, [*KEYS, "fs"], "i", "on").withColumn("s", F.col("s") / F.col("fs")).withColumn("e", F.col("e") / F.col("fs"))
+    def kernel(x: np.ndarray, fs: int) -> dict:
+        loud = np.abs(x)
+        turns = np.flatnonzero(np.diff(loud > share * loud.max(initial=0.0), prepend=False, append=False))
+        return {"s": turns[::2] / fs, "e": turns[1::2] / fs}
+
+    return per_page(pages, kernel, "s double, e double")
 
 
 def fir_taps(low: float | None, high: float | None, fs: int, taps: int = 129) -> np.ndarray:
@@ -244,11 +246,21 @@ def wind_strength(pages: DataFrame, low: float = 50.0, high: float = 500.0, widt
 def mfcc(frames: DataFrame, bands: DataFrame, count: int = 13) -> DataFrame:
     """file_id, page, frame, c, value: cosine transform of the logarithms of mel band energies.
 
-    bands(k, band, weight) is a short table of the filter bank.
+    bands(k, band, weight) is a short table of the filter bank; a batch of frames is two matrix products. Bands
+    without any weight take no part.
     """
-    n = bands.agg(F.max("band")).first()[0] + 1
-    each = frames.select(*KEYS, "frame", F.posexplode("mags").alias("k", "m"))
-    energy = each.join(F.broadcast(bands), "k").groupBy(*KEYS, "frame", "band").agg(F.ln(F.sum(F.col("m") * F.col("m") * F.col("weight")) + 1e-10).alias("y"))
-    waves = energy.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    angle = F.lit(np.pi / n) * (F.col("band") + 0.5) * F.col("c")
-    return waves.groupBy(*KEYS, "frame", "c").agg((F.sqrt(F.lit(2.0 / n)) * F.sum(F.col("y") * F.cos(angle))).alias("value"))
+    bank = bands.where("weight > 0").toPandas()  # bins of a frame times bands: configuration
+    n = int(bank["band"].max()) + 1
+    heights = np.zeros((int(bank["k"].max()) + 1, n))
+    heights[bank["k"], bank["band"]] = bank["weight"]
+    used = np.flatnonzero(heights.any(axis=0))
+    waves = np.sqrt(2.0 / n) * np.cos(np.pi / n * (used[:, None] + 0.5) * np.arange(count))
+
+    def of(mags: pd.Series) -> pd.Series:
+        if mags.empty:
+            return pd.Series([], dtype=object)
+        m = np.stack(mags)[:, : len(heights)].astype(float)
+        return pd.Series(list(np.log(m * m @ heights[:, used] + 1e-10) @ waves))
+
+    values = F.pandas_udf(of, "array<double>")
+    return frames.select(*KEYS, "frame", F.posexplode(values("mags")).alias("c", "value"))

@@ -50,9 +50,9 @@ def stft_loudest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stft_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of bins 4 to 11, by cutting the others off and by masking them."""
     total = F.aggregate("mags", F.lit(0.0), lambda a, m: a + m.cast("double"))
-    cut = signal.band_limited(_frames(spark, sf_dir), 4, 12).select("file_id", "frame", F.size("mags").alias("bins"), F.round(total, 4).alias("band"))
-    kept = signal.masked(_frames(spark, sf_dir), 4, 12).select("file_id", "frame", F.size("mags").alias("all_bins"), F.round(total, 4).alias("masked"))
-    return cut.join(kept, ["file_id", "frame"])
+    masked = signal.masked(_frames(spark, sf_dir), 4, 12).withColumns({"all_bins": F.size("mags"), "masked": F.round(total, 4)})
+    cut = signal.band_limited(masked, 4, 12)
+    return cut.select("file_id", "frame", F.size("mags").alias("bins"), F.round(total, 4).alias("band"), "all_bins", "masked")
 
 
 def power_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
