@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldsong.functions import nodes, units
-from fieldsong.operators import evaluate, labels
+from fieldsong.operators import evaluate, labels, wavelets
 from fieldsong.plans.adapters import DET, LABELLED, SPECTRA, detections, labelled, spectra, table
 
 
@@ -115,9 +115,8 @@ def top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bin's share, in percent, of the energy of its level; levels are bins 0, 1-2, 3-6 and so on."""
-    sp = spectra(spark, sf_dir).withColumn("level", nodes.level_of(F.col("k"))).withColumn("energy", F.col("x") * F.col("x"))
-    share = 100 * F.col("energy") / F.sum("energy").over(Window.partitionBy("vec_id", "level"))
-    return sp.select("vec_id", "k", "level", F.round(share, 6).alias("share"))
+    e = spectra(spark, sf_dir).select(F.col("vec_id").alias("file_id"), F.lit(0).alias("page"), F.col("k").alias("node"), F.lit(0).alias("win"), (F.col("x") * F.col("x")).alias("energy"))
+    return wavelets.level_shares(e).select(F.col("file_id").alias("vec_id"), F.col("node").alias("k"), "level", F.round("share", 6).alias("share"))
 
 
 def window_energy(spark: SparkSession, sf_dir: str) -> DataFrame:

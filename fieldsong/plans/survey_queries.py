@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldsong.functions import units
 from fieldsong.operators import detect, intervals, summary, survey
 from fieldsong.plans.adapters import DET, LABELLED, SPECTRA, detections, labelled, spectra, table
+from fieldsong.sources import annotations
 
 DAY = 86400
 
@@ -149,9 +150,11 @@ def species_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def done_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorders of both halves of the month, and those of the first half only, as resumed runs tell them apart."""
     det = _day(spark, sf_dir)
-    early = det.where("day < 19737").select("rec").distinct()
-    late = det.where("day >= 19737").select("rec").distinct()
-    return early.intersect(late).withColumn("state", F.lit("again")).unionByName(early.exceptAll(late).withColumn("state", F.lit("done")))
+    early = det.where("day < 19737").select(F.col("rec").alias("path")).distinct()
+    log = det.where("day >= 19737").select(F.col("rec").alias("path"), F.lit("Any sound").alias("species"), F.lit("wv").alias("settings")).distinct()
+    done = annotations.not_done(early, log, "Any sound", "wv")
+    again = early.join(done, "path", "left_anti")
+    return again.withColumn("state", F.lit("again")).unionByName(done.withColumn("state", F.lit("done"))).withColumnRenamed("path", "rec")
 
 
 def file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
