@@ -25,7 +25,8 @@ def per_page(pages: DataFrame, kernel: Callable[[np.ndarray, int], dict], schema
                 got = pd.DataFrame(kernel(np.asarray(samples, dtype=float), int(fs)))
                 got.insert(0, "page", page)
                 got.insert(0, "file_id", file_id)
-                yield got
+                if len(got):
+                    yield got
 
     return pages.select(*KEYS, "fs", "samples").mapInPandas(run, f"file_id string, page int, {schema}")
 
@@ -48,6 +49,8 @@ def window_of(name: str, n: int) -> np.ndarray:
 
 def magnitudes(x: np.ndarray, width: int, hop: int, window: str = "Hann") -> np.ndarray:
     """Frames by bins; the mean of the samples is taken off first, and a last frame that ends with them is left out."""
+    if len(x) < 2:
+        return np.empty((0, width // 2))
     width = min(width, len(x) - 1)
     x = x - x.mean()
     frames = np.lib.stride_tricks.sliding_window_view(x, width)[: max(0, len(x) - width) : hop]
