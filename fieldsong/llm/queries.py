@@ -14,6 +14,7 @@ from fieldsong.llm.language import fit, identify, training_rows
 from fieldsong.llm.media import media_digests
 from fieldsong.llm.mixing import taken_per_document
 from fieldsong.llm.quality import classify, learn
+from fieldsong.llm.search import search
 from fieldsong.llm.sharding import shard_documents
 from fieldsong.llm.simhash import hex_of, near_duplicates
 from fieldsong.llm.url_rules import filter_pages
@@ -64,8 +65,12 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mix_sources, op2_media, op3_language, op4_simhash, op5_preference_chats, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards,
+    op1_mix_sources, op2_media, op3_language, op4_simhash, op5_preference_chats, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards, op11_search,
 )}
 
 ORACLE: dict[str, str] = {
@@ -152,4 +157,26 @@ SELECT page_id, host, path,
        coalesce((SELECT verdict FROM rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
         ORDER BY length(r_host || r_path) DESC, r_host || r_path LIMIT 1), 'allow') AS verdict
 FROM split""",
+    "op11_search": r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS seat,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), sums AS (
+  SELECT count(*) FILTER (len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM docs
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), spread AS (
+  SELECT seat, unnest(words) AS term FROM docs
+), counted AS (
+  SELECT seat, term, count(*) AS tf FROM spread SEMI JOIN wanted USING (term) GROUP BY seat, term
+), weighed AS (
+  SELECT term, CAST(floor(1000.0::DOUBLE * ln(CAST(2 * (SELECT n_docs FROM sums) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM counted GROUP BY term
+), impact AS (
+  SELECT seat, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * len(words) * n_docs) // n_terms)))) AS i
+  FROM counted JOIN weighed USING (term) JOIN docs USING (seat), sums
+), scored AS (
+  SELECT item_id, seat, doc_id, CAST(sum(i) AS BIGINT) AS score FROM impact JOIN wanted USING (term) GROUP BY item_id, seat, doc_id HAVING sum(i) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
