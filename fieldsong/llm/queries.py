@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldsong.llm import toxicity
 from fieldsong.llm.alignment import align, files
 from fieldsong.llm.bpe import ranks_file, token_digests
 from fieldsong.llm.chat import paired_by_opening
@@ -70,12 +71,17 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), *files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_mix_sources, op2_media, op3_language, op4_simhash, op5_preference_chats, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards, op11_search, op13_alignment,
+    op1_mix_sources, op2_media, op3_language, op4_simhash, op5_preference_chats, op6_quality, op7_nearest, op8_bpe, op9_url_filters, op10_shards, op11_search, op12_toxicity, op13_alignment,
 )}
 
 ORACLE: dict[str, str] = {
