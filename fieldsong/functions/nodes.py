@@ -18,6 +18,14 @@ def band_order(position: Column) -> Column:
     return out
 
 
+def band_position(node: int) -> int:
+    """band_order() of one node, in plain numbers."""
+    out = node + 1 - (1 << (node + 1).bit_length() - 1)
+    for shift in (1, 2, 4, 8):
+        out ^= out >> shift
+    return out
+
+
 def node_bands(spark: SparkSession, levels: int, rate: int) -> DataFrame:
     """node, level, f_lo, f_hi for all nodes down to a level."""
     nodes = spark.range(2 ** (levels + 1) - 1).select(F.col("id").cast("int").alias("node"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldsong.sources.scratch import written
+from fieldsong.operators import grouping
 
 
 def _overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -88,17 +88,6 @@ def uncovered_seconds(spine: DataFrame, b: DataFrame, on: list[str], width: floa
 def recorder_groups(edges: DataFrame) -> DataFrame:
     """recorder, root, shift: recorders linked by edges(a, b, shift), with the shift to the smallest of their group.
 
-    Labels go from neighbour to neighbour, the smallest root wins and its shift is added up along the way; of
-    paths of equal root the one found first (fewest steps), then that of the smallest neighbour. A round is a step, and
-    rounds go on until nothing changes.
+    Rounds grow with the logarithm of the longest chain, see grouping.connected().
     """
-    both = edges.select("a", "b", "shift").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("shift")).alias("shift")))
-    now = both.select(F.col("a").alias("recorder")).union(both.select("b")).distinct().select("recorder", F.col("recorder").alias("root"), F.lit(0.0).alias("shift"), F.lit(0).alias("steps"))
-    while True:
-        offers = both.join(now, both.b == now.recorder).select(F.col("a").alias("recorder"), "root", (now["shift"] + both["shift"]).alias("shift"), (F.col("steps") + 1).alias("steps"), F.col("b").alias("via"))
-        all_ = now.select("*", F.lit(None).cast(dict(edges.dtypes)["b"]).alias("via")).unionByName(offers)
-        best = Window.partitionBy("recorder").orderBy("root", "steps", F.col("via").asc_nulls_first())
-        new = written(all_.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "via"))
-        if new.exceptAll(now).isEmpty():
-            return new.select("recorder", "root", "shift")
-        now = new
+    return grouping.connected(edges).select(F.col("id").alias("recorder"), "root", "shift")

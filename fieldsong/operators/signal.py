@@ -128,7 +128,7 @@ def fir_taps(low: float | None, high: float | None, fs: int, taps: int = 129) ->
 
 def band_passed(pages: DataFrame, low: float | None, high: float | None) -> DataFrame:
     def kernel(x: np.ndarray, fs: int) -> dict:
-        return {"fs": [fs], "samples": [np.convolve(x, fir_taps(low, high, fs), "same")]}
+        return {"fs": [fs], "samples": [np.convolve(x, fir_taps(low, high, fs), "same")[: len(x)] if len(x) else x]}
 
     return per_page(pages, kernel, "fs int, samples array<double>")
 
@@ -236,6 +236,8 @@ def wind_strength(pages: DataFrame, low: float = 50.0, high: float = 500.0, widt
     """file_id, page, mean, sd of the logarithm of the power density between low and high Hz."""
 
     def kernel(x: np.ndarray, fs: int) -> dict:
+        if not len(x):
+            return {"mean": [], "sd": []}
         n = min(width, len(x))
         frames = np.lib.stride_tricks.sliding_window_view(x, n)[:: max(1, n // 2)]
         power = (np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window_of("Hann", n), axis=1)) ** 2).mean(axis=0)

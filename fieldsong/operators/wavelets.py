@@ -35,6 +35,8 @@ def daubechies(n: int) -> tuple[np.ndarray, np.ndarray]:
 def children(data: np.ndarray, low: np.ndarray, high: np.ndarray, root: bool) -> tuple[np.ndarray, np.ndarray]:
     """Both children of a node's coefficients, not thinned."""
     data = data if root else data[::2]
+    if not len(data):
+        return data, data
     n = len(low)
     wide = np.pad(data, (n + 1, n - 1), "symmetric") if len(data) > n else np.pad(data, (n + 1, n - 1), "edge")
     return tuple(np.convolve(wide, f, "same")[n:-n] for f in (low, high))
@@ -217,6 +219,8 @@ def denoised(pages: DataFrame, level: int, filters: tuple[np.ndarray, np.ndarray
         return out
 
     def kernel(x: np.ndarray, fs: int) -> dict:
+        if not len(x):
+            return {"fs": [fs], "samples": [x]}
         block = 2**level
         c, details = np.pad(x, (0, -len(x) % block)), []
         for _ in range(level):

@@ -189,11 +189,12 @@ def density_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recorder_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorders of 32 consecutive numbers form four chains; a recorder's clock is three seconds a number ahead."""
+    """Recorders of a remainder by four form chains as long as the table has them; a clock lies behind the next one's by what the number says."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    edges = users.where(F.col("user_id") % 32 >= 4).select((F.col("user_id") - 4).alias("a"), F.col("user_id").alias("b"), F.lit(12.0).alias("shift"))
-    have = edges.join(users.select(F.col("user_id").alias("a")), "a")
-    return align.recorder_groups(have).select("recorder", "root")
+    late = (F.col("user_id") % 7 - 3).cast("double")
+    edges = users.select(F.col("user_id").alias("a"), (F.col("user_id") + 4).alias("b"), late.alias("shift"))
+    have = edges.join(users.select(F.col("user_id").alias("b")), "b", "left_semi")
+    return align.recorder_groups(have)
 
 
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +270,9 @@ QUALIFY row_number() OVER (PARTITION BY threshold ORDER BY score DESC, size, own
     "clusters_merged": "SELECT vec_id, CAST(dense_rank() OVER (ORDER BY CASE WHEN label IN (2, 5) THEN -1 ELSE label END) - 1 AS INT) AS cluster FROM embeddings",
     "density_links": f"""WITH {SPECTRA}, {_PAIRS}, nr AS (SELECT a, b FROM pr WHERE d <= 8.0),
 co AS (SELECT v FROM (SELECT a AS v FROM nr UNION ALL SELECT b FROM nr) GROUP BY v HAVING count(*) + 1 >= 3) SELECT a, b FROM nr WHERE a IN (SELECT v FROM co) OR b IN (SELECT v FROM co)""",
-    "recorder_groups": """WITH RECURSIVE u AS (SELECT DISTINCT user_id AS v FROM events), e AS (SELECT v - 4 AS a, v AS b FROM u WHERE v % 32 >= 4 AND v - 4 IN (SELECT v FROM u)),
-w AS (SELECT a AS recorder, a AS root FROM e UNION SELECT b, b FROM e UNION SELECT w.recorder, e.a FROM w JOIN e ON e.b = w.root) SELECT recorder, min(root) AS root FROM w GROUP BY recorder""",
+    "recorder_groups": """WITH u AS (SELECT DISTINCT user_id AS v FROM events), e AS (SELECT v, v % 4 AS chain, v - 4 * row_number() OVER (PARTITION BY v % 4 ORDER BY v) AS run FROM u),
+g AS (SELECT v, min(v) OVER o AS root, count(*) OVER o AS n, coalesce(sum(v % 7 - 3) OVER (PARTITION BY chain, run ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e WINDOW o AS (PARTITION BY chain, run))
+SELECT v AS recorder, root, CAST(-before AS DOUBLE) AS shift FROM g WHERE n > 1""",
     "wav_round_trip": f"""WITH {_SIG}, w AS (SELECT file_id, i, CAST(greatest(-32768, least(32767, trunc(x * 100000.0::DOUBLE))) AS BIGINT) AS x FROM sig)
 SELECT file_id, CAST(i // 400 AS INT) AS page, i // 400 * 400 AS start_sample, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS low, max(x) AS high FROM w GROUP BY file_id, i // 400""",
     "wav_headers": f"WITH {_SIG} SELECT file_id AS path, 44 + count(*) * 3 AS length, 1::INT AS channels, 16000::INT AS rate, 24::INT AS bits, count(*) / 16000.0::DOUBLE AS duration FROM sig GROUP BY file_id",

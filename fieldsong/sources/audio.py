@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,27 +29,46 @@ def valid(found: DataFrame) -> DataFrame:
     return found.where((F.col("length") >= LEAST_BYTES) & (head.isin(bytearray(b"RIFF"), bytearray(b"fLaC")) | (F.substring("content", 1, 2) == F.lit(bytearray(b"BM")))))
 
 
-def parse_header(content: bytes) -> tuple[int, int, int, int, int] | None:
-    """channels, rate, bits, where the samples start and how many bytes they take; null if it is no PCM WAV."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+def walk_header(size: int, read: Callable[[int, int], bytes]) -> tuple[int, int, int, int, int] | None:
+    """channels, rate, bits, where the samples start and how many bytes of whole frames they have; null if it is no PCM WAV.
+
+    read(at, n) gives n bytes of the file, fewer at its end. Only chunk heads are read. Recordings that stop early, whose
+    data size was never filled in, or whose sizes go beyond 4 GB (RF64) have what is in the file; a chunk that is cut short
+    ends the walk.
+    """
+    head = read(0, 12)
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         return None
-    at, fmt = 12, None
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
+    at, fmt, long_size = 12, None, None
+    while len(chunk := read(at, 8)) == 8:
+        name, n = chunk[:4], struct.unpack("<I", chunk[4:])[0]
         if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", content[at + 8 : at + 24])
-            fmt = (channels, rate, bits) if kind in (1, 0xFFFE) else None
+            if n < 16 or len(body := read(at + 8, 16)) < 16:
+                return None
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body)
+            fmt = (channels, rate, bits) if kind in (1, 0xFFFE) and channels and rate and bits in (8, 16, 24, 32) else None
+        elif name == b"ds64" and len(body := read(at + 8, 16)) == 16:
+            long_size = struct.unpack("<Q", body[8:])[0]
         elif name == b"data":
-            return fmt and (*fmt, at + 8, min(size, len(content) - at - 8))
-        at += 8 + size + size % 2
+            if fmt is None:
+                return None
+            there = max(0, size - at - 8)
+            n = there if n == 0 else min(long_size if n == 0xFFFFFFFF and long_size is not None else n, there)
+            frame = fmt[0] * fmt[2] // 8
+            return (*fmt, at + 8, n // frame * frame)
+        at += 8 + n + n % 2
     return None
 
 
+def parse_header(content: bytes) -> tuple[int, int, int, int, int] | None:
+    """walk_header() of a file in memory."""
+    return walk_header(len(content), lambda at, n: content[at : at + n])
+
+
 def decode(raw: bytes, bits: int, channels: int) -> np.ndarray:
-    """The left channel as whole numbers, not scaled: 8 bits unsigned, 16, 24 and 32 signed."""
+    """The left channel as whole numbers, not scaled: 8 bits unsigned, 16, 24 and 32 signed. A frame that is cut short is left out."""
     width = bits // 8
-    if len(raw) % (width * channels):
-        raise ValueError("the samples don't fill whole frames")
+    raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 3:
         three = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         flat = (three[:, 0] << 8 | three[:, 1] << 16 | three[:, 2] << 24) >> 8
@@ -109,6 +130,71 @@ def pages(found: DataFrame, least_seconds: float = 2.0, length: int | None = Non
     return found.select("path", "content").mapInPandas(cut, "file_id string, page int, start_sample long, fs int, samples array<double>")
 
 
+def opened(path: str):
+    """A file that can be read from any place: local, or in a store that pyarrow knows by the path's scheme (s3, gs, hdfs and others)."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(inner)
+
+
+def reader(f) -> Callable[[int, int], bytes]:
+    def read(at: int, n: int) -> bytes:
+        f.seek(min(at, f.size()))
+        return f.read(n)
+
+    return read
+
+
+def page_ranges(found: DataFrame, least_seconds: float = 2.0, length: int | None = None) -> DataFrame:
+    """file_id, page, start_sample, fs, n_frames, at, n_bytes, channels, bits: where in its file each page lies.
+
+    Only the heads of chunks are read, whatever the size of a file. Files that are no PCM WAV have no pages; what ends
+    within a frame loses that frame. A last page under least_seconds is left out.
+    """
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for path in x["path"]:
+                with opened(path) as f:
+                    head = walk_header(f.size(), reader(f))
+                if head:
+                    rows.append((path, *head))
+            yield pd.DataFrame(rows, columns=["file_id", "channels", "fs", "bits", "data_at", "data_bytes"])
+
+    heads = found.select("path").mapInPandas(probe, "file_id string, channels int, fs int, bits int, data_at long, data_bytes long")
+    step = F.lit(length).cast("long") if length else F.when(F.col("fs") <= SLOW_RATE, SLOW_PAGE_SECONDS * F.col("fs")).otherwise(F.lit(PAGE_SAMPLES)).cast("long")
+    frame = (F.col("channels") * F.col("bits") / 8).cast("long")
+    sized = heads.withColumns({"step": step, "frame": frame}).withColumn("frames", F.expr("data_bytes div frame")).where("frames > 0")
+    cut = sized.withColumn("page", F.explode(F.expr("sequence(0, cast((frames - 1) div step as int))"))).withColumn("start_sample", F.col("page") * F.col("step"))
+    cut = cut.withColumn("n_frames", F.least("step", F.col("frames") - F.col("start_sample"))).where(F.col("n_frames") >= least_seconds * F.col("fs"))
+    return cut.select("file_id", "page", "start_sample", "fs", "n_frames", (F.col("data_at") + F.col("start_sample") * F.col("frame")).alias("at"), (F.col("n_frames") * F.col("frame")).alias("n_bytes"), "channels", "bits")
+
+
+def read_ranges(ranges: DataFrame) -> DataFrame:
+    """file_id, page, start_sample, fs, samples of page_ranges(): each page's bytes are read by themselves, one page at a time."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for r in x.itertuples(index=False):
+                with opened(r.file_id) as f:
+                    samples = decode(reader(f)(int(r.at), int(r.n_bytes)), int(r.bits), int(r.channels))
+                yield pd.DataFrame({"file_id": [r.file_id], "page": [r.page], "start_sample": [r.start_sample], "fs": [r.fs], "samples": [samples]})
+
+    return ranges.mapInPandas(read, "file_id string, page int, start_sample long, fs int, samples array<double>")
+
+
+def ranged_pages(found: DataFrame, least_seconds: float = 2.0, length: int | None = None, parts: int | None = None) -> DataFrame:
+    """pages() of files of any size, where pages() has whole files in a row.
+
+    found: files(), of which only paths are used. The pages, not the files, are dealt over partitions (as many as
+    shuffles have, or `parts`), so that a long recording is read by many tasks; a lost executor costs the pages that it held.
+    """
+    ranges = page_ranges(found, least_seconds, length)
+    return read_ranges(ranges.repartition(parts, "file_id", "page") if parts else ranges.repartition("file_id", "page"))
+
+
 def wav_column(samples: Column, rate: int, bits: int = 16) -> Column:
     """A column of WAV files, for a Parquet table or a file sink."""
 
@@ -118,6 +204,33 @@ def wav_column(samples: Column, rate: int, bits: int = 16) -> Column:
     return F.pandas_udf(make, BinaryType())(samples)
 
 
+def saved(rows: DataFrame, folder: str) -> DataFrame:
+    """path, length of files written below a folder that all executors share: rows(name, content).
+
+    A file is written beside its place and moved there, so that a task that is run again leaves whole files. Names with
+    a folder in them, or null, and null contents are left out.
+    """
+    root = re.sub(r"^file:/+", "file:///", folder.rstrip("/"))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(root)
+        store.create_dir(inner, recursive=True)
+        for x in batches:
+            out = []
+            for name, content in zip(x["name"], x["content"]):
+                aside = f"{inner}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(aside) as f:
+                    f.write(bytes(content))
+                store.move(aside, f"{inner}/{name}")
+                out.append((f"{root}/{name}", len(content)))
+            yield pd.DataFrame(out, columns=["path", "length"])
+
+    good = rows.where("name is not null and content is not null and not contains(name, '/')")
+    return good.select("name", "content").mapInPandas(put, "path string, length long")
+
+
 def clips(paged: DataFrame, segments: DataFrame, margin: float = 0.0) -> DataFrame:
     """segments(file_id, page, s, e) with their samples, margin seconds more on either side."""
     both = paged.join(segments, ["file_id", "page"])
