@@ -202,6 +202,7 @@ class Merges:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # another C library
             pass
+        pa.default_memory_pool().release_unused()
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
@@ -237,6 +238,33 @@ def ranks_file(path: str) -> bytes:
         return f.read()
 
 
+def encoded(merges: Merges, texts: pa.Array) -> pa.Array:
+    """The ids of each text, a block at a time."""
+    out, block, held = [], [], 0
+    for t in texts:
+        block.append(t.as_py() or "")
+        held += len(block[-1])
+        if held >= BLOCK_BYTES:
+            out += merges.encode_block(block)
+            block, held = [], 0
+    out += merges.encode_block(block)
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), dtype="<i4")))
+
+
+def decoded(merges: Merges, ids: pa.Array) -> pa.Array:
+    """The bytes of each row's ids, some rows at a time; null for null."""
+    marks = ids.offsets.to_numpy()
+    ends, pieces = [0], []
+    for a in range(0, len(ids), DECODED):
+        rows = marks[a : a + DECODED + 1]
+        letters, sizes = merges.decode(ids.values[rows[0] : rows[-1]].to_numpy(zero_copy_only=False))
+        pieces.append(letters.tobytes())
+        ends += (np.concatenate([[0], np.cumsum(sizes)])[rows[1:] - rows[0]] + ends[-1]).tolist()
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.array(ends, dtype=np.int64)), pa.py_buffer(b"".join(pieces))])
+    return pc.if_else(ids.is_valid(), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
+
+
 def encoder(spark: SparkSession, ranks: bytes, pattern: str):
     """An expression from a text column to array<int>: its ids as the tiktoken library gives them, no special tokens.
 
@@ -247,16 +275,7 @@ def encoder(spark: SparkSession, ranks: bytes, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merges = merges_of(sent.value, pattern)
         for texts in batches:
-            out, block, held = [], [], 0
-            for t in texts:
-                block.append(t.as_py() or "")
-                held += len(block[-1])
-                if held >= BLOCK_BYTES:
-                    out += merges.encode_block(block)
-                    block, held = [], 0
-            out += merges.encode_block(block)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), dtype="<i4")))
+            yield encoded(merges, texts)
         merges.forget()
 
     return F.arrow_udf(encode, "array<int>")
@@ -265,20 +284,21 @@ def encoder(spark: SparkSession, ranks: bytes, pattern: str):
 def decoder(spark: SparkSession, ranks: bytes, pattern: str):
     """An expression from array<int> to the bytes that the ids stand for; null for null."""
     sent = spark.sparkContext.broadcast(ranks)
+    return F.arrow_udf(lambda ids: decoded(merges_of(sent.value, pattern), ids), "binary")
 
-    def decode(ids: pa.Array) -> pa.Array:
+
+def round_trip(spark: SparkSession, ranks: bytes, pattern: str):
+    """An expression from a text column to struct<ids: array<int>, decoded: binary>: encoder() and decoder() in one worker a task."""
+    sent = text_batches().sparkContext.broadcast(ranks)
+
+    def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merges = merges_of(sent.value, pattern)
-        marks = ids.offsets.to_numpy()
-        ends, pieces = [0], []
-        for a in range(0, len(ids), DECODED):
-            rows = marks[a : a + DECODED + 1]
-            letters, sizes = merges.decode(ids.values[rows[0] : rows[-1]].to_numpy(zero_copy_only=False))
-            pieces.append(letters.tobytes())
-            ends += (np.concatenate([[0], np.cumsum(sizes)])[rows[1:] - rows[0]] + ends[-1]).tolist()
-        whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.array(ends, dtype=np.int64)), pa.py_buffer(b"".join(pieces))])
-        return pc.if_else(ids.is_valid(), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
+        for texts in batches:
+            ids = encoded(merges, texts)
+            yield pa.StructArray.from_arrays([ids, decoded(merges, ids)], ["ids", "decoded"])
+        merges.forget()
 
-    return F.arrow_udf(decode, "binary")
+    return F.arrow_udf(there_and_back, "ids array<int>, decoded binary")
 
 
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -296,6 +316,5 @@ def token_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     Null texts are as empty ones: no ids, and the digests of nothing. Texts of any length are encoded whole; repeated rows are
     repeated; an empty table gives no rows. Other columns are not read.
     """
-    both = encode_documents(docs.select("doc_id", "text"), ranks, pattern).drop("text")
-    both = both.withColumn("decoded", decoder(docs.sparkSession, ranks, pattern)(F.col("ids")))
+    both = docs.select("doc_id", round_trip(docs.sparkSession, ranks, pattern)(F.col("text")).alias("both")).select("doc_id", "both.*")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
