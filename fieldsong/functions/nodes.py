@@ -36,6 +36,13 @@ def node_bands(spark: SparkSession, levels: int, rate: int) -> DataFrame:
     return nodes.select("node", "level", (F.col("place") * width).alias("f_lo"), ((F.col("place") + 1) * width).alias("f_hi"))
 
 
+def bands_of(rates: DataFrame, by: list[str], rate: str, levels: int) -> DataFrame:
+    """by, node, level, f_lo, f_hi for recordings of any rate."""
+    unit = node_bands(rates.sparkSession, levels, 1)
+    each = rates.select(*by, F.col(rate).cast("double").alias("own_rate")).join(F.broadcast(unit))  # the nodes of a tree, 2,047 at most
+    return each.select(*by, "node", "level", (F.col("f_lo") * F.col("own_rate")).alias("f_lo"), (F.col("f_hi") * F.col("own_rate")).alias("f_hi"))
+
+
 def overlapping(nodes: DataFrame, low: float, high: float) -> DataFrame:
     """Nodes whose bands overlap [low, high], more than at an end."""
     return nodes.where((F.col("f_lo") < high) & (F.col("f_hi") > low))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldsong.sources.scratch import written
+
 
 def confusion(df: DataFrame, by: list[str], truth: Column, predicted: Column, beta: float = 2.0) -> DataFrame:
     """tp, fp, tn, fn, recall, precision and the F-score; null where a denominator is 0."""
@@ -82,6 +88,36 @@ def cluster_agreement(df: DataFrame, truth: str, found: str) -> DataFrame:
     )
 
 
+def adjusted_mutual_information(df: DataFrame, truth: str, found: str) -> DataFrame:
+    """ami: mutual information of two labellings less what chance gives, over the mean of their entropies less the same; 1 where both have one label.
+
+    What chance gives is a sum over pairs of labels and the counts that a pair could have; it comes from the labels' sizes
+    alone, so only tables of labels are joined. Nulls are a label.
+    """
+    cells = written(df.groupBy(F.col(truth).alias("t"), F.col(found).alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    a, b = (cells.groupBy(k).agg(F.sum("n").alias(x)) for k, x in (("t", "a"), ("c", "b")))
+    total = cells.agg(F.sum("n").alias("z"))
+
+    def chance(one: pd.Series, other: pd.Series, z: pd.Series) -> pd.Series:
+        out = []
+        log = np.frompyfunc(lgamma, 1, 1)
+        for x, y, n in zip(one, other, z):
+            k = np.arange(max(1.0, x + y - n), min(x, y) + 1)
+            weigh = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - sum(log(v + 1).astype(float) for v in (k, x - k, y - k, n - x - y + k))
+            out.append(float((k / n * np.log(n * k / (x * y)) * np.exp(weigh)).sum()))
+        return pd.Series(out, dtype=float)
+
+    every = a.join(b).join(F.broadcast(total))  # two tables of labels, and one row
+    expected = every.agg(F.sum(F.pandas_udf(chance, "double")("a", "b", "z")).alias("expected"))
+    side = lambda k: F.sum("n").over(Window.partitionBy(k))
+    met = cells.withColumns({"a": side("t"), "b": side("c")}).join(F.broadcast(total))
+    mutual = met.agg(F.sum(F.col("n") / F.col("z") * F.ln(F.col("z") * F.col("n") / (F.col("a") * F.col("b")))).alias("mutual"))
+    entropy = lambda v, x: v.join(F.broadcast(total)).agg((-F.sum(F.col(x) / F.col("z") * F.ln(F.col(x) / F.col("z")))).alias(f"h_{x}"))
+    one = mutual.join(expected).join(entropy(a, "a")).join(entropy(b, "b"))  # one row each
+    span = (F.col("h_a") + F.col("h_b")) / 2 - F.col("expected")
+    return one.select(F.when(span.isNull(), None).when(F.abs(span) < 1e-12, 1.0).otherwise((F.col("mutual") - F.col("expected")) / span).alias("ami"))
+
+
 def majority(df: DataFrame, by: list[str], label: str) -> DataFrame:
     """by, label, votes: the commonest label; of equally common ones the first in order."""
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("votes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldsong.functions import nodes as node_functions
-from fieldsong.operators import cleaning, corpus, intervals, labels, signal, wavelets
+from fieldsong.operators import cleaning, corpus, intervals, labels, signal, wavelets, wind
 from fieldsong.plans.adapters import DET, LABELLED, SPECTRA, detections, labelled, spectra, table
 from fieldsong.plans.signal_queries import HOP, _frames, _signals
 
@@ -124,24 +124,29 @@ def predicted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_queries_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recorder's day: whether its clicks have a call type, its species, and the category of a bat."""
-    lab = labelled(spark, sf_dir)
-    keys = F.array_join(F.transform(labels.keys_with_calltypes(F.col("labels")), lambda x: x["species"]), ";")
-    return lab.select("rec", "day", F.coalesce(labels.has_calltype(F.col("labels"), "click", "x"), F.lit(False)).alias("typed"), labels.calltype_of(F.col("labels"), "click").alias("calltype"), keys.alias("species"))
+    """A recorder's day with clicks and purchases read as the two bats, and certain labels as calls that are passes, half certain ones as calls that feed."""
+    bat = lambda x: F.when(x["species"] == "click", "Long-tailed bat").when(x["species"] == "purchase", "Short-tailed bat").otherwise(x["species"])
+    call = lambda x: F.when(x["certainty"] == 100, "pass").when(x["certainty"] == 50, "feed")
+    made = F.transform("labels", lambda x: F.struct(bat(x).alias("species"), x["certainty"].alias("certainty"), call(x).alias("calltype"), x["filter"].alias("filter")))
+    lab = labelled(spark, sf_dir).withColumn("labels", made)
+    keys = F.array_join(F.transform(labels.keys_with_calltypes(F.col("labels")), lambda x: F.concat_ws(":", x["species"], x["calltype"])), ";")
+    return lab.select(
+        "rec", "day", F.coalesce(labels.has_calltype(F.col("labels"), "Long-tailed bat", "pass"), F.lit(False)).alias("typed"), labels.calltype_of(F.col("labels"), "Long-tailed bat").alias("calltype"),
+        keys.alias("keys"), labels.bat_category(F.col("labels")).alias("category"),
+    )
 
 
 def paged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 24 bins that overlap by 4; columns of seconds and back."""
+    """Pages of 24 bins that overlap by 4, with the seconds of each bin's value as a column, and the column of an eleventh of a second a bin."""
     from fieldsong.functions import units
 
-    paged = intervals.frame_pages(spectra(spark, sf_dir).select("vec_id", "k"), "k", 24, 4)
-    return paged.select("vec_id", "k", "page", F.round(units.to_seconds(units.to_column(F.col("k").cast("double"), FS, HOP), FS, HOP), 6).alias("t"))
+    paged = intervals.frame_pages(spectra(spark, sf_dir).select("vec_id", "k", "x"), "k", 24, 4)
+    return paged.select("vec_id", "k", "page", F.round(units.to_seconds(F.col("k") + F.col("x"), FS, HOP), 8).alias("t"), F.round(units.to_column(F.col("k") / 11, FS, HOP), 6).alias("col"))
 
 
 def butterworth_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root mean squares of each recording's band from 1 to 4 kHz, both ways and one way."""
-    rms = lambda both: cleaning.butterworth_passed(_signals(spark, sf_dir), 1000.0, 4000.0, 6, both).select("file_id", F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x) / F.size("samples")).alias("rms_both" if both else "rms_once"))
-    return rms(True).join(rms(False), "file_id")
+    return cleaning.butterworth_levels(_signals(spark, sf_dir), 1000.0, 4000.0).drop("page")
 
 
 def impulses_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +155,7 @@ def impulses_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.envelope_segments(_frames(spark, sf_dir), HOP / FS, 1.0, 4)
+    return cleaning.envelope_segments(_frames(spark, sf_dir), 0.025, 0.5)
 
 
 def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,17 +163,16 @@ def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pitch_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loud stretches whose pitch is from 100 to 4000 Hz."""
-    found = cleaning.envelope_segments(_frames(spark, sf_dir), HOP / FS, 0.5, 4).select("file_id", "s", "e")
-    return cleaning.in_pitch_range(found, signal.pitch(_signals(spark, sf_dir), 128, 0.9), 100.0, 4000.0, 50.0)
+    """Loud stretches whose pitch is from 8 to 100 Hz, the recordings read at 1280 Hz."""
+    slow = _signals(spark, sf_dir).withColumn("fs", F.lit(1280))
+    found = cleaning.envelope_segments(_frames(spark, sf_dir), HOP / 1280, 0.5).select("file_id", "s", "e")
+    return cleaning.in_pitch_range(found, signal.pitch(slow, 128, 0.9), 8.0, 100.0, 4.0)
 
 
 def predicted_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wind under the nodes of a tree of four levels, by the others' energies."""
-    nodes = list(range(15, 31))
-    energies = wavelets.node_energies(_signals(spark, sf_dir), nodes, 0.004, wavelets.daubechies(2))
-    bands = node_functions.node_bands(spark, 4, FS).where(F.col("level") == 4)
-    return cleaning.predicted_wind(energies, bands, [20, 21])
+    """Wind under two leaves of a tree of five levels, by the others' energies."""
+    energies = wavelets.node_energies(_signals(spark, sf_dir), [0, *range(31, 63)], 0.004, wavelets.daubechies(2))
+    return wind.predicted(energies, node_functions.node_bands(spark, 5, FS), [36, 41])
 
 
 _A = "a AS (SELECT vec_id, k, x - avg(x) OVER (PARTITION BY vec_id) AS v, count(*) OVER (PARTITION BY vec_id) AS n FROM sp)"
@@ -207,7 +211,12 @@ SELECT vec_id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INT) AS cluster FROM m
     "recogniser_summary": "SELECT p_brand AS species, min(p_size) AS least_length, max(p_size + 3) AS longest, round(min(p_retailprice), 4) AS least_frequency, round(max(p_retailprice * 2), 4) AS most_frequency, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS calltypes FROM part GROUP BY p_brand",
     "predicted_classes": """WITH s AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)
 SELECT vec_id, CAST(CASE WHEN a >= greatest(b, c) THEN (CASE WHEN a >= 0.05 THEN 0 ELSE -1 END) WHEN b >= c THEN (CASE WHEN b >= 0.1 THEN 1 ELSE -1 END) ELSE (CASE WHEN c >= 0.15 THEN 2 ELSE -1 END) END AS INT) AS class FROM s""",
-    "label_queries_of_day": f"WITH {LABELLED} SELECT rec, day, false AS typed, CAST(NULL AS VARCHAR) AS calltype, array_to_string(list_transform(labels, lambda x: x.species), ';') AS species FROM lab",
-    "paged_samples": f"""WITH {SPECTRA} SELECT vec_id, CAST(k AS INT) AS k, k // 24 AS page, CAST(k AS DOUBLE) AS t FROM sp UNION ALL SELECT vec_id, CAST(k AS INT), k // 24 + 1, CAST(k AS DOUBLE) FROM sp WHERE k % 24 >= 20""",
+    "label_queries_of_day": f"""WITH {LABELLED}, x AS (SELECT rec, day, CASE x.species WHEN 'click' THEN 'Long-tailed bat' WHEN 'purchase' THEN 'Short-tailed bat' ELSE x.species END AS species, x.certainty AS c,
+  CASE x.certainty WHEN 100 THEN 'pass' WHEN 50 THEN 'feed' END AS call, x.species AS old FROM (SELECT rec, day, unnest(labels) AS x FROM lab))
+SELECT rec, day, coalesce(bool_or(species = 'Long-tailed bat' AND call = 'pass'), false) AS typed, max(call) FILTER (species = 'Long-tailed bat') AS calltype, string_agg(concat_ws(':', species, call), ';' ORDER BY old) AS keys,
+  CASE WHEN bool_or(species = 'Long-tailed bat' AND c = 100) AND bool_or(species = 'Short-tailed bat' AND c = 100) THEN 'Both' WHEN bool_or(species = 'Long-tailed bat' AND c = 100) THEN 'Long Tail'
+  WHEN bool_or(species = 'Short-tailed bat' AND c = 100) THEN 'Short Tail' WHEN bool_or(species IN ('Long-tailed bat', 'Short-tailed bat')) THEN 'Possible' ELSE 'Non-bat' END AS category FROM x GROUP BY rec, day""",
+    "paged_samples": f"""WITH {SPECTRA}, p AS (SELECT *, k // 24 AS page FROM sp UNION ALL SELECT *, k // 24 + 1 FROM sp WHERE k % 24 >= 20)
+SELECT vec_id, CAST(k AS INT) AS k, page, round((k + x) * 32 / 16000.0::DOUBLE, 8) AS t, round(k / 11.0::DOUBLE * 16000 / 32, 6) AS col FROM p""",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}

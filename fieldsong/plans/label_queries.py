@@ -204,12 +204,19 @@ def filterbank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra(spark, sf_dir).join(bank, "k").groupBy("vec_id", "band").agg(F.round(F.sum(F.abs("x") * F.col("weight")), 6).alias("y"))
 
 
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recorders, with rates that grow with their size."""
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 200 + 8000).alias("rate"))
+
+
 def node_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.node_bands(spark, 5, 16000)
+    return nodes.bands_of(_rates(spark, sf_dir), ["p_partkey"], "rate", 5)
 
 
 def nodes_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.overlapping(nodes.node_bands(spark, 5, 16000), 1000.0, 2500.0).select("node")
+    """How many nodes of each recorder overlap 1000 to 2500 Hz, and their sum."""
+    found = nodes.overlapping(node_bands(spark, sf_dir), 1000.0, 2500.0)
+    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("nodes"))
 
 
 def random_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +244,7 @@ _BISERIAL = f"""{SPECTRA}, bi AS (SELECT k, avg(x) FILTER (label = 1) AS m1, avg
 pb AS (SELECT CAST(k AS INT) AS k, round(coalesce((m1 - m0) / nullif(sd, 0) * sqrt(n0 * n1) / (n0 + n1), 0), 6) AS r FROM bi)"""
 _BANDS = """nd AS (SELECT CAST(node AS INT) AS node, CAST(floor(log2(node + 1)) AS INT) AS level FROM (SELECT unnest(range(63)) AS node)),
 p0 AS (SELECT *, node + 1 - (1 << level) AS p FROM nd), p1 AS (SELECT *, xor(p, p >> 1) AS a FROM p0), p2 AS (SELECT *, xor(a, a >> 2) AS b FROM p1), p3 AS (SELECT *, xor(b, b >> 4) AS c FROM p2),
-nb AS (SELECT node, level, c * 8000.0::DOUBLE / (1 << level) AS f_lo, (c + 1) * 8000.0::DOUBLE / (1 << level) AS f_hi FROM p3)"""
+nb AS (SELECT p_partkey, node, level, c / (1 << level) * 0.5::DOUBLE * (p_size * 200 + 8000) AS f_lo, (c + 1) / (1 << level) * 0.5::DOUBLE * (p_size * 200 + 8000) AS f_hi FROM p3 CROSS JOIN part)"""
 _MEL = "(700 * (exp(({0}) * (1125 * ln(1 + 8000.0::DOUBLE / 700)) / 13 / 1125) - 1))"
 
 SQL = {
@@ -293,7 +300,7 @@ r AS (SELECT band, k, CASE WHEN f >= lo AND f <= mid THEN (f - lo) / (mid - lo)
 w AS (SELECT band, k, raw / sum(raw) OVER (PARTITION BY band) AS weight, raw FROM r)
 SELECT vec_id, CAST(band AS INT) AS band, round(sum(abs(x) * weight), 6) AS y FROM sp JOIN w USING (k) WHERE raw > 0 GROUP BY vec_id, band""",
     "node_bands": f"WITH {_BANDS} SELECT * FROM nb",
-    "nodes_in_range": f"WITH {_BANDS} SELECT node FROM nb WHERE f_lo < 2500 AND f_hi > 1000",
+    "nodes_in_range": f"WITH {_BANDS} SELECT p_partkey, count(*) AS n, CAST(sum(node) AS BIGINT) AS nodes FROM nb WHERE f_lo < 2500 AND f_hi > 1000 GROUP BY p_partkey",
     "random_files": "SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 50",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "mel_bands"}

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldsong.operators import align, clustering, signal, training, wavelets
+from fieldsong.operators import align, clustering, evaluate, signal, training, wavelets
 from fieldsong.plans.adapters import SPECTRA, spectra, table
 from fieldsong.plans.label_queries import mel_bands
 from fieldsong.sources import audio
 
 FS, WIDTH, HOP = 16000, 64, 32
 GRID = [0.0, 0.5, 1.0]
-NODES = list(range(6))
+NODES = list(range(64))
+#: Of all nodes those that go with the calls most, for the search of all subsets.
+TRIED = 6
 
 
 def _signals(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
@@ -75,7 +77,9 @@ def pitch_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voiced_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.voiced_segments(signal.pitch(_signals(spark, sf_dir), 128), 100.0, 64 / FS)
+    """Where the fundamental lies over 400 Hz, each vector's elements taken twice over so that there is one."""
+    twice = _signals(spark, sf_dir).withColumn("samples", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array_repeat(F.slice("samples", i * 64 + 1, 32), 2)).cast("array<array<array<double>>>"))).withColumn("samples", F.flatten("samples"))
+    return signal.voiced_segments(signal.pitch(twice, 48), 400.0, 24 / FS)
 
 
 def clipping_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +131,8 @@ def best_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squares of six elements as the energies of six nodes; a vector is a window."""
-    sp = spectra(spark, sf_dir).where(F.col("k") < len(NODES))
+    """Squares of the elements as the energies of as many nodes; a vector is a window."""
+    sp = spectra(spark, sf_dir)
     return sp.select(F.expr("vec_id div 16").cast("string").alias("file_id"), F.lit(0).alias("page"), F.col("k").alias("node"), (F.col("vec_id") % 16).cast("int").alias("win"), (F.col("x") * F.col("x")).alias("energy"))
 
 
@@ -146,11 +150,15 @@ def greedy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sets of up to four of the six nodes that go with the calls most."""
     z = training.standardised(_energies(spark, sf_dir), 1)
+    r = evaluate.point_biserial(z.join(_truth(spark, sf_dir), ["file_id", "win"]), ["node"], "z", F.col("present") == 1)
+    best = [x.node for x in r.orderBy(F.desc(F.round("r", 9)), "node").limit(TRIED).collect()]
+    z = z.where(F.col("node").isin(best))
     grid = spark.createDataFrame([(t,) for t in GRID], "threshold double")
     every = _truth(spark, sf_dir).join(F.broadcast(grid), F.lit(True))  # three rows
     hits = every.join(z.join(F.broadcast(grid), F.col("z") > F.col("threshold")).select("threshold", "file_id", "win", "node"), ["threshold", "file_id", "win"], "left")
-    got = training.best_subset(hits, NODES, 4)
+    got = training.best_subset(hits, sorted(best), 4)
     return got.select("threshold", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), F.round("score", 6).alias("score"))
 
 
@@ -225,7 +233,7 @@ mg AS (SELECT file_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin,
   CAST(sqrt(power(sum(x * cos(2 * pi() * bin * j / 64)), 2) + power(sum(x * sin(2 * pi() * bin * j / 64)), 2)) AS FLOAT) AS m FROM fr CROSS JOIN (SELECT unnest(range(32)) AS bin) GROUP BY ALL)"""
 _RUNS = """g AS (SELECT *, i - row_number() OVER (PARTITION BY file_id ORDER BY i) AS run FROM flagged WHERE flag)"""
 _MEL = "(700 * (exp(({} * 1125 * ln(1 + 8000.0::DOUBLE / 700) / 13) / 1125) - 1))"
-_Z = f"""{SPECTRA}, en AS (SELECT CAST(vec_id // 16 AS VARCHAR) AS file_id, CAST(k AS INT) AS node, CAST(vec_id % 16 AS INT) AS win, x * x AS energy FROM sp WHERE k < 6),
+_Z = f"""{SPECTRA}, en AS (SELECT CAST(vec_id // 16 AS VARCHAR) AS file_id, CAST(k AS INT) AS node, CAST(vec_id % 16 AS INT) AS win, x * x AS energy FROM sp),
 y AS (SELECT file_id, node, win, ln(avg(energy) OVER (PARTITION BY file_id, node ORDER BY win ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + 1e-12) AS y FROM en),
 z AS (SELECT file_id, node, win, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS z FROM y WINDOW w AS (PARTITION BY file_id, node))"""
 _PAIRS = f"""pr AS (SELECT a.vec_id AS a, b.vec_id AS b, round(sum(abs(a.x - b.x)), 6) AS d FROM sp a JOIN sp b ON a.vec_id // 16 = b.vec_id // 16 AND a.k = b.k AND a.vec_id < b.vec_id GROUP BY ALL)"""
@@ -259,12 +267,14 @@ UNION ALL SELECT label, node, 'sure', round(sum(CASE WHEN d > 0.1::DOUBLE * 0.1:
     "standardised_energies": f"WITH {_Z} SELECT file_id, node, win, round(z, 5) AS z FROM z",
     "best_subset": f"""WITH {_Z}, tr AS (SELECT CAST(vec_id // 16 AS VARCHAR) AS file_id, CAST(vec_id % 16 AS INT) AS win, CAST(label < 3 AS INT) AS present FROM embeddings),
 th AS (SELECT unnest([0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS threshold),
-seen AS (SELECT threshold, present, sum(CASE WHEN z > threshold THEN 1 << node ELSE 0 END) AS mask FROM z JOIN tr USING (file_id, win) CROSS JOIN th GROUP BY threshold, file_id, win, present),
+rr AS (SELECT node, coalesce((avg(z) FILTER (present = 1) - avg(z) FILTER (present = 0)) / nullif(stddev_pop(z), 0) * sqrt(count(*) FILTER (present = 1) * count(*) FILTER (present = 0)) / count(*), 0) AS r FROM z JOIN tr USING (file_id, win) GROUP BY node),
+bn AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS bit FROM (SELECT node FROM rr QUALIFY row_number() OVER (ORDER BY round(r, 9) DESC, node) <= 6)),
+seen AS (SELECT threshold, present, sum(CASE WHEN z > threshold THEN 1 << bit ELSE 0 END) AS mask FROM z JOIN bn USING (node) JOIN tr USING (file_id, win) CROSS JOIN th GROUP BY threshold, file_id, win, present),
 st AS (SELECT own, bit_count(own) AS size FROM (SELECT unnest(range(1, 64)) AS own) WHERE bit_count(own) <= 4),
 sm AS (SELECT threshold, own, size, sum(CASE WHEN CAST(mask AS BIGINT) & own <> 0 THEN present ELSE 0 END) AS tp, sum(CASE WHEN CAST(mask AS BIGINT) & own <> 0 THEN 1 - present ELSE 0 END) AS fp,
   sum(CASE WHEN CAST(mask AS BIGINT) & own = 0 THEN present ELSE 0 END) AS fn FROM seen CROSS JOIN st GROUP BY ALL),
 sc AS (SELECT *, CASE WHEN tp > 0 THEN CAST(5 * tp AS DOUBLE) / CAST(5 * tp + 4 * fn + fp AS DOUBLE) ELSE 0 END - 0.01::DOUBLE * size AS score FROM sm)
-SELECT threshold, array_to_string(list_filter(range(6), lambda b: (own >> b) & 1 = 1), ',') AS nodes, round(score, 6) AS score FROM sc
+SELECT threshold, (SELECT string_agg(node, ',' ORDER BY node) FROM bn WHERE (own >> bit) & 1 = 1) AS nodes, round(score, 6) AS score FROM sc
 QUALIFY row_number() OVER (PARTITION BY threshold ORDER BY score DESC, size, own) = 1""",
     "cluster_centres": f"WITH {SPECTRA} SELECT label, CAST(k AS INT) AS k, round(avg(x), 6) AS x FROM sp GROUP BY label, k",
     "clusters_merged": "SELECT vec_id, CAST(dense_rank() OVER (ORDER BY CASE WHEN label IN (2, 5) THEN -1 ELSE label END) - 1 AS INT) AS cluster FROM embeddings",

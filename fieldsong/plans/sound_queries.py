@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldsong.functions.nodes import node_bands
-from fieldsong.operators import grouping, pictures, prediction, synthesis, templates, wavelets, wind
+from fieldsong.operators import evaluate, grouping, pictures, prediction, recognise, synthesis, templates, wavelets, wind
 from fieldsong.plans.adapters import SPECTRA, table
 from fieldsong.plans.signal_queries import _PAIRS, _SIG, FS, _pairs, _signals
-from fieldsong.sources import audio
+from fieldsong.sources import audio, chunks
 from fieldsong.sources.scratch import new_folder
 
 HAAR = wavelets.daubechies(1)
@@ -172,6 +172,55 @@ def chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("file_id", "page", "frame", F.posexplode("chroma").alias("pitch", "share")).withColumn("share", F.round("share", 6))
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second of each recording at 64 Hz is a vector; those of labels under 3 are calls."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.expr("cast(vec_id div 16 as string)").alias("file_id"), F.expr("cast(vec_id % 16 as int)").alias("win"), (F.col("label") < 3).cast("int").alias("present"))
+
+
+def recogniser_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recogniser made from all recordings, from samples to the counts of each setting."""
+    pages = _signals(spark, sf_dir).withColumn("fs", F.lit(64))
+    got = recognise.train(pages, _calls(spark, sf_dir), node_bands(spark, 5, 64), 2.0, 30.0, [0.2, 0.5, 0.8], [0.05, 0.2], wavelets.daubechies(4))
+    return got.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
+def recogniser_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with large first elements as a recogniser's, against the calls, as they are and as calls of two seconds at least."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 4")
+    hit = F.coalesce((F.get("embedding", F.lit(0)) > -0.03).cast("int"), F.lit(0))
+    windows = e.select(F.expr("cast(vec_id div 16 as string)").alias("file_id"), F.expr("cast(vec_id % 16 as int)").alias("win"), hit.alias("present"))
+    rates = ["recall", "precision", "specificity"]
+    return recognise.recogniser_report(windows, _calls(spark, sf_dir), 2.0, 1.0).withColumns({c: F.round(c, 6) for c in rates})
+
+
+def frame_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as segments of a recording of two minutes, made long enough for frames of five seconds."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(1190)).alias("at"), F.pmod("o_custkey", F.lit(100)).alias("n"))
+    spans = o.select("o_orderkey", (F.col("at") / 10).alias("s"), F.least(F.lit(120.0), F.col("at") / 10 + F.col("n") / 10).alias("e"))
+    return recognise.frame_spans(spans, 5.0, F.lit(120.0)).select("o_orderkey", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"))
+
+
+def verified_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as segments of 64 frames, half a second apart, whose sizes are a network's probabilities."""
+    segments = _vectors(spark, sf_dir).select("vec_id", F.lit(50).alias("certainty"))
+    frames = _vectors(spark, sf_dir).select("vec_id", F.posexplode(F.transform("x", lambda v: F.abs(v) * 4)).alias("frame", "probability"))
+    return recognise.verified(segments, frames, ["vec_id"], "frame", F.lit(0.2), F.lit(0.35), 3.0, 0.5)
+
+
+def adjusted_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").withColumn("found", F.floor("value").cast("int") % 5 + F.when(F.col("event_type") == "click", 2).otherwise(0))
+    return evaluate.adjusted_mutual_information(ev, "event_type", "found").select(F.round("ami", 6).alias("ami"))
+
+
+def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the pieces of ten minutes that orders, read as recordings named by their time, are split into."""
+    at = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("o_orderkey") * 977), "yyyyMMdd_HHmmss")
+    name = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("note"), F.col("o_orderkey"), F.lit(".wav"))).otherwise(F.concat(F.lit("REC_"), at, F.lit(".wav")))
+    rec = table(spark, sf_dir, "orders").select(name.alias("name"), F.pmod("o_orderkey", F.lit(3000)).cast("double").alias("seconds"))
+    return chunks.piece_names(rec, 600)
+
+
 _VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 _PIC = f"""{SPECTRA}, pc AS (SELECT vec_id, vec_id // 64 AS rec, vec_id % 64 AS pos, k, abs(x) AS m FROM sp)"""
 SQL = {
@@ -209,6 +258,28 @@ w AS (SELECT vec_id AS id, vec_id AS root FROM embeddings WHERE embedding IS NOT
     "class_radii": f"""WITH {SPECTRA}, {_PAIRS}, q AS (SELECT a // 16 AS rec, quantile_cont(d, 0.1) FILTER (d > 0) AS radius FROM pr GROUP BY a // 16),
 e AS (SELECT id, avg(d) AS mean FROM (SELECT a AS id, d FROM pr UNION ALL SELECT b, d FROM pr) GROUP BY id)
 SELECT id, CASE WHEN mean <= coalesce(radius, 0) * 1.2::DOUBLE THEN rec END AS class, round(coalesce(radius, 0), 6) AS radius FROM e JOIN q ON rec = id // 16""",
+    "recogniser_report": """WITH w AS (SELECT CAST(vec_id // 16 AS VARCHAR) AS file_id, CAST(vec_id % 16 AS INT) AS win, CASE WHEN vec_id % 5 = 4 THEN 0 ELSE CAST(coalesce(embedding[1] > CAST(-0.03 AS DOUBLE), false) AS INT) END AS raw, CAST(label < 3 AS INT) AS real FROM embeddings),
+r AS (SELECT file_id, win, win - row_number() OVER (PARTITION BY file_id ORDER BY win) AS run FROM w WHERE raw = 1), sg AS (SELECT file_id, min(win) AS s, max(win) + 1 AS e FROM r GROUP BY file_id, run),
+i AS (SELECT *, sum(CASE WHEN s - le <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY s) AS island FROM (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le FROM sg)),
+j AS (SELECT file_id, min(s) AS s, max(e) AS e FROM i GROUP BY file_id, island HAVING max(e) - min(s) >= 2),
+x AS (SELECT 'windows' AS stage, real, raw AS hit FROM w UNION ALL SELECT 'calls', real, CASE WHEN EXISTS (SELECT 1 FROM j WHERE j.file_id = w.file_id AND w.win >= j.s AND w.win < j.e) THEN 1 ELSE 0 END FROM w),
+c AS (SELECT stage, count(*) FILTER (real = 1 AND hit = 1) AS tp, count(*) FILTER (real = 0 AND hit = 1) AS fp, count(*) FILTER (real = 0 AND hit = 0) AS tn, count(*) FILTER (real = 1 AND hit = 0) AS fn FROM x GROUP BY stage)
+SELECT *, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(tn / (tn + fp), 6) AS specificity FROM c""",
+    "frame_spans": """WITH o AS (SELECT o_orderkey, o_orderkey % 1190 / 10.0::DOUBLE AS s, least(120.0::DOUBLE, o_orderkey % 1190 / 10.0::DOUBLE + o_custkey % 100 / 10.0::DOUBLE) AS e FROM orders),
+m AS (SELECT *, (5 - (e - s)) / 2 + 0.005::DOUBLE AS more FROM o)
+SELECT o_orderkey, round(CASE WHEN e - s > 5 THEN s WHEN s - more < 0 THEN 0 WHEN e + more > 120 THEN 114.99::DOUBLE ELSE s - more END, 6) AS s, round(CASE WHEN e - s > 5 THEN e WHEN s - more < 0 THEN 5.01::DOUBLE WHEN e + more > 120 THEN 120 ELSE e + more END, 6) AS e FROM m""",
+    "verified_segments": f"""WITH {SPECTRA}, f AS (SELECT vec_id, k, abs(x) * 4 AS p FROM sp), t AS (SELECT vec_id, k, p, th FROM f CROSS JOIN (VALUES (0.2::DOUBLE), (0.35::DOUBLE)) h(th)),
+r AS (SELECT vec_id, th, k - row_number() OVER (PARTITION BY vec_id, th ORDER BY k) AS run FROM t WHERE p >= th), n AS (SELECT vec_id, th, max(c) * 0.5::DOUBLE AS len FROM (SELECT vec_id, th, run, count(*) AS c FROM r GROUP BY ALL) GROUP BY vec_id, th)
+SELECT vec_id, CAST(max(CASE WHEN th > 0.3 THEN 90 ELSE 50 END) AS INT) AS certainty FROM n WHERE len >= 3 GROUP BY vec_id""",
+    "adjusted_mutual_information": """WITH x AS (SELECT event_type AS t, CAST(floor(value) AS INT) % 5 + CASE WHEN event_type = 'click' THEN 2 ELSE 0 END AS c, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+a AS (SELECT t, sum(n) AS a FROM x GROUP BY t), b AS (SELECT c, sum(n) AS b FROM x GROUP BY c), z AS (SELECT sum(n) AS z FROM x),
+e AS (SELECT a, b, z, CAST(unnest(range(CAST(greatest(1, a + b - z) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS DOUBLE) AS n FROM a, b, z),
+m AS (SELECT sum(n / z * ln(z * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(z - a + 1) + lgamma(z - b + 1) - lgamma(z + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(z - a - b + n + 1))) AS emi FROM e),
+i AS (SELECT sum(n / z * ln(z * n / (a * b))) AS mi FROM x JOIN a USING (t) JOIN b USING (c), z), h AS (SELECT (SELECT -sum(a / z * ln(a / z)) FROM a, z) AS ht, (SELECT -sum(b / z * ln(b / z)) FROM b, z) AS hc)
+SELECT round((mi - emi) / ((ht + hc) / 2 - emi), 6) AS ami FROM m, i, h""",
+    "split_names": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 3000 AS DOUBLE) AS seconds, make_timestamp((1600000000 + o_orderkey * 977) * 1000000) AS t FROM orders),
+n AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'note' || o_orderkey || '.wav' ELSE 'REC_' || strftime(t, '%Y%m%d_%H%M%S') || '.wav' END AS name, unnest(range(CAST(ceil(seconds / 600) AS BIGINT))) AS piece FROM o)
+SELECT name, CAST(piece AS INT) AS piece, CASE WHEN o_orderkey % 5 = 0 THEN 'note' || o_orderkey || '_' || piece || '.wav' ELSE 'REC_' || strftime(t + to_seconds(piece * 600), '%Y%m%d_%H%M%S') || '.wav' END AS piece_name FROM n""",
     "ridges": f"""WITH RECURSIVE {_PIC}, u AS (SELECT *, lag(m) OVER o AS below, lead(m) OVER o AS above FROM pc WINDOW o AS (PARTITION BY vec_id ORDER BY k)),
 c AS (SELECT rec, pos, k AS bin, ln(m) AS w FROM u WHERE m > 0 AND (below IS NULL OR m > below) AND (above IS NULL OR m >= above) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, k) <= 6),
 f AS (SELECT *, dense_rank() OVER (PARTITION BY rec ORDER BY pos) AS step FROM c),

@@ -146,11 +146,12 @@ def reader(f) -> Callable[[int, int], bytes]:
     return read
 
 
-def page_ranges(found: DataFrame, least_seconds: float = 2.0, length: int | None = None) -> DataFrame:
+def page_ranges(found: DataFrame, least_seconds: float = 2.0, length: int | None = None, seconds_long: int | None = None) -> DataFrame:
     """file_id, page, start_sample, fs, n_frames, at, n_bytes, channels, bits: where in its file each page lies.
 
     Only the heads of chunks are read, whatever the size of a file. Files that are no PCM WAV have no pages; what ends
-    within a frame loses that frame. A last page under least_seconds is left out.
+    within a frame loses that frame. A last page under least_seconds is left out. Pages have `length` samples, or are
+    seconds_long, or as page_samples() says.
     """
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +165,7 @@ def page_ranges(found: DataFrame, least_seconds: float = 2.0, length: int | None
             yield pd.DataFrame(rows, columns=["file_id", "channels", "fs", "bits", "data_at", "data_bytes"])
 
     heads = found.select("path").mapInPandas(probe, "file_id string, channels int, fs int, bits int, data_at long, data_bytes long")
-    step = F.lit(length).cast("long") if length else F.when(F.col("fs") <= SLOW_RATE, SLOW_PAGE_SECONDS * F.col("fs")).otherwise(F.lit(PAGE_SAMPLES)).cast("long")
+    step = F.lit(length).cast("long") if length else (F.col("fs") * seconds_long).cast("long") if seconds_long else F.when(F.col("fs") <= SLOW_RATE, SLOW_PAGE_SECONDS * F.col("fs")).otherwise(F.lit(PAGE_SAMPLES)).cast("long")
     frame = (F.col("channels") * F.col("bits") / 8).cast("long")
     sized = heads.withColumns({"step": step, "frame": frame}).withColumn("frames", F.expr("data_bytes div frame")).where("frames > 0")
     cut = sized.withColumn("page", F.explode(F.expr("sequence(0, cast((frames - 1) div step as int))"))).withColumn("start_sample", F.col("page") * F.col("step"))
