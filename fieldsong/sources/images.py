@@ -70,3 +70,28 @@ def clicks(frames: DataFrame, factor: float = 1.5, longest: int = 17) -> DataFra
 def click_spans(found: DataFrame) -> DataFrame:
     """file_id, seconds from a file's first click to its last."""
     return found.groupBy("file_id").agg(((F.max("e") - F.min("s")) * (HOP / RATE)).alias("seconds"))
+
+
+def bmp_bytes(image: np.ndarray) -> bytes:
+    """An image file of columns by bands, 0 to 1, the lowest band first: what read_bmp() reads, but for the lowest band and to 255 steps.
+
+    The column of the scale comes first.
+    """
+    rows = np.concatenate([np.zeros((1, image.shape[1])), np.floor(255 * np.asarray(image, float))]).T[::-1]
+    height, width = rows.shape
+    line = np.zeros((height, -(-width // 4) * 4), np.uint8)
+    line[:, :width] = 255 - rows
+    body = line[::-1].tobytes()
+    palette = b"".join(bytes([k, k, k, 0]) for k in range(256))
+    at = 54 + len(palette)
+    return b"BM" + struct.pack("<IHHI", at + len(body), 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, len(body), 0, 0, 256, 0) + palette + body
+
+
+def image_files(frames: DataFrame) -> DataFrame:
+    """name, content: a BMP of each recording's frames(file_id, frame, mags), of BANDS magnitudes, over the recording's largest."""
+
+    def make(x: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(x.sort_values("frame")["mags"]).astype(float)
+        return pd.DataFrame({"name": [f"{x['file_id'].iloc[0]}.bmp"], "content": [bmp_bytes(m / max(m.max(), 1e-300))]})
+
+    return frames.where(F.size("mags") == BANDS).groupBy("file_id").applyInPandas(make, "name string, content binary")
