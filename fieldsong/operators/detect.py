@@ -7,10 +7,13 @@ them wants, and a recogniser's detections are its nodes' windows above its thres
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsong.operators import intervals, signal, training, wavelets
+from fieldsong.operators import cleaning, intervals, labels, signal, training, wavelets
+
+#: Fixed value: how far any sound has to stand out of its frame's and its bin's median.
+ANY_SOUND = 3.5
 
 
 def window_detections(pages: DataFrame, filters: DataFrame, wanted: list[int], seconds: float = 1.0, bank: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -48,6 +51,52 @@ def detected_segments(windows: DataFrame, filters: DataFrame, seconds: float, st
     return pieces.select("file_id", "filter_id", "species", "calltype", start.alias("s"), (start + size).alias("e"), F.lit(50.0).alias("certainty"))
 
 
+def cleaned(found: DataFrame, by: list[str], gap: float | None = None, least: float | None = None, longest: float | None = None) -> DataFrame:
+    """by, s, e: detections after gaps are closed, short ones deleted and long ones split, in this order; None leaves a step out."""
+    out = found.select(*by, "s", "e")
+    if gap is not None:
+        out = intervals.join_gaps(out.withColumn("ord", F.col("s")), by, gap).select(*by, "s", "e")
+    if least is not None:
+        out = out.where(F.col("e") - F.col("s") >= least)
+    return intervals.split_long(out, longest).select(*by, "s", "e") if longest is not None else out
+
+
+def any_sound(frames: DataFrame, hop_s: float, gap: float | None = None, least: float | None = None, longest: float | None = None, page_start: Column | None = None) -> DataFrame:
+    """file_id, s, e, labels: whatever stands out of a page (median clipping at 3.5), cleaned up, with an unsure label.
+
+    Times are the page's, or the recording's if page_start says when a page begins, by its columns file_id and page.
+    """
+    found = cleaned(signal.clipped_segments(frames, hop_s, ANY_SOUND), ["file_id", "page"], gap, least, longest)
+    start = F.lit(0.0) if page_start is None else page_start
+    return found.select("file_id", (F.col("s") + start).alias("s"), (F.col("e") + start).alias("e"), labels.no_label().alias("labels"))
+
+
+def best_segments(frames: DataFrame, pages: DataFrame, hop_s: float, pitch_width: int, envelope: float = 0.7, clip: float = 3.0, voice: float = 0.9, lowest: float = 100.0) -> DataFrame:
+    """file_id, page, s, e: the union of what the envelope, median clipping and the voice find, merged one after the other."""
+    keys = ["file_id", "page"]
+    loud = cleaning.envelope_segments(frames, hop_s, envelope)
+    clear = signal.clipped_segments(frames, hop_s, clip)
+    pages_rate = pages.select("fs").first()
+    hop = (pitch_width // 2) / pages_rate.fs if pages_rate else 1.0
+    voiced = signal.voiced_segments(signal.pitch(pages, pitch_width, voice), lowest, hop)
+    return intervals.union_segments(intervals.union_segments(loud, clear, keys), voiced, keys)
+
+
+def by_name(name: str, frames: DataFrame, pages: DataFrame, hop_s: float, **how) -> DataFrame:
+    """file_id, page, s, e of the detector of that name: Envelope, Amplitude, Power, Clipping, Voice or Best; how: its own parameters."""
+    detectors = {
+        "Envelope": lambda: cleaning.envelope_segments(frames, hop_s, how.get("threshold", 0.7)),
+        "Amplitude": lambda: signal.amplitude_segments(pages, how.get("share", 0.9)),
+        "Power": lambda: signal.power_segments(frames, hop_s, how.get("threshold", 1.0)),
+        "Clipping": lambda: signal.clipped_segments(frames, hop_s, how.get("threshold", 3.0), how.get("least_area", 70), how.get("least_axis", 5.0)),
+        "Voice": lambda: signal.voiced_segments(signal.pitch(pages, how["width"], how.get("threshold", 0.5)), how.get("lowest", 100.0), how["width"] // 2 / how["fs"]),
+        "Best": lambda: best_segments(frames, pages, hop_s, how["width"]),
+    }
+    if name not in detectors:
+        raise ValueError(f"no detector is called {name}; there are {', '.join(detectors)}")
+    return detectors[name]().select("file_id", "page", "s", "e")
+
+
 def batch(pages: DataFrame, filters: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Segments of all pages(file_id, page, fs, samples) for all recognisers: each rate is resampled to once.
 

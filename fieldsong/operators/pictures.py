@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldsong.operators.prediction import let
 from fieldsong.operators.signal import KEYS, per_page, window_of
 
 #: Peaks of a frame that a ridge may go through, the largest ones.
@@ -198,5 +199,49 @@ def chroma(frames: DataFrame, fs: int, width: int, reference: float = 261.625565
     of_bin = F.slice(F.lit(pitch).cast("array<int>"), 1, F.size("mags"))
     energy = lambda c: F.aggregate(F.zip_with("mags", of_bin, lambda m, k: F.when(k == c, m.cast("double") * m).otherwise(0.0)), F.lit(0.0), lambda acc, v: acc + v)
     classes = F.transform(F.sequence(F.lit(0), F.lit(11)), energy)
-    found = frames.where(F.size("mags") > 1).select(*KEYS, "frame", classes.alias("c"))
-    return found.select(*KEYS, "frame", F.transform("c", lambda v: F.when(F.array_max("c") > 0, v / F.array_max("c")).otherwise(F.lit(0.0))).alias("chroma"))
+    found = frames.where(F.size("mags") > 1)
+    over = let(classes, lambda c: let(F.array_max(c), lambda top: F.transform(c, lambda v: F.when(top > 0, v / top).otherwise(F.lit(0.0)))))
+    return found.select(*KEYS, "frame", over.alias("chroma"))
+
+
+#: Turns of a pitch class a semitone in the circles of fifths, of minor and of major thirds, and their radii.
+TONAL_TURNS, TONAL_RADII = (7 / 6, 3 / 2, 2 / 3), (1.0, 1.0, 0.5)
+
+
+def tonal_centroids(classes: DataFrame) -> DataFrame:
+    """file_id, page, frame, tonal: where chroma(), as shares of its sum, lies in three circles: sine and cosine of each. Silent frames lie in the middle."""
+    weights = [[r * wave(k * t * np.pi) for k in range(12)] for t, r in zip(TONAL_TURNS, TONAL_RADII) for wave in (np.sin, np.cos)]
+    added = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+    def axes(c: Column) -> Column:
+        total = added(c)
+        at = lambda w: added(F.zip_with(c, F.array(*[F.lit(float(x)) for x in w]), lambda v, x: v * x))
+        return let(total, lambda t: F.transform(F.array(*map(at, weights)), lambda v: F.when(t > 0, v / t).otherwise(F.lit(0.0))))
+
+    return classes.select(*KEYS, "frame", let(F.col("chroma"), axes).alias("tonal"))
+
+
+def network_frames(frames: DataFrame, fs: int, hop: int, size_s: float, hop_s: float | None, columns: int, mask: tuple[float, float] | None = None) -> DataFrame:
+    """file_id, page, image, pixels: pictures of so many columns, hop_s apart, for a network: bins from the highest down, column by column, over their largest.
+
+    frames are a segment's spectrogram, file_id and page naming the segment. There are as many pictures as frames of
+    size_s fit in it, hop_s (or their own length) apart; those that would reach beyond its end are left out, and silent
+    ones are 0. Bins outside mask (Hz) are 0.
+    """
+    step = size_s if hop_s is None else hop_s
+    bins = F.size("mags")
+    if mask:
+        unit = fs / 2 / bins
+        frames = frames.withColumn("mags", F.transform("mags", lambda m, i: F.when((i < F.ceil(mask[0] / unit)) | (i >= F.floor(mask[1] / unit)), F.lit(0.0).cast("float")).otherwise(m.cast("float"))))
+    own = frames.withColumn("n", F.max("frame").over(Window.partitionBy(*KEYS)) + 1)
+    seconds = F.col("n") * (hop / fs)
+    count = F.floor(seconds / size_s) if hop_s is None else F.floor((seconds - size_s) / hop_s) + 1
+    # The pictures that a column is in: those that start at it or up to columns - 1 before.
+    first = F.greatest(F.lit(0), F.floor((F.col("frame") - columns) * (hop / fs) / step).cast("int"))
+    last = F.least(count.cast("int") - 1, F.ceil((F.col("frame") + 1) * (hop / fs) / step).cast("int"))
+    each = own.where(last >= first).withColumn("image", F.explode(F.sequence(first, last))).withColumn("start", F.floor(F.col("image") * (step * fs / hop)).cast("int"))
+    each = each.where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + columns) & (F.col("start") + columns <= F.col("n")))
+    packed = each.groupBy(*KEYS, "image").agg(F.array_sort(F.collect_list(F.struct("frame", "mags"))).alias("cols"))
+    flat = packed.withColumn("pixels", F.flatten(F.transform("cols", lambda c: F.reverse(c["mags"]))))
+    top = F.array_max("pixels")
+    return flat.withColumn("top", top).select(*KEYS, "image", F.transform("pixels", lambda v: F.when(F.col("top") > 0, v / F.col("top")).otherwise(F.lit(0.0)).cast("float")).alias("pixels"))

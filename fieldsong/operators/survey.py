@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldsong.operators import intervals
+from fieldsong.operators import intervals, summary
 
 
 def time_stamps(segments: DataFrame, started: Column, by: list[str], order: str = "ord") -> DataFrame:
@@ -153,3 +153,23 @@ def training_split(df: DataFrame, key: str, share: float) -> DataFrame:
     """df with `held_out`: about a share of it, by hash, the same rows each time."""
     spot = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("long")
     return df.withColumn("held_out", spot < int(share * 16**6))
+
+
+def workbook(segments: DataFrame, files: DataFrame, res: float, any_sound: str = "Any sound") -> dict[str, DataFrame]:
+    """A report's three sheets over a whole tree of annotations, for every species and for any sound, as tables.
+
+    segments(file_id, seg_id, s, e, f_lo, f_hi, labels) and files(file_id, started, duration). stamps: file_id, species, start, end
+    (clock times), f_lo, f_hi, certainty. presence: file_id, species, present, max_cert, for every file and species. bins: file_id,
+    species, bin, max_cert, for bins of res seconds. A segment counts once for any sound, with its largest certainty.
+    """
+    each = segments.select("file_id", "seg_id", "s", "e", "f_lo", "f_hi", F.explode("labels").alias("x"))
+    named = each.groupBy("file_id", "seg_id", "s", "e", "f_lo", "f_hi", F.col("x.species").alias("species")).agg(F.max("x.certainty").alias("cert"))
+    whole = named.groupBy("file_id", "seg_id", "s", "e", "f_lo", "f_hi").agg(F.max("cert").alias("cert")).withColumn("species", F.lit(any_sound))
+    rows = named.unionByName(whole)
+    clock = lambda c: F.date_format(F.timestamp_seconds(F.unix_seconds("started") + F.floor(c)), "HH:mm:ss")
+    known = rows.join(files, "file_id")
+    stamps = known.select("file_id", "species", "seg_id", clock("s").alias("start"), clock("e").alias("end"), "f_lo", "f_hi", F.col("cert").alias("certainty"))
+    species = rows.select("species").distinct()
+    top = summary.presence(files, species, rows, "file_id")
+    last = F.ceil(F.col("duration") / res).cast("long") - 1
+    return {"stamps": stamps, "presence": top, "bins": summary.certainty_by_bin(known, ["file_id", "species"], res, last)}

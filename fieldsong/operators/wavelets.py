@@ -120,6 +120,20 @@ def best_leaves(costs: DataFrame, by: list[str]) -> DataFrame:
     return costs.groupBy(*by).applyInPandas(fold, f"{kinds}, node int")
 
 
+def best_level(costs: DataFrame, by: list[str]) -> DataFrame:
+    """by, level: how deep a full tree is worth it: the first level whose cheapest node is not cheaper than the one before has, or the last."""
+    level = F.floor(F.log2(F.col("node") + 1)).cast("int")
+    least = costs.groupBy(*by, level.alias("level")).agg(F.min("cost").alias("least"))
+    line = Window.partitionBy(*by).orderBy("level")
+    steps = least.withColumn("before", F.lag("least").over(line)).where("level > 0")
+    stop = F.coalesce(F.min(F.when(F.col("least") >= F.col("before"), F.col("level"))), F.max("level"))
+    return steps.groupBy(*by).agg(stop.alias("level"))
+
+
+#: A series of change points may be so long: the work grows with its square.
+MOST_POINTS = 10_000
+
+
 def change_points(x: np.ndarray, longest: int, alpha: float, background: float = 1.0) -> list[tuple[int, int, str]]:
     """Segments [s, e) of x whose variance leaves the background: signals (s), nuisances (n), signals on them (o).
 
@@ -128,6 +142,8 @@ def change_points(x: np.ndarray, longest: int, alpha: float, background: float =
     signals upon it that lie beyond it from the general background. A cut costs 1.1 alpha ln n more.
     """
     n = len(x)
+    if n > MOST_POINTS:
+        raise ValueError(f"{n} windows are too many to search for changes, {MOST_POINTS} at most: take shorter pages or longer windows")
     x2 = np.maximum(np.asarray(x, dtype=float) ** 2, 1e-12)
     penalty = 1.1 * alpha * np.log(max(n, 2))
     upto = np.concatenate([[0.0], np.cumsum(x2)])

@@ -5,13 +5,16 @@ Vectors stand for frames too: 64 consecutive ones are a recording of four pages
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldsong.functions.nodes import node_bands
-from fieldsong.operators import evaluate, grouping, pictures, prediction, recognise, synthesis, templates, wavelets, wind
-from fieldsong.plans.adapters import SPECTRA, table
+from fieldsong.operators import contours as contour_operators
+from fieldsong.operators import detect, evaluate, grouping, pictures, prediction, recognise, signal, survey, synthesis, templates, wavelets, wind
+from fieldsong.plans.adapters import DET, SPECTRA, detections, table
 from fieldsong.plans.signal_queries import _PAIRS, _SIG, FS, _pairs, _signals
 from fieldsong.sources import audio, chunks
 from fieldsong.sources.scratch import new_folder
@@ -221,6 +224,75 @@ def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.piece_names(rec, 600)
 
 
+def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many contour cells each frame has, with its entropy and mean frequency."""
+    pages = _signals(spark, sf_dir)
+    cells = contour_operators.contours(pages, 64, 32).groupBy("file_id", "page", "frame").agg(F.count(F.lit(1)).alias("cells"))
+    return contour_operators.change_features(pages, 64, 32).join(cells, ["file_id", "page", "frame"], "left").fillna(0, ["cells"])
+
+
+def pitch_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contour_operators.pitch_goodness(_signals(spark, sf_dir), 64, 32)
+
+
+def equal_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recording as loud as people hear it."""
+    got = contour_operators.equal_loudness(_signals(spark, sf_dir)).select("file_id", F.posexplode("samples").alias("i", "x"))
+    return got.withColumn("x", F.round("x", 6) + 0.0)
+
+
+def tonal_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pictures.tonal_centroids(pictures.chroma(_pictures(spark, sf_dir), 8000, 128))
+    return got.select("file_id", "page", "frame", F.posexplode("tonal").alias("axis", "at")).withColumn("at", F.round("at", 6) + 0.0)
+
+
+def network_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of five columns, three apart, of each page of sixteen frames: the sum of their pixels and the first one."""
+    got = pictures.network_frames(_pictures(spark, sf_dir), 64, 16, 1.25, 0.75, 5, (3.0, 30.0))
+    return got.select("file_id", "page", "image", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.get("pixels", F.lit(40)).cast("double"), 5).alias("pixel"))
+
+
+def best_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best level of each vector's elements, read as the coefficients of a tree of six levels."""
+    c = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("node", "c")).where("node < 63")
+    return wavelets.best_level(wavelets.node_costs(c, ["vec_id", "node"], "entropy"), ["vec_id"])
+
+
+def any_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands out of the recordings, each squared so that something does, a page four seconds long."""
+    frames = _pictures(spark, sf_dir).withColumn("mags", F.transform("mags", lambda m: m * m * m))
+    found = signal.clipped_segments(frames, STEP, 1.2, 6, 0.5)
+    return detect.cleaned(found, ["file_id", "page"], 0.5, 0.5, 2.0)
+
+
+def best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _signals(spark, sf_dir).withColumn("fs", F.lit(1280))
+    return detect.best_segments(signal.spectrogram(pages, 64, 32), pages, 32 / 1280, 128, 0.5, 1.5, 0.9, 4.0)
+
+
+def detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each recording the detectors of four names find."""
+    pages = _signals(spark, sf_dir).withColumn("fs", F.lit(1280))
+    frames = signal.spectrogram(pages, 64, 32)
+    how = {"Envelope": {"threshold": 0.4}, "Amplitude": {"share": 0.5}, "Power": {"threshold": 0.2}, "Voice": {"width": 128, "fs": 1280, "threshold": 0.9, "lowest": 4.0}}
+    parts = [detect.by_name(k, frames, pages, 32 / 1280, **v).withColumn("detector", F.lit(k)) for k, v in how.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("file_id", "detector").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("e") - F.col("s")), 6).alias("seconds"))
+
+
+def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sheets over all recorders' days, one below the other: how many rows and what certainty each species has in them."""
+    det = detections(spark, sf_dir).withColumn("file_id", F.concat_ws("_", "rec", F.floor(F.col("s") / 86400)))
+    day = F.floor(F.col("s") / 86400) * 86400
+    none = F.lit(None).cast("string")
+    label = F.struct("species", F.col("cert").cast("double").alias("certainty"), none.alias("calltype"), none.alias("filter"))
+    segments = det.select("file_id", F.col("ord").alias("seg_id"), (F.col("s") - day).alias("s"), (F.col("e") - day).alias("e"), F.lit(100).alias("f_lo"), F.lit(4000).alias("f_hi"), F.array(label).alias("labels"))
+    files = det.select("file_id", F.timestamp_seconds(day).alias("started")).distinct().withColumn("duration", F.lit(86400.0))
+    sheets = survey.workbook(segments, files, 3600.0)
+    count = lambda name, cert, more: sheets[name].groupBy("species").agg(F.count(F.lit(1)).alias("rows"), F.sum(cert).cast("double").alias("certainty"), more.alias("first")).withColumn("sheet", F.lit(name))
+    return count("stamps", "certainty", F.min("start")).unionByName(count("presence", "max_cert", F.max(F.when(F.col("present") == "Yes", F.col("file_id"))))).unionByName(count("bins", "max_cert", F.max("bin").cast("string")))
+
+
 _VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 _PIC = f"""{SPECTRA}, pc AS (SELECT vec_id, vec_id // 64 AS rec, vec_id % 64 AS pos, k, abs(x) AS m FROM sp)"""
 SQL = {
@@ -280,6 +352,30 @@ SELECT round((mi - emi) / ((ht + hc) / 2 - emi), 6) AS ami FROM m, i, h""",
     "split_names": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 3000 AS DOUBLE) AS seconds, make_timestamp((1600000000 + o_orderkey * 977) * 1000000) AS t FROM orders),
 n AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'note' || o_orderkey || '.wav' ELSE 'REC_' || strftime(t, '%Y%m%d_%H%M%S') || '.wav' END AS name, unnest(range(CAST(ceil(seconds / 600) AS BIGINT))) AS piece FROM o)
 SELECT name, CAST(piece AS INT) AS piece, CASE WHEN o_orderkey % 5 = 0 THEN 'note' || o_orderkey || '_' || piece || '.wav' ELSE 'REC_' || strftime(t + to_seconds(piece * 600), '%Y%m%d_%H%M%S') || '.wav' END AS piece_name FROM n""",
+    "equal_loudness": f"""WITH RECURSIVE {_SIG}, v AS (SELECT file_id, max(n) AS n, list(x ORDER BY i) AS x FROM sig GROUP BY file_id),
+w AS (SELECT file_id, n, x, 0 AS i, [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS u, [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS y, [0.0::DOUBLE, 0] AS z, 0.0::DOUBLE AS last FROM v
+UNION ALL SELECT file_id, n, x, i + 1, u, list_prepend(now, y[1:9]), list_prepend(out, z[1:1]), out FROM (
+SELECT *, 0.9592::DOUBLE * now - 1.9184::DOUBLE * y[1] + 0.9592::DOUBLE * y[2] + 1.9167::DOUBLE * z[1] - 0.9201::DOUBLE * z[2] AS out FROM (
+SELECT file_id, n, x, i, list_prepend(x[i + 1], u[1:10]) AS u, y, z, 0.4492::DOUBLE * x[i + 1] - 0.1435::DOUBLE * u[1] - 0.2278::DOUBLE * u[2] - 0.0142::DOUBLE * u[3] + 0.0408::DOUBLE * u[4] - 0.1240::DOUBLE * u[5] + 0.0410::DOUBLE * u[6]
+  + 0.1048::DOUBLE * u[7] - 0.0186::DOUBLE * u[8] - 0.0319::DOUBLE * u[9] + 0.0054::DOUBLE * u[10] + 0.6282::DOUBLE * y[1] - 0.2966::DOUBLE * y[2] + 0.3726::DOUBLE * y[3] - 0.0021::DOUBLE * y[4] + 0.4203::DOUBLE * y[5]
+  - 0.2220::DOUBLE * y[6] - 0.0061::DOUBLE * y[7] - 0.0675::DOUBLE * y[8] - 0.0578::DOUBLE * y[9] - 0.0322::DOUBLE * y[10] AS now FROM w WHERE i < n)))
+SELECT file_id, CAST(i - 1 AS INT) AS i, round(last, 6) + 0.0::DOUBLE AS x FROM w WHERE i > 0""",
+    "tonal_centroids": f"""WITH {_PIC}, g AS (SELECT rec, pos, CAST(((floor(12 * log2(k * 8000.0::DOUBLE / 128 / 261.6255653::DOUBLE) + 0.5) % 12) + 12) % 12 AS INT) AS pitch, m FROM pc WHERE k > 0),
+e AS (SELECT rec, pos, pitch, sum(m * m) AS e FROM g GROUP BY ALL), s AS (SELECT rec, pos, pitch, e / sum(e) OVER (PARTITION BY rec, pos) AS s FROM e), t(axis, turn, radius) AS (VALUES (0, 7 / 6, 1), (2, 3 / 2, 1), (4, 2 / 3, 0.5))
+SELECT CAST(rec AS VARCHAR) AS file_id, CAST(pos // 16 AS INT) AS page, CAST(pos % 16 AS INT) AS frame, CAST(axis AS INT) AS axis, round(sum(s * radius * sin(pitch * (turn * pi()))), 6) + 0.0::DOUBLE AS "at" FROM s, t GROUP BY rec, pos, axis
+UNION ALL SELECT CAST(rec AS VARCHAR), CAST(pos // 16 AS INT), CAST(pos % 16 AS INT), CAST(axis + 1 AS INT), round(sum(s * radius * cos(pitch * (turn * pi()))), 6) + 0.0::DOUBLE FROM s, t GROUP BY rec, pos, axis""",
+    "network_frames": f"""WITH {_PIC}, f AS (SELECT rec, pos // 16 AS page, pos % 16 AS frame, k, CAST(CASE WHEN k < 6 OR k >= 60 THEN 0 ELSE m END AS FLOAT) AS m FROM pc), n AS (SELECT rec, page, max(frame) + 1 AS n FROM f GROUP BY rec, page),
+i AS (SELECT rec, page, n, unnest(range(CAST(floor((n * 0.25 - 1.25) / 0.75) + 1 AS BIGINT))) AS image FROM n), w AS (SELECT *, image * 3 AS start FROM i WHERE image * 3 + 5 <= n),
+c AS (SELECT w.rec, w.page, w.image, f.frame - start AS c, k, m, max(m) OVER (PARTITION BY w.rec, w.page, w.image) AS top FROM w JOIN f ON f.rec = w.rec AND f.page = w.page AND f.frame >= start AND f.frame < start + 5)
+SELECT CAST(rec AS VARCHAR) AS file_id, CAST(page AS INT) AS page, CAST(image AS INT) AS image, round(sum(CAST(CASE WHEN top > 0 THEN CAST(m AS DOUBLE) / top ELSE 0 END AS FLOAT)::DOUBLE), 4) AS total, round(max(CAST(CASE WHEN top > 0 THEN CAST(m AS DOUBLE) / top ELSE 0 END AS FLOAT)::DOUBLE) FILTER (c = 0 AND k = 23), 5) AS pixel FROM c GROUP BY rec, page, image""",
+    "best_level": f"""WITH {SPECTRA}, c AS (SELECT vec_id, CAST(floor(log2(k + 1)) AS INT) AS level, min(CASE WHEN x <> 0 THEN -(x * x) * ln(x * x) ELSE 0 END) AS least FROM sp WHERE k < 63 GROUP BY ALL),
+l AS (SELECT *, lag(least) OVER (PARTITION BY vec_id ORDER BY level) AS before FROM c) SELECT vec_id, coalesce(min(level) FILTER (least >= before), max(level)) AS level FROM l WHERE level > 0 GROUP BY vec_id""",
+    "workbook": f"""WITH {DET}, d AS (SELECT *, CAST(floor(s / 86400) AS BIGINT) AS day, rec || '_' || CAST(floor(s / 86400) AS BIGINT) AS file_id FROM det), u AS (SELECT ord, file_id, day, s, e, species, cert FROM d UNION ALL SELECT ord, file_id, day, s, e, 'Any sound', cert FROM d),
+b AS (SELECT species, file_id, unnest(range(CAST(floor((s - day * 86400) / 3600) AS BIGINT), CAST(least(23, greatest(ceil((e - day * 86400) / 3600) - 1, floor((s - day * 86400) / 3600))) AS BIGINT) + 1)) AS bin, cert FROM u),
+bm AS (SELECT species, file_id, bin, max(cert) AS cert FROM b GROUP BY ALL), fm AS (SELECT species, file_id, max(cert) AS cert FROM u GROUP BY ALL), nf AS (SELECT count(DISTINCT file_id) AS n FROM d)
+SELECT 'stamps' AS sheet, species, count(*) AS rows, CAST(sum(cert) AS DOUBLE) AS certainty, min(strftime(make_timestamp(CAST(floor(s) * 1000000 AS BIGINT)), '%H:%M:%S')) AS first FROM u GROUP BY species
+UNION ALL SELECT 'presence', species, max(n), CAST(sum(cert) AS DOUBLE), max(file_id) FROM fm, nf GROUP BY species
+UNION ALL SELECT 'bins', species, count(*), CAST(sum(cert) AS DOUBLE), CAST(max(bin) AS VARCHAR) FROM bm GROUP BY species""",
     "ridges": f"""WITH RECURSIVE {_PIC}, u AS (SELECT *, lag(m) OVER o AS below, lead(m) OVER o AS above FROM pc WINDOW o AS (PARTITION BY vec_id ORDER BY k)),
 c AS (SELECT rec, pos, k AS bin, ln(m) AS w FROM u WHERE m > 0 AND (below IS NULL OR m > below) AND (above IS NULL OR m >= above) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, k) <= 6),
 f AS (SELECT *, dense_rank() OVER (PARTITION BY rec ORDER BY pos) AS step FROM c),
