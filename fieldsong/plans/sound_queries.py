@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from fieldsong.functions.nodes import node_bands
 from fieldsong.operators import contours as contour_operators
-from fieldsong.operators import detect, evaluate, grouping, pictures, prediction, recognise, signal, survey, synthesis, templates, wavelets, wind
+from fieldsong.operators import detect, distributions, evaluate, grouping, learning, pictures, prediction, recognise, signal, survey, synthesis, templates, wavelets, wind
 from fieldsong.plans.adapters import DET, SPECTRA, detections, table
 from fieldsong.plans.signal_queries import _PAIRS, _SIG, FS, _pairs, _signals
 from fieldsong.sources import audio, chunks
@@ -293,6 +293,60 @@ def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("stamps", "certainty", F.min("start")).unionByName(count("presence", "max_cert", F.max(F.when(F.col("present") == "Yes", F.col("file_id"))))).unionByName(count("bins", "max_cert", F.max("bin").cast("string")))
 
 
+BIRD = [35, 36, 39, 40, 43, 44, 45]
+
+
+def _node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of the elements as energies of as many nodes; sixteen vectors are a segment, four of them a recording."""
+    e = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("node", "x"))
+    return e.select(F.expr("cast(vec_id div 64 as string)").alias("file_id"), F.expr("cast(vec_id div 16 % 4 as int)").alias("seg_id"), F.expr("cast(vec_id % 16 as int)").alias("win"), "node", (F.col("x") * F.col("x")).alias("energy"))
+
+
+def learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments' shares of the bird's nodes, whether its rule takes them, and whether a review that kept two in three did."""
+    energies = _node_table(spark, sf_dir)
+    segments = energies.select("file_id", "seg_id").distinct().withColumn("s", F.col("seg_id") * 20.0).withColumn("e", F.col("s") + 15)
+    reviewed = segments.where("(cast(file_id as int) + seg_id) % 3 <> 0").select("file_id", "s", "e")
+    rows = learning.learning_rows(learning.node_shares(energies, ["file_id", "seg_id"], BIRD), segments, reviewed, ["file_id", "seg_id"])
+    return rows.select("file_id", "seg_id", F.array_join(F.transform("shares", lambda v: F.format_number(v, 6)), ",").alias("shares"), learning.rule(F.col("shares")).alias("taken"), "target")
+
+
+def energies_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 nodes' energies of every window of the recordings' first segments, with its truth by its label."""
+    energies = _node_table(spark, sf_dir).withColumn("win", F.col("seg_id") * 16 + F.col("win"))
+    truth = table(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id div 64 as string)").alias("file_id"), F.expr("vec_id % 64").alias("bin"), (F.col("label") < 3).cast("int").alias("present"))
+    got = learning.energies_with_truth(energies, truth, 32)
+    return got.select("file_id", "win", F.round(F.aggregate("energies", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.get("energies", F.lit(31)), 8).alias("last"), "present")
+
+
+def block_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's elements shrunk and cut by the mean size of their block of eight, of every block but each fourth."""
+    c = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "c"))
+    t = c.groupBy("vec_id", F.floor(F.col("i") / 8).alias("block")).agg(F.avg(F.abs("c")).alias("t")).where("block % 4 <> 3")
+    soft, hard = (learning.block_thresholded(c, t, ["vec_id"], 8, k).withColumnRenamed("c", k) for k in ("soft", "hard"))
+    return soft.join(hard, ["vec_id", "i"]).select("vec_id", "i", F.round("soft", 6) + 0.0, F.round("hard", 6) + 0.0).toDF("vec_id", "i", "soft", "hard")
+
+
+def windy_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wind of the recordings, read at 1024 Hz and made louder by their number, so that some are too noisy."""
+    pages = _signals(spark, sf_dir, 100.0).withColumn("fs", F.lit(1024)).withColumn("samples", F.transform("samples", lambda v: v * (F.col("file_id").cast("double") % 5)))
+    return learning.windy(pages)
+
+
+def sound_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four distributions of each vector's elements, read as a piece of sound: the sum of each bin."""
+    pages = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("file_id"), F.lit(0).alias("page"), F.lit(FS).alias("fs"), F.col("x").alias("samples"))
+    each = [distributions.distribution(pages, k).withColumn("kind", F.lit(k)) for k in distributions.KINDS]
+    cells = reduce(DataFrame.unionByName, each).select("file_id", "kind", F.posexplode("cells").alias("bin", "m"))
+    return cells.groupBy("file_id", "kind", "bin").agg(F.round(F.sum("m"), 6).alias("total"))
+
+
+def speed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three copies of each recording at other speeds: their rates and root mean squares."""
+    got = learning.speed_changed(_signals(spark, sf_dir), 3, width=128)
+    return got.select("file_id", "page", F.round("rate", 9).alias("rate"), F.size("samples").alias("n"), F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v) / F.size("samples")).alias("rms"))
+
+
 _VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 _PIC = f"""{SPECTRA}, pc AS (SELECT vec_id, vec_id // 64 AS rec, vec_id % 64 AS pos, k, abs(x) AS m FROM sp)"""
 SQL = {
@@ -376,6 +430,12 @@ bm AS (SELECT species, file_id, bin, max(cert) AS cert FROM b GROUP BY ALL), fm
 SELECT 'stamps' AS sheet, species, count(*) AS rows, CAST(sum(cert) AS DOUBLE) AS certainty, min(strftime(make_timestamp(CAST(floor(s) * 1000000 AS BIGINT)), '%H:%M:%S')) AS first FROM u GROUP BY species
 UNION ALL SELECT 'presence', species, max(n), CAST(sum(cert) AS DOUBLE), max(file_id) FROM fm, nf GROUP BY species
 UNION ALL SELECT 'bins', species, count(*), CAST(sum(cert) AS DOUBLE), CAST(max(bin) AS VARCHAR) FROM bm GROUP BY species""",
+    "learning_rows": f"""WITH {SPECTRA}, m AS (SELECT vec_id // 64 AS f, vec_id // 16 % 4 AS seg_id, k, avg(x * x) AS e FROM sp WHERE k IN (35, 36, 39, 40, 43, 44, 45) GROUP BY ALL),
+h AS (SELECT f, seg_id, k, e / sum(e) OVER (PARTITION BY f, seg_id) AS s FROM m), g AS (SELECT f, seg_id, string_agg(printf('%.6f', s), ',' ORDER BY k) AS shares, max(s) FILTER (k = 35) AS a, max(s) FILTER (k = 36) AS b, max(s) FILTER (k = 43) AS c, max(s) FILTER (k = 44) AS d FROM h GROUP BY f, seg_id)
+SELECT CAST(f AS VARCHAR) AS file_id, CAST(seg_id AS INT) AS seg_id, shares, ((a > 0.2 OR b > 0.2) AND (c > 0.2 OR d > 0.2)) OR a > 0.4 OR c > 0.3 AS taken, CAST((f + seg_id) % 3 <> 0 AS INT) AS target FROM g""",
+    "energies_with_truth": f"""WITH {SPECTRA} SELECT CAST(vec_id // 64 AS VARCHAR) AS file_id, CAST(vec_id % 64 AS INT) AS win, round(sum(x * x) FILTER (k BETWEEN 1 AND 32), 6) AS total, round(max(x * x) FILTER (k = 32), 8) AS "last", CAST(max(label) < 3 AS INT) AS present FROM sp GROUP BY vec_id""",
+    "block_thresholds": f"""WITH {SPECTRA}, t AS (SELECT vec_id, k, x, CASE WHEN k // 8 % 4 = 3 THEN 0 ELSE avg(abs(x)) OVER (PARTITION BY vec_id, k // 8) END AS t FROM sp)
+SELECT vec_id, CAST(k AS INT) AS i, round(sign(x) * greatest(abs(x) - t, 0), 6) + 0.0::DOUBLE AS soft, round(CASE WHEN abs(x) < t THEN 0 ELSE x END, 6) + 0.0::DOUBLE AS hard FROM t""",
     "ridges": f"""WITH RECURSIVE {_PIC}, u AS (SELECT *, lag(m) OVER o AS below, lead(m) OVER o AS above FROM pc WINDOW o AS (PARTITION BY vec_id ORDER BY k)),
 c AS (SELECT rec, pos, k AS bin, ln(m) AS w FROM u WHERE m > 0 AND (below IS NULL OR m > below) AND (above IS NULL OR m >= above) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, k) <= 6),
 f AS (SELECT *, dense_rank() OVER (PARTITION BY rec ORDER BY pos) AS step FROM c),
