@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from pyspark.sql.window import Window
 
 MODELS = {"kmeans": KMeans, "hierarchical": BisectingKMeans, "mixture": GaussianMixture}
@@ -82,6 +82,35 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def subsequence(a: list, b: list) -> list:
+    """The longest common subsequence itself; of equally long ones the one whose last values stand earliest in b, then in a."""
+    n, m = len(a), len(b)
+    far = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            far[i + 1][j + 1] = far[i][j] + 1 if a[i] == b[j] else max(far[i][j + 1], far[i + 1][j])
+    out, i, j = [], n, m
+    while i and j:
+        if far[i][j] == far[i][j - 1]:
+            j -= 1
+        elif far[i][j] == far[i - 1][j]:
+            i -= 1
+        else:
+            out.append(a[i - 1])
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([subsequence(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype=object)
+
+
+def common_part(a: Column, b: Column) -> Column:
+    """The longest common subsequence of two columns of whole numbers; null for null."""
+    return _subsequence(a, b)
+
+
 def density_links(pairs: DataFrame, radius: float, least: int) -> DataFrame:
     """Links a, b of density clusters from pairs(a, b, d), each pair once: both within radius, one at least a core.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsong.operators import clustering
 from fieldsong.operators.labels import LABEL
 from fieldsong.plans.adapters import DET, detections, table
 from fieldsong.plans.sound_queries import _pictures
@@ -167,6 +168,40 @@ def species_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumns({"group": group, "kind": part}).join(short, "name", "left").select("pos", "name", "group", "kind", F.coalesce("short", F.lit(False)).alias("short"))
 
 
+def valid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four kinds, found by their endings; those that are long enough and begin as their kind does are valid."""
+    key = F.col("s_suppkey")
+    ending = F.element_at(F.array(*map(F.lit, (".wav", ".flac", ".bmp", ".txt"))), (key % 4).cast("int") + 1)
+    magic = F.element_at(F.array(*map(F.lit, ("RIFF", "fLaC", "BM", "RIFX", "none"))), (key % 5).cast("int") + 1)
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("rec"), key, ending).alias("name"), F.rpad(magic, (key * 3 + 900).cast("int"), "x").cast("binary").alias("content"))
+    folder = new_folder(spark)
+    audio.saved(rows, folder).count()
+    found = audio.files(spark, folder, "*.{wav,flac,bmp}")
+    good = audio.valid(found).select("path", F.lit(True).alias("valid"))
+    return found.select("path", "length").join(good, "path", "left").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+def folder_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species of every tenth recorder's folder, with their least certainty and how often they are labelled."""
+    return exports.species_overview(_segments(spark, sf_dir), F.expr("cast(file_id as bigint) div 10"))
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks in the images of each recording, and the seconds from the first to the last."""
+    frames = _pictures(spark, sf_dir).withColumn("frame", F.col("page") * 16 + F.col("frame")).withColumn("page", F.lit(0))
+    found = images.clicks(frames, 0.5, 17)
+    spans = images.click_spans(found).withColumnRenamed("seconds", "span")
+    return found.join(spans, "file_id").select("file_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.round("span", 9).alias("span"))
+
+
+def common_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the common part of each vector and the next one is, their elements in steps of a tenth, and whether the part itself is that long."""
+    steps = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10).cast("int"))
+    v = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", steps.alias("a"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return both.select("vec_id", F.size(clustering.common_part(F.col("a"), F.col("b"))).alias("length"))
+
+
 _SEG = f"""{DET}, sg AS (SELECT rec, ord, species, cert, round(s - 1704067200, 3) AS s, round(round(s - 1704067200, 3) + (e - s), 3) AS e, CAST(cert * 10 + 2 AS INT) AS f_lo, CAST(cert * 20 + 500 AS INT) AS f_hi FROM det)"""
 SQL = {
     "annotation_files": f"""WITH {_SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s, ord) AS seg_id FROM sg)
@@ -191,6 +226,19 @@ SELECT k || '_' || strftime(d, '%Y%m%d') || '_' || printf('%02d', h) || '3015.bm
     "bat_images": """WITH p AS (SELECT vec_id // 64 AS rec, vec_id % 64 AS frame, unnest(range(len(embedding))) AS k, abs(CAST(unnest(embedding) AS DOUBLE)) AS m FROM embeddings),
 q AS (SELECT rec, frame, k, CASE WHEN k = 0 THEN 1 ELSE floor(255 * (m / max(m) OVER (PARTITION BY rec))) END AS b FROM p), z AS (SELECT *, CAST(b / max(b) OVER (PARTITION BY rec) AS FLOAT) AS v, row_number() OVER (PARTITION BY rec ORDER BY frame, k) AS n, dense_rank() OVER (PARTITION BY rec ORDER BY frame) - 1 AS col FROM q)
 SELECT rec, CAST(col AS INT) AS frame, round(col * 512 / 176000.0::DOUBLE, 9) AS t, round(sum(CAST(v AS DOUBLE)), 4) AS total, CAST(arg_min(k, {'v': -v, 'k': k}) AS INT) AS band FROM z GROUP BY rec, col""",
+    "valid_files": """WITH f AS (SELECT s_suppkey AS k, s_suppkey * 3 + 900 AS length FROM supplier WHERE s_suppkey % 4 < 3)
+SELECT 'rec' || k || CASE k % 4 WHEN 0 THEN '.wav' WHEN 1 THEN '.flac' ELSE '.bmp' END AS name, length, length >= 1000 AND k % 5 < 3 AS valid FROM f""",
+    "folder_species": f"""WITH {_SEG}, x AS (SELECT rec // 10 AS folder, species, CAST(cert AS DOUBLE) AS c FROM sg UNION ALL SELECT rec // 10, 'Kiwi', 50 FROM sg WHERE cert = 90)
+SELECT folder, species, min(c) AS least, count(*) AS n FROM x GROUP BY folder, species""",
+    "clicks": """WITH p AS (SELECT vec_id // 64 AS rec, vec_id % 64 AS frame, list_sum(list_transform(embedding[19:39], lambda v: abs(CAST(v AS DOUBLE)))) / 21 AS level FROM embeddings),
+o AS (SELECT *, level > avg(level) OVER w + 0.5::DOUBLE * stddev_pop(level) OVER w AS hit FROM p WINDOW w AS (PARTITION BY rec)), r AS (SELECT rec, frame, row_number() OVER (PARTITION BY rec ORDER BY frame) - row_number() OVER (PARTITION BY rec, hit ORDER BY frame) AS run, hit FROM o),
+c AS (SELECT rec, min(frame) AS s, max(frame) + 1 AS e FROM r WHERE hit GROUP BY rec, run HAVING max(frame) + 1 - min(frame) <= 17)
+SELECT CAST(rec AS VARCHAR) AS file_id, s, e, round((max(e) OVER (PARTITION BY rec) - min(s) OVER (PARTITION BY rec)) * 512 / 176000.0::DOUBLE, 9) AS span FROM c""",
+    "common_parts": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 10) AS INT)) AS a FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT v.vec_id, v.a, w.a AS b FROM v JOIN v w ON w.vec_id = v.vec_id + 1),
+r AS (SELECT vec_id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda j: 0) AS row_ FROM p UNION ALL SELECT vec_id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(raw[1:j + 1])) FROM (
+  SELECT *, list_transform(range(len(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 WHEN a[i + 1] = b[j] THEN greatest(row_[j] + 1, row_[j + 1]) ELSE row_[j + 1] END) AS raw FROM r WHERE i < len(a)))
+SELECT vec_id, row_[len(b) + 1] AS length FROM r WHERE i = len(a)""",
     "species_lists": """WITH c AS (SELECT c_nationkey AS g, lower(c_mktsegment) AS m, min(c_custkey) AS pos FROM customer GROUP BY ALL),
 n AS (SELECT pos, 'nation' || g AS grp, CASE WHEN g % 4 <> 0 THEN m END AS kind FROM c), l AS (SELECT pos, grp, kind, grp || CASE WHEN kind IS NULL THEN '' ELSE ' (' || kind || ')' END AS name FROM n),
 s AS (SELECT name FROM (SELECT name, min(pos) AS pos FROM l GROUP BY name) ORDER BY pos, name LIMIT 29) SELECT pos, name, grp AS "group", kind, name IN (SELECT name FROM s) AS short FROM l""",

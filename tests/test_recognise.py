@@ -128,3 +128,18 @@ def test_category_of_a_bat(spark):
     kinds = {"Both": [("Long-tailed bat", 100.0), ("Short-tailed bat", 100.0)], "Long Tail": [("Long-tailed bat", 100.0), ("Short-tailed bat", 50.0)], "Short Tail": [("Short-tailed bat", 100.0)], "Possible": [("Long-tailed bat", 50.0)], "Non-bat": [("Kiwi", 100.0)]}
     df = spark.createDataFrame([(k, [(s, c) for s, c in v]) for k, v in [*kinds.items()]] + [("Non-bat", [])], "want string, labels array<struct<species: string, certainty: double>>")
     assert all(r.want == r.got for r in df.select("want", labels.bat_category(F.col("labels")).alias("got")).collect())
+
+
+def test_common_subsequence_itself():
+    import random
+    from itertools import combinations
+
+    from fieldsong.operators.clustering import common_subsequence, subsequence
+
+    rng = random.Random(3)
+    inside = lambda x, y: all(any(v == w for w in it) for it in [iter(y)] for v in x)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 7))] for _ in range(2))
+        got = subsequence(a, b)
+        longest = next(k for k in range(len(a), -1, -1) if any(inside(c, b) for c in combinations(a, k)))
+        assert len(got) == longest == common_subsequence(np.array(a), np.array(b)) and inside(got, a) and inside(got, b)
