@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 #: Beginnings of words that can be insults, in characters.
 STEMS = range(3, 13)
 #: Entries need so many toxic documents, such evidence (likelihood ratio) and such odds; no more than so many are kept of each kind.
-LEAST_DOCS, LEAST_EVIDENCE, LEAST_ODDS, ENTRIES = 3, 12.0, 1.5, 20_000
+LEAST_DOCS, LEAST_EVIDENCE, LEAST_ODDS, ENTRIES = 3, 12.0, 2.5, 20_000
 #: A beginning has to be in so many times the toxic documents of any word that it begins.
 ALONE = 1.25
 #: A clean word is an exception to its beginning if so many documents have it.
@@ -298,8 +298,9 @@ def lexicon(names: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> tuple[
         for k in STEMS:
             if k < len(w) and seen.get(f"{w[:k]}*", 0) < ALONE * n:
                 stems.pop(w[:k], None)
-    known = ~stem & (good | (toxic + clean >= EXCEPTION_DOCS))
-    words = {x: float(s) if g else max(0.0, float(s) - LEAST_ODDS) for x, s, g in zip(names[known], strength[known], good[known])}
+    # Words that their documents show to be clean, whatever they begin with; of others too little is known, they go by their beginning.
+    clear = ~stem & ~good & (toxic + clean >= EXCEPTION_DOCS) & (strength < LEAST_ODDS)
+    words = {x: float(s) if g else 0.0 for x, s, g, c in zip(names, strength, good & ~stem, clear) if g or c}
     return words, stems
 
 
