@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNSURE = "Don't Know"
@@ -126,3 +126,16 @@ def bat_category(labels: Column) -> Column:
         .when(some(long) | some(short), "Possible")
         .otherwise("Non-bat")
     )
+
+
+def basic(segments: DataFrame, species: str, certainty: float, low: int = 0, high: int = 0, calltype: str | None = None, source: str | None = None) -> DataFrame:
+    """segments with f_lo, f_hi and labels: one label and one band for all; bands below 0 raise."""
+    if low < 0 or high < 0:
+        raise ValueError(f"a band from {low} to {high} Hz cannot be used")
+    text = lambda v: F.lit(v).cast("string")
+    return segments.withColumns({"f_lo": F.lit(low), "f_hi": F.lit(high), "labels": F.array(label(F.lit(species), F.lit(float(certainty)), text(calltype), text(source)))})
+
+
+def of_calltype(labels: Column, species: str, calltypes: list[str], calltype: str) -> Column:
+    """Whether a segment is of a species' call type; if the species has one call type alone, of the species."""
+    return has_species(labels, species) if len(calltypes) == 1 else F.coalesce(has_calltype(labels, species, calltype), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldsong.operators.prediction import let
-from fieldsong.operators.signal import KEYS, per_page, window_of
+from fieldsong.operators.signal import KEYS, per_page, spectrogram, window_of
 
 #: Peaks of a frame that a ridge may go through, the largest ones.
 PEAKS = 16
@@ -245,3 +245,18 @@ def network_frames(frames: DataFrame, fs: int, hop: int, size_s: float, hop_s: f
     flat = packed.withColumn("pixels", F.flatten(F.transform("cols", lambda c: F.reverse(c["mags"]))))
     top = F.array_max("pixels")
     return flat.withColumn("top", top).select(*KEYS, "image", F.transform("pixels", lambda v: F.when(F.col("top") > 0, v / F.col("top")).otherwise(F.lit(0.0)).cast("float")).alias("pixels"))
+
+
+#: The windows of a three-channel picture's spectrograms, in order.
+CHANNELS = ("Hann", "Hamming", "Welch")
+
+
+def channel_frames(pages: DataFrame, width: int, hop: int, fs: int, size_s: float, hop_s: float | None, columns: int) -> DataFrame:
+    """file_id, page, image, channels: pictures for a network of three spectrograms each, one a window, each over its own largest; the last picture is left out."""
+    parts = []
+    for k, name in enumerate(CHANNELS):
+        own = network_frames(spectrogram(pages, width, hop, name), fs, hop, size_s, hop_s, columns)
+        parts.append(own.withColumn("k", F.lit(k)))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    packed = every.groupBy(*KEYS, "image").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "pixels"))), lambda p: p["pixels"]).alias("channels"))
+    return packed.withColumn("last", F.max("image").over(Window.partitionBy(*KEYS))).where("image < last").drop("last")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldsong.operators import clustering
+from fieldsong.operators import clustering, shapes
+from fieldsong.operators import labels as label_operators
 from fieldsong.operators.labels import LABEL
 from fieldsong.plans.adapters import DET, detections, table
+from fieldsong.plans.signal_queries import _SIG, _signals
 from fieldsong.plans.sound_queries import _pictures
-from fieldsong.sources import annotations, audio, exports, images, recognisers
+from fieldsong.sources import annotations, audio, chunks, exports, images, recognisers
 from fieldsong.sources.scratch import new_folder
 
 
@@ -202,6 +204,49 @@ def common_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.size(clustering.common_part(F.col("a"), F.col("b"))).alias("length"))
 
 
+def sheet_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as rows of sheets, one a supplier's last digit and line number, written as annotations by hand and read again."""
+    li = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("_", F.col("l_suppkey") % 10, "l_linenumber")
+    start = F.when(F.col("l_quantity") != 7, (F.col("l_orderkey") / 8).cast("string"))
+    rows = li.select(key.alias("file_id"), F.col("l_orderkey").alias("row"), start.alias("start"), (F.col("l_orderkey") / 8 + F.col("l_quantity").cast("double")).cast("string").alias("end"), F.lit("100").alias("low"), (F.col("l_linenumber") * 1000).cast("string").alias("high"), F.col("l_returnflag").alias("flag"))
+    sheet = annotations.from_sheet(rows, F.lit("Kiwi"), F.when(F.col("flag") == "R", "duet").when(F.col("flag") == "A", ""))
+    header = sheet.select("file_id").distinct().select("file_id", F.lit("").alias("operator"), F.lit("").alias("reviewer"), F.lit(60.0).alias("duration"), F.lit(None).cast("string").alias("noise_level"), F.array().cast("array<string>").alias("noise_types"))
+    back = annotations.read_annotations(spark, _saved(spark, annotations.annotation_text(sheet, header), F.concat("file_id", F.lit(".data"))))
+    one = F.get("labels", F.lit(0))
+    each = back.select(_stem("file_id", r"\.data").alias("file_id"), "s", "e", "f_lo", "f_hi", one["species"].alias("species"), one["certainty"].alias("certainty"), one["calltype"].alias("calltype"), one["filter"].alias("source"))
+    return each.groupBy("file_id", "f_lo", "f_hi", "species", "certainty", "calltype", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("e") - F.col("s")), 4).alias("seconds"), F.max("s").alias("last"))
+
+
+def middle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as segments with a level line in the middle of their band: its text's length tells its values."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(100)).cast("double").alias("s"), (F.pmod("o_orderkey", F.lit(100)) + F.pmod("o_custkey", F.lit(40)) / 8).alias("e"), F.lit(500).alias("f_lo"), (F.pmod("o_custkey", F.lit(30)) * 100 + 600).alias("f_hi"))
+    lines = shapes.middle_lines(o, 0.5, 62.5)
+    back = F.from_json(shapes.shape_text(F.col("shape")), "t array<double>, tunit double, yunit double, y array<double>")
+    return lines.select("o_orderkey", back.alias("b")).select("o_orderkey", F.get("b.t", F.lit(1)).alias("end"), F.size("b.y").alias("n"), F.round(F.get("b.y", F.lit(0)), 6).alias("y"), "b.yunit")
+
+
+def target_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of purchases' call types, and of clicks, which have one type alone."""
+    det = detections(spark, sf_dir)
+    kind = F.when(F.col("cert") == 100, "song").when(F.col("cert") == 50, "call")
+    label = F.struct("species", F.col("cert").cast("double").alias("certainty"), kind.alias("calltype"), F.lit(None).cast("string").alias("filter"))
+    own = det.select("ord", F.array(label).cast(f"array<{LABEL}>").alias("labels"))
+    song = label_operators.of_calltype(F.col("labels"), "purchase", ["song", "call"], "song")
+    click = label_operators.of_calltype(F.col("labels"), "click", ["tick"], "tick")
+    return own.select("ord", song.alias("song"), click.alias("click")).where("song or click")
+
+
+def first_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first second of recordings saved at 300 Hz, saved again and read: how many samples, and their sum."""
+    rows = _signals(spark, sf_dir, 100_000.0).select(F.concat("file_id", F.lit(".wav")).alias("name"), audio.wav_column(F.col("samples"), 300).alias("content"))
+    whole, first = new_folder(spark), new_folder(spark)
+    audio.saved(rows, whole).count()
+    audio.saved(chunks.first_seconds(audio.files(spark, whole), 1), first).count()
+    back = audio.ranged_pages(audio.files(spark, first), 0.0)
+    return back.select(_stem("file_id", r"\.wav").alias("file_id"), "fs", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).cast("long").alias("total"))
+
+
 _SEG = f"""{DET}, sg AS (SELECT rec, ord, species, cert, round(s - 1704067200, 3) AS s, round(round(s - 1704067200, 3) + (e - s), 3) AS e, CAST(cert * 10 + 2 AS INT) AS f_lo, CAST(cert * 20 + 500 AS INT) AS f_hi FROM det)"""
 SQL = {
     "annotation_files": f"""WITH {_SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s, ord) AS seg_id FROM sg)
@@ -239,6 +284,12 @@ p AS (SELECT v.vec_id, v.a, w.a AS b FROM v JOIN v w ON w.vec_id = v.vec_id + 1)
 r AS (SELECT vec_id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda j: 0) AS row_ FROM p UNION ALL SELECT vec_id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(raw[1:j + 1])) FROM (
   SELECT *, list_transform(range(len(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 WHEN a[i + 1] = b[j] THEN greatest(row_[j] + 1, row_[j + 1]) ELSE row_[j + 1] END) AS raw FROM r WHERE i < len(a)))
 SELECT vec_id, row_[len(b) + 1] AS length FROM r WHERE i = len(a)""",
+    "sheet_annotations": """WITH r AS (SELECT l_suppkey % 10 || '_' || l_linenumber AS file_id, l_orderkey / 8 AS s, l_orderkey / 8 + CAST(l_quantity AS DOUBLE) AS e, CAST(l_linenumber * 1000 AS INT) AS f_hi, CASE WHEN l_returnflag = 'R' THEN 'duet' END AS calltype FROM lineitem WHERE l_quantity <> 7)
+SELECT file_id, 100::INT AS f_lo, f_hi, 'Kiwi' AS species, 100.0::DOUBLE AS certainty, calltype, 'M' AS source, count(*) AS n, round(sum(e - s), 4) AS seconds, max(s) AS last FROM r GROUP BY file_id, f_hi, calltype""",
+    "middle_lines": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 100 AS DOUBLE) AS s, o_orderkey % 100 + o_custkey % 40 / 8 AS e, o_custkey % 30 * 100 + 600 AS f_hi FROM orders), n AS (SELECT *, CAST(floor((e - s) / 0.5) AS INT) AS n FROM o)
+SELECT o_orderkey, e AS "end", n, CASE WHEN n > 0 THEN round((500 + f_hi) / 2 / 62.5::DOUBLE, 6) END AS y, 62.5::DOUBLE AS yunit FROM n""",
+    "target_segments": f"""WITH {DET} SELECT ord, species = 'purchase' AND cert = 100 AS song, species = 'click' AS click FROM det WHERE (species = 'purchase' AND cert = 100) OR species = 'click'""",
+    "first_seconds": f"""WITH {_SIG}, w AS (SELECT file_id, CAST(greatest(-32768, least(32767, trunc(x * 100000.0::DOUBLE))) AS BIGINT) AS x FROM sig WHERE i < 300) SELECT file_id, 300::INT AS fs, CAST(count(*) AS INT) AS n, CAST(sum(x) AS BIGINT) AS total FROM w GROUP BY file_id""",
     "species_lists": """WITH c AS (SELECT c_nationkey AS g, lower(c_mktsegment) AS m, min(c_custkey) AS pos FROM customer GROUP BY ALL),
 n AS (SELECT pos, 'nation' || g AS grp, CASE WHEN g % 4 <> 0 THEN m END AS kind FROM c), l AS (SELECT pos, grp, kind, grp || CASE WHEN kind IS NULL THEN '' ELSE ' (' || kind || ')' END AS name FROM n),
 s AS (SELECT name FROM (SELECT name, min(pos) AS pos FROM l GROUP BY name) ORDER BY pos, name LIMIT 29) SELECT pos, name, grp AS "group", kind, name IN (SELECT name FROM s) AS short FROM l""",

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from fieldsong.functions.nodes import node_bands
 from fieldsong.operators import contours as contour_operators
-from fieldsong.operators import detect, distributions, evaluate, grouping, learning, pictures, prediction, recognise, signal, survey, synthesis, templates, wavelets, wind
+from fieldsong.operators import detect, distributions, evaluate, grouping, learning, pictures, prediction, recognise, shapes, signal, survey, synthesis, templates, wavelets, wind
 from fieldsong.plans.adapters import DET, SPECTRA, detections, table
 from fieldsong.plans.signal_queries import _PAIRS, _SIG, FS, _pairs, _signals
 from fieldsong.sources import audio, chunks
@@ -293,6 +293,13 @@ def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("stamps", "certainty", F.min("start")).unionByName(count("presence", "max_cert", F.max(F.when(F.col("present") == "Yes", F.col("file_id"))))).unionByName(count("bins", "max_cert", F.max("bin").cast("string")))
 
 
+def pitch_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of the fundamental of the recordings, each vector's first half taken twice over so that there is one."""
+    twice = _signals(spark, sf_dir).withColumn("samples", F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.array_repeat(F.slice("samples", i * 64 + 1, 32), 2)).cast("array<array<array<double>>>"))))
+    got = shapes.pitch_marks(signal.pitch(twice, 48), FS, 12, 48, 32, 0.0, 8000.0)
+    return got.select("file_id", "mark", F.posexplode(F.arrays_zip("columns", "rows")).alias("k", "p")).select("file_id", "mark", "k", "p.columns", "p.rows")
+
+
 BIRD = [35, 36, 39, 40, 43, 44, 45]
 
 

@@ -115,3 +115,17 @@ def not_done(files: DataFrame, log: DataFrame, species: str, settings: str) -> D
     """Files that a log(species, settings, path) has not under these settings."""
     done = log.where((F.col("species") == species) & (F.col("settings") == settings)).select("path")
     return files.join(done, "path", "left_anti")
+
+
+def from_sheet(rows: DataFrame, species: Column, calltype: Column | None = None) -> DataFrame:
+    """file_id, seg_id, s, e, f_lo, f_hi, labels of a sheet's rows(file_id, row, start, end, low, high): certain labels, made by hand.
+
+    Rows without a start or an end are left out; a call type that is null or empty is none. "Other" is no species and "Add" no
+    call type: they raise.
+    """
+    kind = F.lit(None).cast("string") if calltype is None else F.when(calltype != "", calltype)
+    bad = F.when(species == "Other", F.raise_error(F.lit("species cannot be 'Other'"))).when(kind == "Add", F.raise_error(F.lit("calltype cannot be 'Add'"))).otherwise(species)
+    own = label(bad.cast("string"), F.lit(100.0), kind, F.lit("M"))
+    number = lambda c: F.col(c).try_cast("double")
+    good = rows.withColumns({"s": number("start"), "e": number("end")}).where("s is not null and e is not null")
+    return good.select("file_id", F.col("row").alias("seg_id"), "s", "e", number("low").cast("int").alias("f_lo"), number("high").cast("int").alias("f_hi"), F.array(own).alias("labels"))

@@ -46,15 +46,8 @@ def wav_piece(raw: bytes, channels: int, rate: int, bits: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(raw)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(raw)) + raw
 
 
-def pieces(found: DataFrame, seconds: int) -> DataFrame:
-    """name, content of the pieces of WAV files (audio.files()), cut by their places in the files; see piece_names() for the names.
-
-    A last piece holds what is left. What is saved with audio.saved() is a folder of files that can be read as any other.
-    """
-    ranges = audio.page_ranges(found.select("path"), 0.0, seconds_long=seconds)
-    base = F.regexp_extract("file_id", r"([^/]+)$", 1)
-    names = piece_names(ranges.select(base.alias("name"), ((F.col("start_sample") + F.col("n_frames")) / F.col("fs")).alias("seconds")).groupBy("name").agg(F.max("seconds").alias("seconds")), seconds)
-    placed = ranges.withColumn("name", base).join(names.withColumnRenamed("piece", "page"), ["name", "page"]).select("piece_name", "file_id", "at", "n_bytes", "channels", "fs", "bits")
+def _cut(placed: DataFrame) -> DataFrame:
+    """name, content of rows(piece_name, file_id, at, n_bytes, channels, fs, bits)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -64,3 +57,21 @@ def pieces(found: DataFrame, seconds: int) -> DataFrame:
                 yield pd.DataFrame({"name": [r.piece_name], "content": [wav_piece(raw, int(r.channels), int(r.fs), int(r.bits))]})
 
     return placed.mapInPandas(cut, "name string, content binary")
+
+
+def first_seconds(found: DataFrame, seconds: int = 60) -> DataFrame:
+    """name, content of the first minute, or so many seconds, of each WAV file, all of it if it is shorter; only that part is read."""
+    first = audio.page_ranges(found.select("path"), 0.0, seconds_long=seconds).where("page = 0")
+    return _cut(first.withColumn("piece_name", F.regexp_extract("file_id", r"([^/]+)$", 1)).select("piece_name", "file_id", "at", "n_bytes", "channels", "fs", "bits"))
+
+
+def pieces(found: DataFrame, seconds: int) -> DataFrame:
+    """name, content of the pieces of WAV files (audio.files()), cut by their places in the files; see piece_names() for the names.
+
+    A last piece holds what is left. What is saved with audio.saved() is a folder of files that can be read as any other.
+    """
+    ranges = audio.page_ranges(found.select("path"), 0.0, seconds_long=seconds)
+    base = F.regexp_extract("file_id", r"([^/]+)$", 1)
+    names = piece_names(ranges.select(base.alias("name"), ((F.col("start_sample") + F.col("n_frames")) / F.col("fs")).alias("seconds")).groupBy("name").agg(F.max("seconds").alias("seconds")), seconds)
+    placed = ranges.withColumn("name", base).join(names.withColumnRenamed("piece", "page"), ["name", "page"]).select("piece_name", "file_id", "at", "n_bytes", "channels", "fs", "bits")
+    return _cut(placed)

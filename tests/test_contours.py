@@ -97,3 +97,37 @@ def test_pictures_for_a_network(spark):
     assert got == want | {("z", 0): [0.0] * 12}
     whole = pictures.network_frames(frames, 8, 4, 2.0, None, 4).collect()
     assert {(r.file_id, r.image) for r in whole} == {("f", 0), ("f", 1), ("z", 0)}
+
+
+def test_marks_of_the_fundamental(spark):
+    """Two voiced stretches three windows apart are two marks; a short one alone is none; a gap of two is joined."""
+    from fieldsong.operators import shapes
+
+    f0 = [None, 500, 510, 520, None, None, 530, 540, 550, None, None, None, 900, 910, 905, 900, 40, None, 700, None]
+    pitches = spark.createDataFrame([("f", 0, k, None if v is None else float(v)) for k, v in enumerate(f0)], "file_id string, page int, win int, f0 double")
+    rows = sorted((r.mark, list(r.columns), list(r.rows)) for r in shapes.pitch_marks(pitches, 8000, 16, 64, 128, 0.0, 4000.0).collect())
+    y = lambda v: int(v * 2 / 8000 * 128)
+    line = [y(v) for v in (500, 510, 520, -1, -1, 530, 540, 550)]
+    smooth = [float(np.median([0, 0, 0, *line, 0, 0, 0][k : k + 7])) for k in range(8)]
+    first = next(k for k in range(4) if smooth[k] or k == 3)
+    last = next(k for k in range(7, 3, -1) if smooth[k] or k <= 8 - 3)
+    assert [r[0] for r in rows] == [0, 1] and rows[0][2] == smooth[first:last] and rows[0][1] == [float((1 + k) * 2) for k in range(first, last)]
+    assert rows[1][1][0] == 24.0 and shapes.pitch_marks(pitches.where("win > 15"), 8000, 16, 64, 128, 0.0, 4000.0).count() == 0
+
+
+def test_three_channels_and_labels_for_all(spark):
+    from fieldsong.operators import labels, signal
+    from fieldsong.sources import annotations
+
+    pages = spark.createDataFrame([("f", 0, 800, np.random.default_rng(1).normal(size=800).tolist())], PAGE)
+    got = {r.image: r.channels for r in pictures.channel_frames(pages, 32, 16, 800, 0.2, 0.1, 8).collect()}
+    one = {r.image: r.pixels for r in pictures.network_frames(signal.spectrogram(pages, 32, 16, "Hamming"), 800, 16, 0.2, 0.1, 8).collect()}
+    assert sorted(got) == sorted(one)[:-1] and all(len(v) == 3 and list(v[1]) == list(one[k]) and max(map(max, v)) == 1 for k, v in got.items())
+    with pytest.raises(ValueError, match="band"):
+        labels.basic(pages, "Kiwi", 50.0, -1, 5)
+    rows = labels.basic(spark.createDataFrame([(1.0, 2.0)], "s double, e double"), "Kiwi", 50.0, 1, 5, "duet").first()
+    assert (rows.f_lo, rows.f_hi, rows.labels[0].species, rows.labels[0].certainty, rows.labels[0].calltype) == (1, 5, "Kiwi", 50.0, "duet")
+    sheet = spark.createDataFrame([("f", 1, "1", "2.5", "10", "20"), ("f", 2, "x", "3", "1", "2"), ("f", 3, None, "3", "1", "2")], "file_id string, row int, start string, end string, low string, high string")
+    assert [(r.s, r.e, r.f_hi, r.labels[0].filter) for r in annotations.from_sheet(sheet, F.lit("Kiwi")).collect()] == [(1.0, 2.5, 20, "M")]
+    with pytest.raises(Exception, match="Other"):
+        annotations.from_sheet(sheet, F.lit("Other")).collect()
