@@ -127,7 +127,7 @@ def class_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = p.select(F.col("a").alias("id"), "label", "d").unionByName(p.select(F.col("b").alias("id"), "label", "d"))
     radii = grouping.class_radius(p, "label")
     near = grouping.nearest_class(both, radii.withColumn("radius", F.col("radius") * 1.2))
-    return near.withColumn("rec", F.expr("id div 16")).join(radii.withColumnRenamed("label", "rec"), "rec").select("id", F.col("label").alias("class"), F.round("radius", 6).alias("radius"))
+    return near.withColumn("rec", F.expr("id div 16")).join(radii.withColumnRenamed("label", "rec"), "rec").select("id", F.col("label").alias("class"), F.round("radius", 8).alias("radius"))
 
 
 def density_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +390,7 @@ SELECT vec_id, CAST(unnest(range(5)) AS INT) AS k, round(unnest(a), 6) AS a, rou
 w AS (SELECT vec_id AS id, vec_id AS root FROM embeddings WHERE embedding IS NOT NULL UNION SELECT w.id, l.b FROM w JOIN l ON l.a = w.root) SELECT id, min(root) AS cluster FROM w GROUP BY id""",
     "class_radii": f"""WITH {SPECTRA}, {_PAIRS}, q AS (SELECT a // 16 AS rec, quantile_cont(d, 0.1) FILTER (d > 0) AS radius FROM pr GROUP BY a // 16),
 e AS (SELECT id, avg(d) AS mean FROM (SELECT a AS id, d FROM pr UNION ALL SELECT b, d FROM pr) GROUP BY id)
-SELECT id, CASE WHEN mean <= coalesce(radius, 0) * 1.2::DOUBLE THEN rec END AS class, round(coalesce(radius, 0), 6) AS radius FROM e JOIN q ON rec = id // 16""",
+SELECT id, CASE WHEN mean <= coalesce(radius, 0) * 1.2::DOUBLE THEN rec END AS class, round(coalesce(radius, 0), 8) AS radius FROM e JOIN q ON rec = id // 16""",
     "recogniser_report": """WITH w AS (SELECT CAST(vec_id // 16 AS VARCHAR) AS file_id, CAST(vec_id % 16 AS INT) AS win, CASE WHEN vec_id % 5 = 4 THEN 0 ELSE CAST(coalesce(embedding[1] > CAST(-0.03 AS DOUBLE), false) AS INT) END AS raw, CAST(label < 3 AS INT) AS real FROM embeddings),
 r AS (SELECT file_id, win, win - row_number() OVER (PARTITION BY file_id ORDER BY win) AS run FROM w WHERE raw = 1), sg AS (SELECT file_id, min(win) AS s, max(win) + 1 AS e FROM r GROUP BY file_id, run),
 i AS (SELECT *, sum(CASE WHEN s - le <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY s) AS island FROM (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le FROM sg)),
