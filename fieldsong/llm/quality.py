@@ -25,7 +25,8 @@ FIT_DOCS = 1500
 DIMENSIONS, NEIGHBOURS = 48, 25
 THRESHOLD = 0.3
 BLOCK = 256
-RUN = 1 << 20
+#: Bytes that are read at once; the terms do not depend on it.
+RUN = 1 << 17
 
 #: Each byte's class: letters without case, then capitals apart, digits, white space, signs by themselves.
 _SIGNS = b".,;:!?'\"-_|/\\()[]{}<>@#$%&*+="
@@ -66,7 +67,7 @@ def _mixed(code: np.ndarray, size: int) -> np.ndarray:
 def terms_of(data: bytes) -> np.ndarray:
     """How often each term is in the text, which is read a run at a time; a run starts where a word does."""
     out = np.zeros(TERMS, np.float32)
-    start = 0
+    start, last = 0, None
     while start < len(data):
         end = start + RUN
         while end < len(data) and data[end] > 32:
@@ -88,7 +89,8 @@ def terms_of(data: bytes) -> np.ndarray:
             place = (seat - np.maximum.accumulate(np.where(starts, seat, 0))).astype(np.uint64)
             code = np.where(white, 0, wide)
             sums = np.add.reduceat(code * (code + np.uint64(17)) * (place * np.uint64(2654435761) + np.uint64(97)), np.flatnonzero(starts))
-            same = int((sums[1:] == sums[:-1]).sum())
+            same = int((sums[1:] == sums[:-1]).sum()) + int(last is not None and sums[0] == last)
+            last = sums[-1]
             out[REPEATS] += same
             out[NEW] += len(sums) - same
             out[FIRST_WORD:FIRST_GRAM] += np.bincount(_mixed(sums, WORDS), minlength=WORDS)
