@@ -31,5 +31,5 @@ def test_odd_documents(spark, odd, none, sf_dir):
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert [f"op{n}" for n in range(1, 11)] == [x.split("_")[0] for x in names if x[:2] == "op" and x[2].isdigit()]
+    assert [f"op{n}" for n in range(1, 14)] == [x.split("_")[0] for x in names if x[:2] == "op" and x[2].isdigit()]
     assert "pipeline" in names
