@@ -28,8 +28,7 @@ def test_the_left_channel_and_chunks_before_the_samples():
     channels, rate, bits, at, size = audio.parse_header(wav)
     assert (channels, rate, list(audio.decode(wav[at : at + size], bits, channels))) == (2, 4000, [1, 2])
     assert audio.parse_header(b"RIFX" + wav[4:]) is None and audio.parse_header(b"") is None
-    with pytest.raises(ValueError):
-        audio.decode(b"abc", 16, 1)
+    assert list(audio.decode(b"ab\x00", 16, 1)) == [struct.unpack("<h", b"ab")[0]]  # a frame that is cut short is left out
 
 
 def test_files_become_pages(spark, tmp_path):
