@@ -83,3 +83,10 @@ def test_images_and_their_clicks(spark):
     assert sorted((r.s, r.e) for r in got.collect()) == [(30, 35), (60, 62)]
     assert images.clicks(images.image_frames(found), longest=3).count() == 1
     assert abs(images.click_spans(got).first().seconds - 32 * 512 / 176000) < 1e-9
+
+
+def test_time_in_a_name_after_a_number_of_six_digits(spark):
+    from fieldsong.functions.units import recorded_at
+
+    names = spark.createDataFrame([("100000_19950707_163015.bmp",), ("7_19950707_163015.bmp",), ("x19950707_163015123.wav",)], "name string")
+    assert {r.t for r in names.select(recorded_at(F.col("name")).cast("string").alias("t")).collect()} == {"1995-07-07 16:30:15"}
