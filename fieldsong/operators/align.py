@@ -67,8 +67,11 @@ def best_shift(overlaps: DataFrame, on: list[str]) -> DataFrame:
 
 
 def best_match(a: DataFrame, b: DataFrame, on: list[str], key: list[str], width: float, order: str = "ord2") -> DataFrame:
-    """For each interval of a the interval of b that it overlaps most, the first of equal ones; none without overlap."""
-    pairs = overlap_pairs(a, b, on, width).withColumn("overlap", _overlap(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")))
+    """For each interval of a the interval of b that it overlaps most, the first of equal ones; none without overlap.
+
+    An interval without length has no overlap, wherever it lies.
+    """
+    pairs = overlap_pairs(a, b, on, width).withColumn("overlap", _overlap(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).where("overlap > 0")
     best = Window.partitionBy(*key).orderBy(F.desc("overlap"), order)
     return pairs.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 

@@ -125,3 +125,9 @@ def test_a_chain_of_over_32_recorders_is_one_group(spark):
     edges = spark.createDataFrame([(k, k + 1, 2.0) for k in range(36)], "a int, b int, shift double")
     got = {r.recorder: (r.root, abs(r["shift"])) for r in align.recorder_groups(edges).collect()}
     assert got == {k: (0, 2.0 * k) for k in range(37)}
+
+
+def test_an_interval_without_length_matches_none(spark):
+    a = spark.createDataFrame([("x", 1, 5.0, 5.0), ("x", 2, 4.0, 6.0)], "pair string, ord int, s double, e double")
+    b = spark.createDataFrame([("x", 7, 0.0, 9.0)], "pair string, ord2 int, s2 double, e2 double")
+    assert [(r.ord, r.ord2, r.overlap) for r in align.best_match(a, b, ["pair"], ["ord"], 25.0).collect()] == [(2, 7, 2.0)]
