@@ -77,7 +77,7 @@ def active_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.overlap_counts(detections(spark, sf_dir), BY).select("ord", "rec", "species", "overlaps")
+    return intervals.overlap_counts(detections(spark, sf_dir), BY, own=True).select("ord", "rec", "species", "overlaps")
 
 
 def clip_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:

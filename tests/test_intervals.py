@@ -131,3 +131,10 @@ def test_an_interval_without_length_matches_none(spark):
     a = spark.createDataFrame([("x", 1, 5.0, 5.0), ("x", 2, 4.0, 6.0)], "pair string, ord int, s double, e double")
     b = spark.createDataFrame([("x", 7, 0.0, 9.0)], "pair string, ord2 int, s2 double, e2 double")
     assert [(r.ord, r.ord2, r.overlap) for r in align.best_match(a, b, ["pair"], ["ord"], 25.0).collect()] == [(2, 7, 2.0)]
+
+
+def test_overlap_counts_of_an_interval_without_length(spark):
+    df = spark.createDataFrame([("x", 1, 0.0, 9.0), ("x", 2, 5.0, 5.0), ("x", 3, 6.0, 7.0)], "rec string, ord int, s double, e double")
+    count = lambda **how: {r.ord: r.overlaps for r in intervals.overlap_counts(df, ["rec"], **how).collect()}
+    assert count() == {1: 2, 2: 1, 3: 0}
+    assert count(own=True) == {1: 2, 2: 0, 3: 0}
