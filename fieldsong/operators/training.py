@@ -12,13 +12,16 @@ from pyspark.sql.window import Window
 from fieldsong.operators.signal import KEYS
 
 
-def standardised(energies: DataFrame, m: int) -> DataFrame:
-    """Logarithms of energies, averaged over m windows on either side, less their node's mean and over its deviation."""
+def standardised(energies: DataFrame, m: int, constant: float = 0.0) -> DataFrame:
+    """Logarithms of energies, averaged over m windows on either side, less their node's mean and over its deviation.
+
+    constant is what a node's windows get where all are alike, as one alone is.
+    """
     near = Window.partitionBy(*KEYS, "node").orderBy("win").rowsBetween(-m, m)
     whole = Window.partitionBy(*KEYS, "node")
     smooth = energies.withColumn("y", F.ln(F.avg("energy").over(near) + 1e-12))
     sd = F.stddev_pop("y").over(whole)
-    return smooth.select(*KEYS, "node", "win", F.when(sd > 0, (F.col("y") - F.avg("y").over(whole)) / sd).otherwise(0.0).alias("z"))
+    return smooth.select(*KEYS, "node", "win", F.when(sd > 0, (F.col("y") - F.avg("y").over(whole)) / sd).otherwise(float(constant)).alias("z"))
 
 
 def _score(hit: set, truth: set) -> float:

@@ -159,3 +159,10 @@ def test_clusters_of_blobs(spark):
     got = clustering.clustered(df, 3)
     assert got.select((got.id % 3).alias("t"), "cluster").distinct().count() == 3
     assert clustering.silhouette(got) > 0.9
+
+
+def test_windows_that_are_all_alike_get_the_constant(spark):
+    e = spark.createDataFrame([("a", 0, 1, 0, 2.0), ("b", 0, 1, 0, 2.0), ("b", 0, 1, 1, 3.0), ("b", 0, 1, 2, 9.0)], "file_id string, page int, node int, win int, energy double")
+    z = lambda *how: {(r.file_id, r.win): r.z for r in training.standardised(e, 0, *how).collect()}
+    assert z()["a", 0] == 0.0 and np.isnan(z(float("nan"))["a", 0])
+    assert all(np.isfinite(v) for (f, _), v in z(float("nan")).items() if f == "b")
