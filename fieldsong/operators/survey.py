@@ -69,10 +69,12 @@ def matched_rows(sheet: DataFrame, recordings: DataFrame, on: list[str], longest
     """Rows of sheet(on, end_s) with the recording(on, start_s) that their end lies in; the segment begins back seconds before it.
 
     A row's end lies after the recording's start and at most longest seconds behind it. Buckets of that length
-    key the join, so that rows of a day never meet all its recordings.
+    key the join, so that rows of a day never meet all its recordings. Recordings are many and often made by a
+    generator, whose rows Spark doesn't foresee: the join is by sorting, never by sending one side whole to all tasks.
     """
-    left = sheet.withColumn("bucket", F.floor(F.col("end_s") / longest).cast("long"))
-    right = recordings.withColumn("bucket", F.explode(F.array(F.floor(F.col("start_s") / longest).cast("long"), F.floor(F.col("start_s") / longest).cast("long") + 1)))
+    own = F.floor(F.col("end_s") / longest).cast("long")
+    left = sheet.withColumn("bucket", F.explode(F.array(own - 1, own)))
+    right = recordings.withColumn("bucket", F.floor(F.col("start_s") / longest).cast("long")).hint("merge")
     inside = (F.col("start_s") < F.col("end_s")) & (F.col("end_s") <= F.col("start_s") + longest)
     return left.join(right, [*on, "bucket"]).where(inside).withColumn("s", F.col("end_s") - F.col("start_s") - back).withColumn("e", F.col("end_s") - F.col("start_s")).drop("bucket")
 

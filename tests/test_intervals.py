@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldsong.operators import align, intervals
+from fieldsong.operators import align, intervals, survey
 from fieldsong.plans import interval_queries
 
 
@@ -138,3 +138,11 @@ def test_overlap_counts_of_an_interval_without_length(spark):
     count = lambda **how: {r.ord: r.overlaps for r in intervals.overlap_counts(df, ["rec"], **how).collect()}
     assert count() == {1: 2, 2: 1, 3: 0}
     assert count(own=True) == {1: 2, 2: 0, 3: 0}
+
+
+def test_generated_recordings_are_not_broadcast(spark):
+    sheet = spark.createDataFrame([("x", 1, 900.0), ("x", 2, 900.5), ("x", 3, 0.0), ("y", 4, 10.0)], "rec string, ord int, end_s double")
+    starts = spark.createDataFrame([("x",)], "rec string").withColumn("start_s", F.explode(F.sequence(F.lit(0), F.lit(1800), F.lit(900)).cast("array<double>")))
+    got = survey.matched_rows(sheet, starts, ["rec"], 900.0, F.lit(20.0))
+    assert sorted((r.ord, r.start_s, r.s, r.e) for r in got.collect()) == [(1, 0.0, 880.0, 900.0), (2, 900.0, -19.5, 0.5)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
