@@ -188,16 +188,45 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both))
 
 
+def _members(keys: DataFrame) -> DataFrame:
+    """bucket, cells: bitmaps of 32,768 bits that hold a bit for each row of keys(key), of 16 bits a row in all."""
+    cells = 16 * max(1, keys.count())
+    at = F.pmod("key", F.lit(cells))
+    return keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"), F.lit(cells).alias("of")).groupBy("bucket", "of").agg(F.bitmap_construct_agg("bit").alias("cells"))
+
+
+def _maybe(rows: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """rows whose key is among members, and about one in 16 of the others; rows are not shuffled."""
+    of = members.select("of").first()
+    if of is None:
+        return rows.limit(0)
+    at = F.pmod(key, F.lit(of["of"]))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("cells"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.join(F.broadcast(members.select("bucket", "cells")), F.bitmap_bucket_number(at) == F.col("bucket"))  # two bytes a member
+    return held.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The written pairs (a, b) whose sets of shingles have the similarity. docs(doc_id, digest_a, text)."""
-    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = texts.select("rep", F.col("digest_a").alias("w_digest")).join(members, "rep", "left_semi")
-    own = docs.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("digest_a") == F.col("w_digest")), "left_semi")
-    once = own.groupBy("doc_id", "digest_a").agg(F.first("text").alias("text"))
-    sets = written(once.select(F.col("doc_id").alias("rep"), shingle_set(F.col("text"), shingle).alias("shingles")))
-    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    alike = written(pairs.join(left, "a").join(right, "b").where(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b"))
-    discard(sets)
+    """The written pairs (a, b) whose sets of shingles have the similarity. docs(doc_id, digest_a, text).
+
+    Texts stay where they are read: bitmaps tell, but for some too many, which ones the pairs need, so that only the
+    sets of these are shuffled.
+    """
+    digest = texts.select(F.col("rep").alias("of"), F.col("digest_a").alias("digest"))
+    marked = pairs.join(digest.select(F.col("of").alias("a"), F.col("digest").alias("a_digest")), "a").join(digest.select(F.col("of").alias("b"), F.col("digest").alias("b_digest")), "b")
+    marked = written(marked.select("a", "a_digest", "b", "b_digest"))
+    key = lambda i, d: F.xxhash64(F.lit(3), i, d)
+    members = written(_members(marked.select(key("a", "a_digest").alias("key")).union(marked.select(key("b", "b_digest"))).distinct()))
+    own = _maybe(docs.select("doc_id", "digest_a", "text"), key("doc_id", "digest_a"), members)
+    sets = written(own.select(F.col("doc_id").alias("rep"), "digest_a", shingle_set(F.col("text"), shingle).alias("shingles")))
+    discard(members)
+    once = sets
+    if not sets.groupBy("rep", "digest_a").count().where("count > 1").isEmpty():  # rows of one document and text
+        once = sets.dropDuplicates(["rep", "digest_a"])
+    left, right = (once.select(F.col("rep").alias(x), F.col("digest_a").alias(f"{x}_digest"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    alike = written(marked.join(left, ["a", "a_digest"]).join(right, ["b", "b_digest"]).where(jaccard(F.col("a_set"), F.col("b_set")) >= similarity).select("a", "b"))
+    discard(sets, marked)
     return alike
 
 

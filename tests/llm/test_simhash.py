@@ -154,3 +154,12 @@ def test_large_group_without_a_centre(spark):
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
     assert near_copies.one_of_each(none).count() == 0
+
+
+def test_candidates_are_compared_without_shuffling_texts(spark):
+    keys = spark.range(5000).select((F.col("id") * 7919).alias("key"))
+    rows = spark.range(40_000).select((F.col("id") * 7919 - 70_000_000).alias("id"))
+    got = near_copies._maybe(rows, F.col("id"), near_copies.written(near_copies._members(keys)))
+    kept = {r.id for r in got.collect()}
+    assert {r.id for r in rows.join(keys, F.col("id") == F.col("key")).collect()} <= kept and len(kept) < 12_000
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
