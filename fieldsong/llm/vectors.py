@@ -31,8 +31,8 @@ MOST_LISTS, PART_DIMS, CODEWORDS = 4096, 4, 256
 WITHIN = 0.98
 #: Vectors filed together at least, and queries that meet them at once.
 GROUP_ROWS, GROUP_QUERIES = 16_384, 4096
-#: Candidates of a group that are scored exactly, for each query.
-RERANKED = 160
+#: Candidates of a group that are scored exactly first, for each query, and deviations that squared distances by codes are taken to be off at most.
+RERANKED, OFF = 160, 4.0
 
 
 class Index(NamedTuple):
@@ -103,30 +103,50 @@ def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def search_group(index: Index, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best of the rows whose lists it looks through: by their codes, then exactly."""
+    """Each query's k best of the rows whose lists it looks through: by their codes, then exactly.
+
+    Codes give squared distances of unit vectors, from what is left of the query in each list, so that they part vectors
+    that all lie close together too. After the first RERANKED, those are scored exactly that could still be among the k
+    best by how far their codes are off: near vectors far closer to each other than codewords are share their codes.
+    """
     q, x = np.stack(queries["vector"]), np.stack(rows["vector"])
     ids, own = rows["rep"].to_numpy(), rows["list"].to_numpy()
     codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-    unit_q, parts = unit(q).astype(np.float32), len(index.codebooks)
-    tables = np.einsum("qpd,pcd->pqc", unit_q.reshape(len(q), parts, -1), index.codebooks)
-    coarse = unit_q @ index.centroids.T
-    approx = np.full((len(q), len(rows)), -np.inf, np.float32)
+    unit_q, parts, books = unit(q), len(index.codebooks), index.codebooks.astype(np.float64)
+    exact = scaled(x)
+    length = np.sqrt((exact * exact).sum(axis=-1))
+    kept_of = np.concatenate([books[p][codes[:, p]] for p in range(parts)], axis=1)
+    error = exact / length[:, None] - index.centroids[own] - kept_of
+    error = np.sqrt((error * error).sum(axis=1))
+    squares = (kept_of * kept_of).sum(axis=1)
+    del kept_of
+    apart = np.full((len(q), len(rows)), np.inf, np.float32)  # squared distances, as codes tell
     probed = np.zeros((len(q), len(index.centroids)), bool)
     for i, some in enumerate(queries["lists"]):
         probed[i, some] = True
     for one in np.unique(own):
         at, who = np.flatnonzero(own == one), np.flatnonzero(probed[:, one])
         if len(who):
-            score = np.repeat(coarse[who, one][:, None], len(at), axis=1)
+            left = unit_q[who] - index.centroids[one]
+            tables = np.einsum("qpd,pcd->pqc", left.reshape(len(who), parts, -1), books, optimize=True)
+            score = (left * left).sum(axis=1)[:, None] + (squares[at] - error[at] ** 2)[None]
             for p in range(parts):
-                score += tables[p][who][:, codes[at, p]]
-            approx[np.ix_(who, at)] = score
-    n = min(RERANKED, len(rows))
-    best = np.argpartition(-approx, n - 1, axis=1)[:, :n]
+                score -= 2 * tables[p][:, codes[at, p]]
+            apart[np.ix_(who, at)] = score
+    n, reach = min(RERANKED, len(rows)), 2 * OFF / np.sqrt(index.dims) * error
+    best = np.argpartition(apart, n - 1, axis=1)[:, :n]
+    a = scaled(q)
     out = []
     for i, name in enumerate(queries["rep"]):
-        kept = best[i][approx[i, best[i]] > -np.inf]
-        score = cosines(q[i][None], x[kept])
+        cosine = lambda at: (a[i] * exact[at]).sum(axis=-1) / (np.sqrt((a[i] * a[i]).sum()) * length[at])  # noqa: B023, E731
+        kept = best[i][apart[i, best[i]] < np.inf]
+        score = cosine(kept)
+        if k <= len(kept) == n < len(rows):
+            far = max(0.0, 2 - 2 * np.partition(score, -k)[-k])
+            possible = apart[i] <= far + np.sqrt(far) * reach
+            possible[kept] = False
+            more = np.flatnonzero(possible)
+            kept, score = np.concatenate([kept, more]), np.concatenate([score, cosine(more)])
         first = np.lexsort((ids[kept], -score))[:k]
         out.append(pd.DataFrame({"q_rep": name, "rep": ids[kept[first]], "score": score[first]}))
     return pd.concat(out)

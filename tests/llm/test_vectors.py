@@ -63,3 +63,23 @@ def test_very_large_and_very_small_components(spark):
     for q, found in got.items():
         assert all(abs(s - np.cos(angle(plain[q]) - angle(plain[i]))) < 1e-9 for i, s in found)
     assert dict(got[100])[200] == 1.0
+
+
+@pytest.mark.parametrize("kind", ["near copies", "one direction", "mixed"])
+def test_vectors_closer_than_codewords_are_told_apart(kind):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 64))
+    x = {
+        "near copies": centres[rng.integers(0, 6, 6000)] + 0.0005 * rng.standard_normal((6000, 64)),
+        "one direction": 3 + 0.02 * rng.standard_normal((6000, 64)),
+        "mixed": np.concatenate([rng.standard_normal((3000, 64)), centres[0] + 0.003 * rng.standard_normal((3000, 64))]),
+    }[kind].astype(np.float32)
+    index, at = vectors.fit(x, len(x)), np.arange(0, len(x), 100)
+    own, codes = vectors.encode(index, x)
+    rows = pd.DataFrame({"rep": np.arange(len(x)), "vector": list(x), "list": own, "codes": [c.tobytes() for c in codes]})
+    asked = pd.DataFrame({"rep": at, "vector": list(x[at]), "lists": [np.arange(len(index.centroids))] * len(at)})
+    got = vectors.search_group(index, asked, rows, 6).groupby("q_rep")["rep"].apply(set)
+    near = np.argsort(-(vectors.unit(x[at]) @ vectors.unit(x).T), axis=1, kind="stable")[:, :6]
+    assert np.mean([len(got[a] & set(b)) / 6 for a, b in zip(at, near)]) > 0.99
