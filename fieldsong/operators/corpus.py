@@ -89,13 +89,18 @@ def signal_to_noise(samples: DataFrame, by: list[str], index: str, value: str, s
 def lagged_products(x: DataFrame, y: DataFrame, by: list[str], index: str, value: str, most: int) -> DataFrame:
     """by, lag (-most to most), cov: mean-free x at an index times y that many places on, over the number of values of x.
 
-    With x for y this is the autocovariance.
+    With x for y this is the autocovariance. Values meet by blocks of the index, so that none is sent out once a lag.
     """
     whole = Window.partitionBy(*by)
     free = lambda df: df.select(*by, F.col(index).alias("i"), (F.col(value) - F.avg(value).over(whole)).alias("v"), F.count(F.lit(1)).over(whole).alias("n"))
-    a = free(x).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("j", F.col("i") + F.col("lag"))
+    width = max(64, 2 * most)
+    block = lambda i: F.floor(i / width).cast("long")
+    a = free(x).withColumn("block", block(F.col("i")))
     b = free(y).select(*by, F.col("i").alias("j"), F.col("v").alias("w"))
-    return a.join(b, [*by, "j"]).groupBy(*by, "lag").agg((F.sum(F.col("v") * F.col("w")) / F.max("n")).alias("cov"))
+    b = b.withColumn("block", F.explode(F.sequence(block(F.col("j") - most), block(F.col("j") + most))))
+    lag = F.col("j") - F.col("i")
+    met = a.join(b, [*by, "block"]).where(F.abs(lag) <= most).withColumn("lag", lag.cast("int"))
+    return met.groupBy(*by, "lag").agg((F.sum(F.col("v") * F.col("w")) / F.max("n")).alias("cov"))
 
 
 def best_lag(products: DataFrame, by: list[str]) -> DataFrame:

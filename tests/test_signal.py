@@ -176,3 +176,15 @@ def test_best_subset_where_a_file_has_one_window(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 481").coalesce(1).write.parquet(f"file://{tmp_path}/embeddings.parquet")
     want = duckdb.sql(signal_queries.SQL["best_subset"].replace("embeddings", f"read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")).fetchall()
     assert sorted(tuple(r) for r in signal_queries.best_subset(spark, f"file://{tmp_path}").collect()) == sorted(want)
+
+
+def test_lagged_products_over_blocks_of_the_index(spark):
+    from fieldsong.operators import corpus
+
+    x = np.random.default_rng(3).standard_normal(200)
+    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)], "rec string, k int, x double")
+    got = corpus.lagged_products(df, df, ["rec"], "k", "x", 3)
+    m = x - x.mean()
+    want = {lag: (m[max(0, -lag) : 200 - max(0, lag)] * m[max(0, lag) : 200 + min(0, lag)]).sum() / 200 for lag in range(-3, 4)}
+    assert {r.lag: round(r["cov"], 9) for r in got.collect()} == {k: round(float(v), 9) for k, v in want.items()}
+    assert "[-3,-2,-1,0,1,2,3]" not in got._jdf.queryExecution().executedPlan().toString()  # no copy of a value for each lag
