@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from fieldsong.llm import components as component_operators
 from fieldsong.llm import near_copies, simhash, words
 from fieldsong.llm.components import components
 
@@ -163,3 +164,18 @@ def test_candidates_are_compared_without_shuffling_texts(spark):
     kept = {r.id for r in got.collect()}
     assert {r.id for r in rows.join(keys, F.col("id") == F.col("key")).collect()} <= kept and len(kept) < 12_000
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_few_links_need_no_rounds(spark, monkeypatch, few):
+    """A long chain, a star and pairs, in any order: the same groups by one task, which writes twice, as by rounds."""
+    monkeypatch.setattr(component_operators, "FEW", few)
+    tables = []
+    monkeypatch.setattr(component_operators, "written", lambda df: tables.append(near_copies.written(df)) or tables[-1])
+    rng = random.Random(4)
+    name = rng.sample(range(-500, 500), 400)
+    edges = [(name[i], name[i + 1]) for i in range(150)] + [(name[200], name[i]) for i in range(201, 260)] + [(name[i], name[i + 1]) for i in range(300, 398, 2)] + [(name[0], name[0])]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in rng.sample(edges, len(edges))]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: r for n, r in roots({n for e in edges for n in e}, edges).items() if n != r}
+    assert (len(tables) == 2) == (few > 0)
