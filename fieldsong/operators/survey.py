@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldsong.operators import intervals, summary
+from fieldsong.sources.scratch import written
+
+#: A report's segments that one task groups, and the compressed bytes of its later shuffles that one task gets: what a task holds does not grow with the survey.
+TASK_SEGMENTS, TASK_BYTES = 100_000, 4 << 20
 
 
 def time_stamps(segments: DataFrame, started: Column, by: list[str], order: str = "ord") -> DataFrame:
@@ -163,11 +167,15 @@ def workbook(segments: DataFrame, files: DataFrame, res: float, any_sound: str =
     segments(file_id, seg_id, s, e, f_lo, f_hi, labels) and files(file_id, started, duration). stamps: file_id, species, start, end
     (clock times), f_lo, f_hi, certainty. presence: file_id, species, present, max_cert, for every file and species. bins: file_id,
     species, bin, max_cert, for bins of res seconds. A segment counts once for any sound, with its largest certainty.
+    Segments are counted, and dealt by themselves to as many tasks as hold them.
     """
-    each = segments.select("file_id", "seg_id", "s", "e", "f_lo", "f_hi", F.explode("labels").alias("x"))
+    spark = segments.sparkSession
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
+    dealt = segments.select("file_id", "seg_id", "s", "e", "f_lo", "f_hi", "labels").repartition(segments.count() // TASK_SEGMENTS + 1, "file_id", "seg_id")
+    each = dealt.select("file_id", "seg_id", "s", "e", "f_lo", "f_hi", F.explode("labels").alias("x"))
     named = each.groupBy("file_id", "seg_id", "s", "e", "f_lo", "f_hi", F.col("x.species").alias("species")).agg(F.max("x.certainty").alias("cert"))
     whole = named.groupBy("file_id", "seg_id", "s", "e", "f_lo", "f_hi").agg(F.max("cert").alias("cert")).withColumn("species", F.lit(any_sound))
-    rows = named.unionByName(whole)
+    rows = written(named.unionByName(whole))
     clock = lambda c: F.date_format(F.timestamp_seconds(F.unix_seconds("started") + F.floor(c)), "HH:mm:ss")
     known = rows.join(files, "file_id")
     stamps = known.select("file_id", "species", "seg_id", clock("s").alias("start"), clock("e").alias("end"), "f_lo", "f_hi", F.col("cert").alias("certainty"))

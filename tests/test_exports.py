@@ -90,3 +90,19 @@ def test_time_in_a_name_after_a_number_of_six_digits(spark):
 
     names = spark.createDataFrame([("100000_19950707_163015.bmp",), ("7_19950707_163015.bmp",), ("x19950707_163015123.wav",)], "name string")
     assert {r.t for r in names.select(recorded_at(F.col("name")).cast("string").alias("t")).collect()} == {"1995-07-07 16:30:15"}
+
+
+def test_workbook_deals_its_segments(spark, monkeypatch):
+    """Segments are dealt to as many tasks as hold them, however few partitions shuffles have; a repeated row counts once."""
+    from fieldsong.operators import survey
+
+    dealt = []
+    monkeypatch.setattr(survey, "TASK_SEGMENTS", 5, raising=False)
+    monkeypatch.setattr(survey, "written", lambda df: dealt.append(df.rdd.getNumPartitions()) or df, raising=False)
+    rows = [("f", k % 20, float(k % 20), k % 20 + 0.5, 0, 0, [("Kiwi", 50.0, None, None), ("Tui", 90.0 - k % 20, None, None)]) for k in range(40)]
+    made = spark.createDataFrame(rows, f"file_id string, seg_id int, s double, e double, f_lo int, f_hi int, labels array<{LABEL}>")
+    files = spark.sql("SELECT 'f' AS file_id, timestamp'2024-01-01' AS started, 60.0D AS duration")
+    sheets = survey.workbook(made, files, 10.0)
+    assert dealt == [40 // 5 + 1]
+    assert {(r.species, r.present, r.max_cert) for r in sheets["presence"].collect()} == {("Kiwi", "Yes", 50.0), ("Tui", "Yes", 90.0), ("Any sound", "Yes", 90.0)}
+    assert sheets["stamps"].count() == 60 and sheets["bins"].count() == 6
