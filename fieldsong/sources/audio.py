@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +17,8 @@ from pyspark.sql.types import BinaryType
 
 PAGE_SAMPLES, SLOW_PAGE_SECONDS, SLOW_RATE = 900 * 16000, 300, 4000
 LEAST_BYTES = 1000
+#: Bytes that follow a file's content are written so many at once.
+BLOCK = 1 << 20
 HEADER = "struct<channels: int, rate: int, bits: int, data_at: long, data_bytes: long>"
 
 
@@ -23,10 +27,15 @@ def files(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def valid(found: DataFrame) -> DataFrame:
-    """Files of 1000 bytes at least that begin as RIFF, FLAC or BMP files do."""
+def is_valid() -> Column:
+    """Whether a file of files() or folders.heads() has 1000 bytes at least and begins as RIFF, FLAC or BMP files do."""
     head = F.substring("content", 1, 4)
-    return found.where((F.col("length") >= LEAST_BYTES) & (head.isin(bytearray(b"RIFF"), bytearray(b"fLaC")) | (F.substring("content", 1, 2) == F.lit(bytearray(b"BM")))))
+    return (F.col("length") >= LEAST_BYTES) & (head.isin(bytearray(b"RIFF"), bytearray(b"fLaC")) | (F.substring("content", 1, 2) == F.lit(bytearray(b"BM"))))
+
+
+def valid(found: DataFrame) -> DataFrame:
+    """Files that is_valid() takes."""
+    return found.where(is_valid())
 
 
 def walk_header(size: int, read: Callable[[int, int], bytes]) -> tuple[int, int, int, int, int] | None:
@@ -205,11 +214,13 @@ def wav_column(samples: Column, rate: int, bits: int = 16) -> Column:
     return F.pandas_udf(make, BinaryType())(samples)
 
 
-def saved(rows: DataFrame, folder: str) -> DataFrame:
+def saved(rows: DataFrame, folder: str, spread: int = 1) -> DataFrame:
     """path, length of files written below a folder that all executors share: rows(name, content).
 
     A file is written beside its place and moved there, so that a task that is run again leaves whole files. Names with
-    a folder in them, or null, and null contents are left out.
+    a folder in them, or null, and null contents are left out. With `spread` over 1 so many tasks write, and the files
+    lie in so many subfolders by a hash of their names. Where rows have a `length`, the file is that long if its content is shorter: bytes 0
+    follow, which a local or mounted store keeps as a hole and other stores get a block at a time.
     """
     root = re.sub(r"^file:/+", "file:///", folder.rstrip("/"))
 
@@ -217,19 +228,31 @@ def saved(rows: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(root)
-        store.create_dir(inner, recursive=True)
+        made = set()
         for x in batches:
             out = []
-            for name, content in zip(x["name"], x["content"]):
-                aside = f"{inner}/.{name}.{uuid.uuid4().hex}"
+            for name, content, least in zip(x["name"], x["content"], x["length"]):
+                below = f"/{zlib.crc32(name.encode()) % spread:03d}" if spread > 1 else ""
+                if below not in made:
+                    store.create_dir(inner + below, recursive=True)
+                    made.add(below)
+                aside = f"{inner}{below}/.{name}.{uuid.uuid4().hex}"
+                size = max(len(content), int(least))
                 with store.open_output_stream(aside) as f:
                     f.write(bytes(content))
-                store.move(aside, f"{inner}/{name}")
-                out.append((f"{root}/{name}", len(content)))
+                    if not isinstance(store, fs.LocalFileSystem):
+                        for at in range(len(content), size, BLOCK):
+                            f.write(bytes(min(BLOCK, size - at)))
+                if isinstance(store, fs.LocalFileSystem) and size > len(content):
+                    os.truncate(aside, size)
+                store.move(aside, f"{inner}{below}/{name}")
+                out.append((f"{root}{below}/{name}", size))
             yield pd.DataFrame(out, columns=["path", "length"])
 
     good = rows.where("name is not null and content is not null and not contains(name, '/')")
-    return good.select("name", "content").mapInPandas(put, "path string, length long")
+    least = F.coalesce("length", F.lit(0)) if "length" in rows.columns else F.lit(0)
+    whole = good.select("name", "content", least.cast("long").alias("length"))
+    return (whole.repartition(spread, "name") if spread > 1 else whole).mapInPandas(put, "path string, length long")
 
 
 def clips(paged: DataFrame, segments: DataFrame, margin: float = 0.0) -> DataFrame:

@@ -73,3 +73,19 @@ def test_kernels_on_empty_and_tiny_pages(spark):
         got = made.collect()
         assert all(len(r["samples"]) == 0 for r in got if "samples" in r and r["file_id"] == "e")
         assert {r["file_id"] for r in got} <= {"e", "t", "f"}
+
+
+def test_long_files_cost_their_heads(spark, tmp_path):
+    """Files whose end is empty take no room for it, and of files that are found by tasks only the head is read."""
+    from fieldsong.sources import folders
+
+    rows = spark.createDataFrame([("a.wav", bytearray(b"RIFFx"), 50_000_000), ("b.bmp", bytearray(b"BMxxxx"), 3), ("c.txt", bytearray(b"RIFF"), 2000), ("d.flac", bytearray(b"none"), 1000)], "name string, content binary, length long")
+    assert sorted(r.length for r in audio.saved(rows, f"file://{tmp_path}/out", 4).collect()) == [6, 1000, 2000, 50_000_000]
+    (tmp_path / "out/_hidden.wav").write_bytes(b"RIFF")
+    (tmp_path / "out/e.wav").write_bytes(b"RIFF" + b"x" * 1000)
+    made = next((tmp_path / "out").rglob("a.wav"))
+    assert made.stat().st_size == 50_000_000 and made.stat().st_blocks * 512 < 1_000_000
+    found = folders.heads(spark, f"file://{tmp_path}/out", "*.{wav,flac,bmp}")
+    assert found.inputFiles() == []
+    got = {r.path.rsplit("/", 1)[1]: (r.length, bytes(r.content), r.valid) for r in found.withColumn("valid", audio.is_valid()).collect()}
+    assert got == {"a.wav": (50_000_000, b"RIFF", True), "b.bmp": (6, b"BMxx", False), "d.flac": (1000, b"none", False), "e.wav": (1004, b"RIFF", True)}
