@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldsong.operators.labels import LABEL, label, or_unsure
+from fieldsong.sources import folders
 
 META = "Operator string, Reviewer string, Duration double, noiseLevel string, noiseTypes array<string>"
 FILTER = """species string, SampleRate int, method string, Filters array<struct<calltype: string, TimeRange: array<double>, FreqRange: array<int>,
@@ -15,8 +16,7 @@ FILTER = """species string, SampleRate int, method string, Filters array<struct<
 
 def _elements(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """file_id, pos, el: the elements of each file's JSON array, as JSON."""
-    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return text.select(F.input_file_name().alias("file_id"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "el"))
+    return folders.texts(spark, path, glob).select("file_id", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "el"))
 
 
 def read_metadata(spark: SparkSession, path: str, glob: str = "*.data") -> DataFrame:
@@ -85,7 +85,7 @@ def truth_lines(presence: DataFrame, by: list[str], res: float) -> DataFrame:
 
 def read_filters(spark: SparkSession, path: str, bats: bool = True) -> DataFrame:
     """Recognisers by file: one row a subfilter. Incomplete ones are left out; without a method they are wavelet ones."""
-    text = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).withColumn("filter_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+    text = folders.texts(spark, path, "*.txt").withColumn("filter_id", F.regexp_extract("file_id", r"([^/]+)\.txt$", 1))
     f = text.select("filter_id", F.from_json("value", FILTER).alias("f")).select("filter_id", "f.*").withColumn("method", F.coalesce("method", F.lit("wv")))
     ok = F.col("species").isNotNull() & F.col("SampleRate").isNotNull() & (F.size("Filters") > 0) & F.col("method").isin("wv", "chp")
     each = F.forall("Filters", lambda x: x["calltype"].isNotNull() & x["WaveletParams"]["thr"].isNotNull() & x["WaveletParams"]["nodes"].isNotNull() & (F.size(x["TimeRange"]) >= 4))
@@ -100,12 +100,12 @@ def read_filters(spark: SparkSession, path: str, bats: bool = True) -> DataFrame
 def known_calls(spark: SparkSession, path: str) -> DataFrame:
     """species, calls of lines "species > call"."""
     parts = F.split("value", " > ")
-    return spark.read.text(path).where(F.size(parts) == 2).groupBy(F.trim(parts[0]).alias("species")).agg(F.array_sort(F.collect_set(F.trim(parts[1]))).alias("calls"))
+    return spark.read.option("recursiveFileLookup", "true").text(path).where(F.size(parts) == 2).groupBy(F.trim(parts[0]).alias("species")).agg(F.array_sort(F.collect_set(F.trim(parts[1]))).alias("calls"))
 
 
 def last_position(spark: SparkSession, path: str) -> DataFrame:
     """file_id, lat, long: the last GPS line of each recorder's log."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("file_id", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    lines = folders.texts(spark, path, "*").select("file_id", F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
     number = r"(-?\d+\.?\d*)"
     found = lines.withColumn("lat", F.regexp_extract("value", rf"GPS[^:]*:\s*{number}", 1).try_cast("double")).withColumn("long", F.regexp_extract("value", rf"GPS[^:]*:\s*{number}[,\s]+{number}", 2).try_cast("double"))
     return found.where("lat is not null").groupBy("file_id").agg(F.max_by(F.struct("lat", "long"), "at").alias("p")).select("file_id", "p.lat", "p.long")

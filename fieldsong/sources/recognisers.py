@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsong.sources import folders
+
 #: Fixed value: a short list of species holds so many.
 SHORT_LIST = 29
 
@@ -36,7 +38,7 @@ def recogniser_text(filters: DataFrame, networks: DataFrame | None = None) -> Da
 def read_networks(spark: SparkSession, path: str) -> DataFrame:
     """filter_id, name, window, step, outputs (call types without Noise), thresholds, f_lo, f_hi of recogniser files that have a network's block."""
     kind = "NN struct<NN_name: string, windowInc: array<int>, win: array<double>, inputdim: array<int>, fRange: array<int>, output: map<string, string>, thr: array<array<double>>>"
-    text = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).withColumn("filter_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+    text = folders.texts(spark, path, "*.txt").withColumn("filter_id", F.regexp_extract("file_id", r"([^/]+)\.txt$", 1))
     n = text.select("filter_id", F.from_json("value", kind)["NN"].alias("n")).where("n.NN_name is not null")
     listed = F.transform(F.array_sort(F.map_entries("n.output"), lambda a, b: a["key"].cast("int") - b["key"].cast("int")), lambda e: e["value"])
     at = lambda c, k: F.get(c, F.lit(k))

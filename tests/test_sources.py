@@ -110,3 +110,15 @@ def test_lists_and_logs(spark, tmp_path):
     files = spark.createDataFrame([("a",), ("b",)], "path string")
     log = spark.createDataFrame([("Kiwi", "x", "a"), ("Tui", "x", "b")], "species string, settings string, path string")
     assert [r.path for r in annotations.not_done(files, log, "Kiwi", "x").collect()] == ["b"]
+
+
+def test_text_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of files; those in subfolders, at the top and a path that is a file are found, hidden ones not."""
+    for name, operator in (("a b.data", "A"), ("x/b.data", "B"), ("x/y/c.data", "C"), ("x/.d.data", "D"), ("_z/e.data", "E"), ("f.txt", "F")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f'[{{"Operator": "{operator}é"}}]')
+    back = annotations.read_metadata(spark, f"file://{tmp_path}")
+    assert back.inputFiles() == []
+    assert {(r.file_id.removeprefix(f"file://{tmp_path}/"), r.operator) for r in back.collect()} == {("a b.data", "Aé"), ("x/b.data", "Bé"), ("x/y/c.data", "Cé")}
+    assert [r.operator for r in annotations.read_metadata(spark, str(tmp_path / "x/b.data")).collect()] == ["Bé"]
+    assert sorted(r.operator for r in annotations.read_metadata(spark, f"{tmp_path}/x*").collect()) == ["Bé", "Cé"]
