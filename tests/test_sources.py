@@ -1,12 +1,13 @@
 """Files read and written: WAV of each width, annotations of each generation, ground truth, recognisers."""
 
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from fieldsong.operators.labels import valid as valid_labels
-from fieldsong.sources import annotations, audio
+from fieldsong.sources import annotations, audio, scratch
 
 
 @pytest.mark.parametrize("bits", [8, 16, 24, 32])
@@ -122,3 +123,16 @@ def test_text_files_are_listed_by_tasks(spark, tmp_path):
     assert {(r.file_id.removeprefix(f"file://{tmp_path}/"), r.operator) for r in back.collect()} == {("a b.data", "Aé"), ("x/b.data", "Bé"), ("x/y/c.data", "Cé")}
     assert [r.operator for r in annotations.read_metadata(spark, str(tmp_path / "x/b.data")).collect()] == ["Bé"]
     assert sorted(r.operator for r in annotations.read_metadata(spark, f"{tmp_path}/x*").collect()) == ["Bé", "Cé"]
+
+
+def test_sheets_are_files_of_bounded_length(spark, sf_dir):
+    """A sheet that grows has more annotation files, not longer ones."""
+    from fieldsong.plans import file_queries
+
+    got = file_queries.sheet_annotations(spark, sf_dir)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <> 7")
+    want = li.selectExpr("concat_ws('_', l_suppkey % 10, l_linenumber) AS k", "floor(l_orderkey / 8 / 8192) AS part").distinct().count()
+    root = scratch.scratch_root(spark).removeprefix("file://")
+    newest = max(Path(root, "fieldsong").iterdir(), key=lambda p: p.stat().st_mtime)
+    assert len(list(newest.rglob("*-*.data"))) == want
+    assert got.selectExpr("sum(n)").first()[0] == li.count()
