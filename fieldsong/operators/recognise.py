@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 
 from fieldsong.operators import intervals, synthesis, wavelets
 from fieldsong.operators.evaluate import point_biserial
+from fieldsong.operators.signal import band_passed, spread
 
 #: Nodes above these are too coarse for a recogniser; a recording's nodes that are tried; the score at which a search ends.
 COARSE, TRIED, ENOUGH = 15, 10, 0.95
+#: Rows of peaks that a task hands on at once.
+PEAKS = 20_000
 
 
 def family_order(nodes: list[int]) -> list[int]:
@@ -45,11 +48,12 @@ def candidate_nodes(energies: DataFrame, truth: DataFrame, bands: DataFrame, low
     energies(file_id, node, win, energy), truth(file_id, win, present), bands(node, f_lo, f_hi). Coarse nodes and those
     outside low to high Hz are left out, and so are nodes whose correlation is not defined.
     """
-    both = energies.join(truth, ["file_id", "win"])
+    # Nodes of a tree, read here: joined as rows, the optimiser would work out the bands anew for every energy.
+    fit = [r.node for r in bands.where((F.col("f_lo") < high) & (F.col("f_hi") > low) & (F.col("node") >= COARSE)).select("node").distinct().collect()]
+    both = energies.where(F.col("node").isin(fit)).join(truth, ["file_id", "win"])
     r = point_biserial(both, ["file_id", "node"], "energy", F.col("present") == 1).where("r is not null and not isnan(r)")
-    fit = F.broadcast(bands.where((F.col("f_lo") < high) & (F.col("f_hi") > low) & (F.col("node") >= COARSE)).select("node"))  # nodes of a tree
     best = Window.partitionBy("file_id").orderBy(F.desc("r"), "node")
-    ranked = r.join(fit, "node").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= TRIED)
+    ranked = r.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= TRIED)
     listed = ranked.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "node"))), lambda p: p["node"]).alias("nodes"))
     ordered = F.pandas_udf(lambda lists: lists.map(lambda x: family_order([int(n) for n in x])), "array<int>")
     return listed.select("file_id", ordered("nodes").alias("nodes"))
@@ -62,26 +66,45 @@ def node_peaks(pages: DataFrame, nodes: DataFrame, truth: DataFrame, smoothing:
     time outside calls, have no rows.
     """
     calls = truth.where("present = 1").groupBy("file_id").agg(F.collect_set("win").alias("calls"))
-    rows = pages.join(nodes, "file_id").join(calls, "file_id", "left").select("file_id", "page", "fs", "samples", "nodes", "calls")
+    both = pages.join(nodes, "file_id").join(calls, "file_id", "left").select("file_id", "page", "fs", "samples", "nodes", "calls")
+    rows = spread(both, "file_id", "page")
+
+    def peaks(r) -> Iterator[dict]:
+        x, size = np.asarray(r.samples, float), ceil(window * r.fs)
+        n = ceil(len(x) / size)
+        quiet = np.repeat(~np.isin(np.arange(n), [] if r.calls is None else r.calls), size)[: len(x)]
+        starts = np.arange(n) * size
+        ends = np.minimum(starts + size, len(x))
+        places = [int(k) for k in r.nodes]
+        for node, c in wavelets.packet(x, places, *filters).items():
+            loud = np.abs(synthesis.only_band(synthesis.rebuilt(c, node, filters, len(x)), node))
+            logs = np.log(np.maximum(loud[quiet], 1e-300))
+            if not loud.any() or not len(logs) or logs.std() == 0:
+                continue
+            for m in smoothing:
+                upto = np.concatenate([[0.0], np.cumsum(synthesis.energy_curve(loud, int(m * size)))])
+                mean = (upto[ends] - upto[starts]) / (ends - starts)
+                peak = (np.log(np.maximum(mean, 1e-300)) - logs.mean()) / logs.std()
+                yield {"node": node, "place": places.index(node), "m": m, "win": np.arange(n), "peak": peak}
+
+    def joined(found: list[tuple]) -> pd.DataFrame:
+        sizes = [len(d["win"]) for _, _, d in found]
+        wide = {"file_id": np.repeat(np.array([f for f, _, _ in found], dtype=object), sizes), "page": np.repeat([p for _, p, _ in found], sizes)}
+        wide |= {c: np.repeat([d[c] for _, _, d in found], sizes) for c in ("node", "place", "m")}
+        return pd.DataFrame({**wide, **{c: np.concatenate([d[c] for _, _, d in found]) for c in ("win", "peak")}})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
         for batch in batches:
             for r in batch.itertuples(index=False):
-                x, size = np.asarray(r.samples, float), ceil(window * r.fs)
-                n = ceil(len(x) / size)
-                quiet = np.repeat(~np.isin(np.arange(n), [] if r.calls is None else r.calls), size)[: len(x)]
-                for node, c in wavelets.packet(x, [int(k) for k in r.nodes], *filters).items():
-                    loud = np.abs(synthesis.only_band(synthesis.rebuilt(c, node, filters, len(x)), node))
-                    logs = np.log(np.maximum(loud[quiet], 1e-300))
-                    if not loud.any() or not len(logs) or logs.std() == 0:
-                        continue
-                    for m in smoothing:
-                        upto = np.concatenate([[0.0], np.cumsum(synthesis.energy_curve(loud, int(m * size)))])
-                        starts = np.arange(n) * size
-                        ends = np.minimum(starts + size, len(x))
-                        mean = (upto[ends] - upto[starts]) / (ends - starts)
-                        peak = (np.log(np.maximum(mean, 1e-300)) - logs.mean()) / logs.std()
-                        yield pd.DataFrame({"file_id": r.file_id, "page": r.page, "node": node, "place": list(r.nodes).index(node), "m": m, "win": np.arange(n), "peak": peak})
+                for d in peaks(r):
+                    found.append((r.file_id, r.page, d))
+                    held += len(d["win"])
+                if held >= PEAKS:
+                    yield joined(found)
+                    found, held = [], 0
+        if found:
+            yield joined(found)
 
     return rows.mapInPandas(find, "file_id string, page int, node int, place int, m double, win int, peak double")
 
@@ -92,43 +115,64 @@ def f_beta(found: np.ndarray, real: np.ndarray) -> tuple[float, float]:
     return (5 * tp / (4 * real.sum() + found.sum()), tp / real.sum()) if tp else (0.0, 0.0)
 
 
-def grid_search(peaks: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
-    """m, threshold, nodes, tp, fp, tn, fn: for each setting the nodes that any recording kept, and the counts of windows.
-
-    In each recording nodes are tried by their own F-score, the best first (of equal ones the later), and kept if they better
-    the F-score together; a search ends at a score or recall of ENOUGH exactly. Every recording and setting is a task of its own.
-    """
-    grid = peaks.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    rows = peaks.join(truth, ["file_id", "win"]).join(F.broadcast(grid))  # a short list
-
-    def search(x: pd.DataFrame) -> pd.DataFrame:
-        t = x["threshold"].iloc[0]
-        order = list(dict.fromkeys(x.sort_values(["place", "node"])["node"]))
-        real = x.groupby("win")["present"].max().sort_index().to_numpy() > 0
-        wide = x.pivot_table(index="win", columns="node", values="peak", aggfunc="max").sort_index()
-        hits = {n: (wide[n] > t).to_numpy() for n in order}
-        scores = [f_beta(hits[n], real)[0] for n in order]
+def kept_nodes(places: np.ndarray, nodes: np.ndarray, wins: np.ndarray, peaks: np.ndarray, marked: np.ndarray, present: np.ndarray, thresholds: list[float]) -> Iterator[tuple[list[int], int, int, int, int]]:
+    """For each threshold the nodes kept and tp, fp, tn, fn of one recording's windows that have both peaks and a truth."""
+    both = np.intersect1d(wins, marked)
+    inside = np.isin(wins, both)
+    places, nodes, wins, peaks = places[inside], nodes[inside], wins[inside], peaks[inside]
+    order = list(dict.fromkeys(nodes[np.lexsort((nodes, places))].tolist()))
+    real = np.zeros(len(both), bool)
+    real[np.searchsorted(both, marked[np.isin(marked, both) & (present > 0)])] = True
+    wide = np.full((len(order), len(both)), np.nan)
+    by_node = np.argsort(order)
+    np.fmax.at(wide, (by_node[np.searchsorted(order, nodes, sorter=by_node)], np.searchsorted(both, wins)), peaks)
+    for t in thresholds:
+        hits = wide > t
         found, kept, best, recall = np.zeros(len(real), bool), [], 0.0, 0.0
-        for k in np.argsort(scores, kind="stable")[::-1]:
-            both = found | hits[order[k]]
-            score, now = f_beta(both, real)
+        for k in np.argsort([f_beta(h, real)[0] for h in hits], kind="stable")[::-1]:
+            together = found | hits[k]
+            score, now = f_beta(together, real)
             if score > best:
-                found, best, recall = both, score, now
-                kept.append(int(order[k]))
+                found, best, recall = together, score, now
+                kept.append(order[k])
             if best == ENOUGH or recall == ENOUGH:
                 break
-        return pd.DataFrame({"m": [x["m"].iloc[0]], "threshold": [t], "kept": [kept], "tp": [int((found & real).sum())], "fp": [int((found & ~real).sum())], "tn": [int((~found & ~real).sum())], "fn": [int((~found & real).sum())]})
+        yield kept, int((found & real).sum()), int((found & ~real).sum()), int((~found & ~real).sum()), int((~found & real).sum())
+
 
-    each = rows.groupBy("file_id", "m", "threshold").applyInPandas(search, "m double, threshold double, kept array<int>, tp long, fp long, tn long, fn long")
-    total = each.groupBy("m", "threshold").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept")))).alias("nodes"), *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
-    return total
+def grid_search(peaks: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
+    """m, threshold, nodes, tp, fp, tn, fn: for each setting the nodes that any recording kept, and the counts of windows.
+
+    In each recording nodes are tried by their own F-score, the best first (of equal ones the later), and kept if they better
+    the F-score together; a search ends at a score or recall of ENOUGH exactly. Recordings are spread over tasks, and a task
+    adds up those it reads at once, so few rows are left for the sums over all.
+    """
+    lists = lambda *names: F.collect_list(F.struct(*names)).alias("rows")
+    marks = truth.where("win is not null").groupBy("file_id").agg(lists("win", "present")).select("file_id", F.col("rows.win").alias("marked"), F.col("rows.present").alias("present"))
+    heard = spread(peaks.where("win is not null and node is not null"), "file_id").groupBy("file_id", "m").agg(lists("place", "node", "win", "peak"))
+    rows = heard.join(marks.hint("shuffle_merge"), "file_id").select("m", *[F.col(f"rows.{c}").alias(c) for c in ("place", "node", "win", "peak")], "marked", "present")
+    grid = [float(t) for t in thresholds]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sums: dict[tuple[float, float], list] = {}
+            for m, *columns in x.itertuples(index=False, name=None):
+                if not np.isin(columns[2], columns[4]).any():
+                    continue
+                whole = [np.asarray(c, kind) for c, kind in zip(columns, (int, int, int, float, int, float))]
+                for t, (kept, *counts) in zip(grid, kept_nodes(*whole, grid)):
+                    nodes, total = sums.setdefault((m, t), [set(), np.zeros(4, np.int64)])
+                    nodes.update(kept)
+                    total += counts
+            yield pd.DataFrame([(m, t, sorted(nodes), *total.tolist()) for (m, t), (nodes, total) in sums.items()], columns=["m", "threshold", "kept", "tp", "fp", "tn", "fn"])
+
+    each = rows.mapInPandas(search, "m double, threshold double, kept array<int>, tp long, fp long, tn long, fn long")
+    return each.groupBy("m", "threshold").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept")))).alias("nodes"), *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
 
 
 def train(pages: DataFrame, truth: DataFrame, bands: DataFrame, low: float, high: float, thresholds: list[float], smoothing: list[float], filters: tuple[np.ndarray, np.ndarray], window: float = 1.0) -> DataFrame:
     """grid_search() of recordings(file_id, page, fs, samples) with truth(file_id, win, present), from the samples on: energies, candidates, peaks, grid."""
-    from fieldsong.operators.signal import band_passed
-
-    heard = band_passed(pages, low, high)
+    heard = band_passed(spread(pages, "file_id", "page"), low, high)
     energies = wavelets.node_energies(heard, list(range(COARSE, 63)), window, filters)
     nodes = candidate_nodes(energies, truth, bands, low, high)
     return grid_search(node_peaks(pages, nodes, truth, smoothing, filters, window), truth, thresholds)

@@ -16,17 +16,43 @@ from pyspark.sql.window import Window
 KEYS = ["file_id", "page"]
 
 
+#: Bytes of columns that per_page() hands on at once.
+BATCH_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over all shuffle partitions: little data may be much work, which adaptive execution would draw together in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def per_page(pages: DataFrame, kernel: Callable[[np.ndarray, int], dict], schema: str) -> DataFrame:
-    """kernel(samples, fs) gives columns of equal length for each page."""
+    """kernel(samples, fs) gives columns of equal length for each page; many pages' columns are handed on together."""
+
+    def joined(names: list[str], rows: list[tuple]) -> pd.DataFrame:
+        sizes = [len(r[2][0]) for r in rows]
+        out = {"file_id": np.repeat(np.array([r[0] for r in rows], dtype=object), sizes), "page": np.repeat([r[1] for r in rows], sizes)}
+        for k, name in enumerate(names):
+            parts = [r[2][k] for r in rows]
+            flat = all(isinstance(v, np.ndarray) and v.ndim == 1 for v in parts)
+            out[name] = np.concatenate(parts) if flat else [v for part in parts for v in part]
+        return pd.DataFrame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows, held = [], [], 0
         for x in batches:
             for file_id, page, fs, samples in zip(x["file_id"], x["page"], x["fs"], x["samples"]):
-                got = pd.DataFrame(kernel(np.asarray(samples, dtype=float), int(fs)))
-                got.insert(0, "page", page)
-                got.insert(0, "file_id", file_id)
-                if len(got):
-                    yield got
+                got = {k: v.to_numpy() if isinstance(v, pd.Series) else v for k, v in kernel(np.asarray(samples, dtype=float), int(fs)).items()}
+                columns = list(got.values())
+                if not len(columns[0]):
+                    continue
+                names = list(got)
+                rows.append((file_id, page, columns))
+                held += sum(v.nbytes if isinstance(v, np.ndarray) and v.dtype != object else sum(getattr(e, "nbytes", 8) for e in v) for v in columns)
+                if held >= BATCH_BYTES:
+                    yield joined(names, rows)
+                    rows, held = [], 0
+        if rows:
+            yield joined(names, rows)
 
     return pages.select(*KEYS, "fs", "samples").mapInPandas(run, f"file_id string, page int, {schema}")
 

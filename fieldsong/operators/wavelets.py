@@ -60,14 +60,17 @@ def node_energies(pages: DataFrame, nodes: list[int], seconds: float, filters: t
     """file_id, page, node, win, real_window, energy: mean squares over windows of at least so many seconds."""
 
     def kernel(x: np.ndarray, fs: int) -> dict:
-        parts = []
+        sizes, real, energy = [], [], []
         for node, c in packet(x, nodes, *filters).items():
             rate = fs / 2 ** int(np.log2(node + 1))
             size = ceil(seconds * rate)
             c = c[::2] if node else c
             n = len(c) // size
-            parts.append(pd.DataFrame({"node": node, "win": np.arange(n), "real_window": size / rate, "energy": (c[: n * size].reshape(n, size) ** 2).mean(axis=1)}))
-        return dict(pd.concat(parts))
+            sizes.append(n)
+            real.append(size / rate)
+            energy.append((c[: n * size].reshape(n, size) ** 2).mean(axis=1))
+        win = np.concatenate([np.arange(n) for n in sizes])
+        return {"node": np.repeat(list(dict.fromkeys(nodes)), sizes), "win": win, "real_window": np.repeat(real, sizes), "energy": np.concatenate(energy)}
 
     return per_page(pages, kernel, "node int, win int, real_window double, energy double")
 

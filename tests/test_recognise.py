@@ -5,6 +5,7 @@ import struct
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,24 @@ def test_common_subsequence_itself():
         got = subsequence(a, b)
         longest = next(k for k in range(len(a), -1, -1) if any(inside(c, b) for c in combinations(a, k)))
         assert len(got) == longest == common_subsequence(np.array(a), np.array(b)) and inside(got, a) and inside(got, b)
+
+
+def test_training_is_spread_and_bands_are_worked_out_once(spark):
+    """Little data is much work here: tasks share it, what pages give is handed on together, and energies meet a list of nodes."""
+    rng = np.random.default_rng(8)
+    pages = spark.createDataFrame([(f"f{k}", 0, 64, rng.normal(size=64 * 6).tolist()) for k in range(40)], "file_id string, page int, fs int, samples array<double>").repartition("file_id")
+    truth = spark.createDataFrame([(f"f{k}", w, int(w % 3 == 1)) for k in range(40) for w in range(6)], "file_id string, win int, present int")
+    energies = wavelets.node_energies(pages, list(range(15, 63)), 1.0, wavelets.daubechies(4))
+    nodes = recognise.candidate_nodes(energies, truth, node_functions.node_bands(spark, 5, 64), 2.0, 30.0)
+    assert "POWER" not in nodes._jdf.queryExecution().optimizedPlan().toString().upper()
+    peaks = recognise.node_peaks(pages, nodes, truth, [0.05], wavelets.daubechies(4))
+    assert peaks.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+    class Pages:
+        select = lambda self, *names: self
+        mapInPandas = lambda self, run, schema: run
+
+    run = wavelets.node_energies(Pages(), [15, 16], 1.0, wavelets.daubechies(4))
+    batch = pd.DataFrame({"file_id": [f"f{k}" for k in range(40)], "page": 0, "fs": 64, "samples": [rng.normal(size=384) for _ in range(40)]})
+    (got,) = run(iter([batch]))
+    assert len(got) == 40 * 2 * 6 and got.groupby(["file_id", "node"])["win"].apply(list).map(lambda w: w == list(range(6))).all()
