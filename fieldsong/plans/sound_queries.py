@@ -343,9 +343,8 @@ def windy_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sound_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four distributions of each vector's elements, read as a piece of sound: the sum of each bin."""
     pages = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("file_id"), F.lit(0).alias("page"), F.lit(FS).alias("fs"), F.col("x").alias("samples"))
-    each = [distributions.distribution(pages, k).withColumn("kind", F.lit(k)) for k in distributions.KINDS]
-    cells = reduce(DataFrame.unionByName, each).select("file_id", "kind", F.posexplode("cells").alias("bin", "m"))
-    return cells.groupBy("file_id", "kind", "bin").agg(F.round(F.sum("m"), 6).alias("total"))
+    cells = distributions.totals(pages, list(distributions.KINDS)).select("file_id", "kind", F.posexplode("cells").alias("bin", "m"))
+    return cells.select("file_id", "kind", "bin", F.round("m", 6).alias("total"))
 
 
 def speed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,29 @@ def test_distributions_equal_sums_over_lags(spark):
         D.distribution(spark.createDataFrame([("f", 0, 8000, [0.0] * (D.LONGEST + 1))], PAGE), "plain").collect()
 
 
+def test_distribution_totals_are_sums_of_the_distributions(spark):
+    """Pieces of several lengths, a recording of many pages, one without a name, and short, empty and missing pieces."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3, 2, 30))
+    for kind, f in D.KINDS.items():
+        assert np.array_equal(f(x), [[f(row) for row in rows] for rows in x]), kind
+    sizes = {"a": [30] * 5, "b": [17], "c": [30, 17, 3, 0], "d": [3], "e": [], None: [9, 30], **{f"m{k}": [16] for k in range(50)}}
+    rows = [(f, k, 8000, rng.normal(size=n).tolist()) for f, v in sizes.items() for k, n in enumerate(v)] + [("e", 0, 8000, None)]
+    want = {}
+    for f, _, _, v in rows:
+        for kind in D.KINDS:
+            if v is not None and len(v) > 3:
+                got = D.KINDS[kind](np.array(v)).sum(axis=0)
+                old = want.get((f, kind), np.zeros(0))
+                n = max(len(got), len(old))
+                want[f, kind] = np.pad(got, (0, n - len(got))) + np.pad(old, (0, n - len(old)))
+    got = {(r.file_id, r.kind): r.cells for r in D.totals(spark.createDataFrame(rows, PAGE).repartition(3), list(D.KINDS)).collect()}
+    assert got.keys() == want.keys() and len(want) == 4 * 54
+    assert all(len(got[k]) == len(want[k]) and np.allclose(got[k], want[k]) for k in want)
+    with pytest.raises(Exception, match="too many"):
+        D.totals(spark.createDataFrame([("f", 0, 8000, [0.0] * (D.LONGEST + 1))], PAGE), ["plain"]).collect()
+
+
 def test_shares_rule_and_target(spark):
     energies = spark.createDataFrame([("a", 0, n, w, float(n)) for n in (35, 36, 99) for w in range(3)] + [("a", 1, 35, 0, 0.0)], "file_id string, seg_id int, node int, win int, energy double")
     got = {r.seg_id: r.shares for r in learning.node_shares(energies, ["file_id", "seg_id"], [35, 36, 40]).collect()}
