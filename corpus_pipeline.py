@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldsong.llm import language, quality
 from fieldsong.llm.bpe import ranks_file, token_digests
-from fieldsong.llm.common import fresh, table, written
+from fieldsong.llm.common import discard, fresh, table, tables_written, written
 from fieldsong.llm.mixing import mixed_documents
 from fieldsong.llm.near_copies import one_of_each
 
@@ -67,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's rows written before the next reads them."""
+    """The stages applied to documents, each one's rows written before the next reads them, and then deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with tables_written() as tables:
+            after = written(stage(spark, docs, sf_dir))
+        discard(docs, *tables[:-1])
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

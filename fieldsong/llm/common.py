@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SAMPLE_SEED = 3
 #: Texts are handed to Python in batches of so many bytes (or one text).
 BATCH_BYTES = 4 << 20
+#: What tables_written() gives, the innermost last.
+_collecting: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +50,21 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
+    for tables in _collecting:
+        tables.append(table)
     return table
 
 
+@contextmanager
+def tables_written() -> Iterator[list[DataFrame]]:
+    """The tables that written() makes inside, to discard() them when nothing reads them any more."""
+    _collecting.append([])
+    try:
+        yield _collecting[-1]
+    finally:
+        _collecting.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written() tables that nothing reads any more, and have Spark's cleaner drop the shuffles of jobs that are over."""
     SparkSession.active()._jvm.System.gc()

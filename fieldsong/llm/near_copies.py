@@ -11,7 +11,9 @@ share one among the first few of each (prefix filter). Texts are brought togethe
   brought together, as far as sizes, places and bitmaps allow the similarity. A group that is joined costs no pairs.
 
 A text's bitmap says of each of BITS cells whether an odd number of its shingles fall into it. Two sets differ in at
-least as many shingles as their bitmaps differ in bits, so that pairs are put aside without reading the sets.
+least as many shingles as their bitmaps differ in bits, so that pairs are put aside without reading the sets. So few
+bits tell nothing of long texts, of which any two that share a passage would have their sets compared; before that, each
+pair meets by bitmaps with a cell for each shingle.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldsong.llm.common import discard, fresh, text_batches, written
+from fieldsong.llm.common import discard, fresh, tables_written, text_batches, written
 from fieldsong.llm.components import components
 from fieldsong.llm.simhash import MAX_BITS, SEED, links
 from fieldsong.llm.words import ngram_runs
@@ -31,20 +33,21 @@ from fieldsong.llm.words import ngram_runs
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts looked at for common shingles, and how many of these come last in the order of shingles; any order is right, this one is quick.
 LOOKED_AT, COMMON = 20_000, 65_536
-#: Bits of a text's bitmap.
+#: Bits of a text's bitmap; a power of two.
 BITS = 512
 #: Members of a posting of the prefix filter that are held against the others in one cell.
 CELL = 512
 
 
 def _hashes(data: bytes, n: int):
+    """The text's shingles as 64-bit hashes, and how many bytes they have, a run at a time."""
     for shingles in ngram_runs(data.lower(), n):
-        yield np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], dtype="<u8")
+        yield np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], dtype="<u8"), np.fromiter(map(len, shingles), np.int64, len(shingles))
 
 
 def _distinct(data: bytes, n: int) -> np.ndarray:
     """The text's distinct shingles as sorted 64-bit hashes."""
-    parts = [np.unique(h) for h in _hashes(data, n)]
+    parts = [np.unique(h) for h, _ in _hashes(data, n)]
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
 
 
@@ -69,43 +72,52 @@ def least_overlap(size: int, share: float) -> int:
 
 def sketch(text: Column, common: np.ndarray, n: int = SHINGLE, similarity: float = SIMILARITY) -> Column:
     """size (distinct shingles), shingles (as many of the first ones as similarity requires), own (how many of these are
-    enough where the other text is not smaller), rare (how many are not common), bits, fp (SimHash) of a text column.
+    enough where the other text is not smaller), rare (how many are not common), bits, wide (the bitmap with a cell and
+    more for each shingle, empty if bits is that), fp (SimHash) of a text column.
 
-    The order is by place in common (64-bit hashes, the commonest last), before them all others by hash. Texts without
-    words have the one shingle 0, the size 0 and the fingerprint 0.
+    The order is by place in common (64-bit hashes, the commonest last), before them all others, the longest first and
+    then by hash: texts share short shingles, of common words, by chance, the more the larger the table is. Texts
+    without words have the one shingle 0, the size 0 and the fingerprint 0.
     """
     text_batches()
     by_hash = np.argsort(common, kind="stable")
     ordered = common[by_hash]
-    fields = ["size", "own", "rare", "shingles", "bits", "fp"]
+    fields = ["size", "own", "rare", "shingles", "bits", "wide", "fp"]
+    packed = lambda odd: np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    def of(data: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray, int]:
+    def of(data: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, int]:
         ones, total, parts = np.zeros(64, np.int64), 0, []
-        for h in _hashes(data, n):
+        for h, length in _hashes(data, n):
             ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             total += len(h)
-            parts.append(np.unique(h))
+            h, at = np.unique(h, return_index=True)
+            parts.append((h, length[at]))
         if not total:
-            return 0, 1, 1, np.zeros(1, np.int64), np.zeros(BITS // 64, np.int64), 0
-        h = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
-        odd = np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+            return 0, 1, 1, np.zeros(1, np.int64), np.zeros(BITS // 64, np.int64), np.empty(0, np.int64), 0
+        h, length = map(np.concatenate, zip(*parts))
+        if len(parts) > 1:
+            h, at = np.unique(h, return_index=True)
+            length = length[at]
+        cells = max(BITS, 1 << (len(h) - 1).bit_length())
+        odd = np.bincount((h % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+        bits, wide = packed(odd.reshape(-1, BITS).sum(axis=0) & 1), packed(odd if cells > BITS else odd[:0])
         h = h.view(np.int64)
         rank = np.zeros(len(h), np.int64)
         if len(ordered):
             at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
             rank = np.where(ordered[at] == h, by_hash[at] + 1, 0)
         most, own = (len(h) - least_overlap(len(h), x) + 1 for x in (similarity, 2 * similarity / (1 + similarity)))
-        first = np.lexsort((h, rank))[:most]
+        first = np.lexsort((h, -length, rank))[:most]
         fp = np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0]
-        return len(h), own, int((rank[first] == 0).sum()), h[first], np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"), int(fp)
+        return len(h), own, int((rank[first] == 0).sum()), h[first], bits, wide, int(fp)
 
     def read(texts: pa.Array) -> pa.Array:
         got = [of((t.as_py() or "").encode()) for t in texts]
-        size, own, rare, shingles, bits, fp = map(list, zip(*got)) if got else [[]] * 6
-        columns = [pa.array(size, pa.int32()), pa.array(own, pa.int32()), pa.array(rare, pa.int32()), _lists(shingles), _lists(bits), pa.array(fp, pa.int64())]
+        size, own, rare, shingles, bits, wide, fp = map(list, zip(*got)) if got else [[]] * 7
+        columns = [pa.array(size, pa.int32()), pa.array(own, pa.int32()), pa.array(rare, pa.int32()), _lists(shingles), _lists(bits), _lists(wide), pa.array(fp, pa.int64())]
         return pa.StructArray.from_arrays(columns, fields)
 
-    return F.arrow_udf(read, "size int, own int, rare int, shingles array<long>, bits array<long>, fp long")(text)
+    return F.arrow_udf(read, "size int, own int, rare int, shingles array<long>, bits array<long>, wide array<long>, fp long")(text)
 
 
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
@@ -121,7 +133,22 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
 def _can_be(m: Column, n: Column, x: Column, y: Column, similarity: float) -> Column:
     """Whether sets of m and n shingles with the bitmaps x and y can have the similarity."""
     apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(BITS // 64)), F.lit(0))
-    return (F.least(m, n) >= F.greatest(m, n) * similarity - 1e-6) & (apart <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return _sizes_can_be(m, n, similarity) & (apart <= _most_apart(m, n, similarity))
+
+
+def _sizes_can_be(m: Column, n: Column, similarity: float) -> Column:
+    return F.least(m, n) >= F.greatest(m, n) * similarity - 1e-6
+
+
+def _most_apart(m: Column, n: Column, similarity: float) -> Column:
+    return (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _wide_apart(x: Column, y: Column) -> Column:
+    """Bits in which the bitmaps x and y differ, whose numbers of bits are powers of two: the larger one is folded to the smaller."""
+    cells = F.least(F.size(x), F.size(y))
+    folded = lambda z: F.transform(F.sequence(F.lit(0), cells - 1), lambda k: F.aggregate(F.sequence(k, F.size(z) - 1, cells), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(z, i))))
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
 def quick_pairs(texts: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
@@ -153,6 +180,7 @@ def hub_pairs(texts: DataFrame, postings: DataFrame, groups: DataFrame, similari
     """The written pairs (a, b) of texts and the hubs of their tokens, in another group, that can have the similarity."""
     rooted, spread = _rooted(postings, groups)
     open_ = written(rooted.join(spread, "token"))
+    discard()
     weight = open_.groupBy("rep").agg(F.sum("n").alias("weight"))
     hubs = open_.join(weight, "rep").groupBy("token").agg(F.max(F.struct("weight", "rep", "root")).alias("hub"))
     met = open_.join(hubs, "token").where(F.col("root") != F.col("hub.root")).select("rep", F.col("hub.rep").alias("at"))
@@ -171,6 +199,7 @@ def missed(texts: DataFrame, postings: DataFrame, early: DataFrame, similarity:
     between = rooted.join(spread.select("token", cells.alias("cells")), "token")
     about = texts.select("rep", "size", "own", "shingles", "bits")
     open_ = written(between.join(about, "rep").withColumn("pos", (F.array_position("shingles", F.col("token")) - 1).cast("int")).drop("shingles"))
+    discard()
     x = open_.where("pos < own").select("token", F.pmod(F.xxhash64("rep", "size"), F.col("cells")).cast("int").alias("cell"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("m"), F.col("pos").alias("i"), F.col("bits").alias("x_bits"))
     y = open_.select(F.col("token").alias("y_token"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("y_cell"), F.col("rep").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("n"), F.col("pos").alias("j"), F.col("bits").alias("y_bits"))
     # x is the smaller set; past the place where they meet first there must be enough left of both.
@@ -189,33 +218,34 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _members(keys: DataFrame) -> DataFrame:
-    """bucket, cells: bitmaps of 32,768 bits that hold a bit for each row of keys(key), of 16 bits a row in all."""
-    cells = 16 * max(1, keys.count())
+    """bucket, cells: bitmaps of 32,768 bits that hold a bit for each row of keys(key), of 64 bits a row in all."""
+    cells = 64 * max(1, keys.count())
     at = F.pmod("key", F.lit(cells))
     return keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"), F.lit(cells).alias("of")).groupBy("bucket", "of").agg(F.bitmap_construct_agg("bit").alias("cells"))
 
 
 def _maybe(rows: DataFrame, key: Column, members: DataFrame) -> DataFrame:
-    """rows whose key is among members, and about one in 16 of the others; rows are not shuffled."""
+    """rows whose key is among members, and about one in 64 of the others; rows are not shuffled."""
     of = members.select("of").first()
     if of is None:
         return rows.limit(0)
     at = F.pmod(key, F.lit(of["of"]))
     bit = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring(F.col("cells"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = rows.join(F.broadcast(members.select("bucket", "cells")), F.bitmap_bucket_number(at) == F.col("bucket"))  # two bytes a member
+    held = rows.join(F.broadcast(members.select("bucket", "cells")), F.bitmap_bucket_number(at) == F.col("bucket"))  # eight bytes a member
     return held.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*rows.columns)
 
 
 def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The written pairs (a, b) whose sets of shingles have the similarity. docs(doc_id, digest_a, text).
 
-    Texts stay where they are read: bitmaps tell, but for some too many, which ones the pairs need, so that only the
-    sets of these are shuffled.
+    Wide bitmaps leave few pairs that are not alike. Texts stay where they are read: bitmaps tell, but for some too
+    many, which ones these pairs need, so that only the sets of these are shuffled.
     """
-    digest = texts.select(F.col("rep").alias("of"), F.col("digest_a").alias("digest"))
-    marked = pairs.join(digest.select(F.col("of").alias("a"), F.col("digest").alias("a_digest")), "a").join(digest.select(F.col("of").alias("b"), F.col("digest").alias("b_digest")), "b")
-    marked = written(marked.select("a", "a_digest", "b", "b_digest"))
+    wide = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
+    left, right = (texts.select(F.col("rep").alias(k), F.col("digest_a").alias(f"{k}_digest"), F.col("size").alias(m), wide.alias(x)) for k, m, x in ("amx", "bny"))
+    both = pairs.join(left, "a").join(right, "b").where(_sizes_can_be(F.col("m"), F.col("n"), similarity))
+    marked = written(both.where(_wide_apart(F.col("x"), F.col("y")) <= _most_apart(F.col("m"), F.col("n"), similarity)).select("a", "a_digest", "b", "b_digest"))
     key = lambda i, d: F.xxhash64(F.lit(3), i, d)
     members = written(_members(marked.select(key("a", "a_digest").alias("key")).union(marked.select(key("b", "b_digest"))).distinct()))
     own = _maybe(docs.select("doc_id", "digest_a", "text"), key("doc_id", "digest_a"), members)
@@ -244,6 +274,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     first = Window.partitionBy("digest_a", "digest_b").orderBy(F.col("doc_id").asc_nulls_last())
     sketched = plain.select("doc_id", "digest_a", "digest_b", sketch(F.col("text"), common, shingle, similarity).alias("sketch"))
     texts = written(sketched.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(F.col("doc_id").alias("rep"), "digest_a", "digest_b", "sketch.*"))
+    discard()
     live = texts.where("rep is not null")
     # Common shingles are taken for shared; the postings of others are small, so that a window may count them.
     of_token = Window.partitionBy("token")
@@ -274,8 +305,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     """
     a, b, k_id, k_a, k_b = (fresh(docs, c) for c in ("own_digest_a", "own_digest_b", "kept_id", "kept_a", "kept_b"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    groups = near_copies(docs, doc_id, text, **how)
+    with tables_written() as tables:
+        groups = near_copies(docs, doc_id, text, **how)
     kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(k_id), F.col("digest_a").alias(k_a), F.col("digest_b").alias(k_b)).agg(F.count(F.lit(1)).alias("n_rows")))
+    discard(*tables)
     rows = docs.withColumn(a, F.xxhash64(whole)).withColumn(b, F.xxhash64(F.lit(1), whole))
     stay = rows.join(kept.drop("n_rows"), (F.col(a) == F.col(k_a)) & (F.col(b) == F.col(k_b)) & F.col(doc_id).eqNullSafe(F.col(k_id)), "left_semi")
     if not kept.where("n_rows > 1").isEmpty():

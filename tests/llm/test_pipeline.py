@@ -33,3 +33,18 @@ def test_registered():
     names = list(__spark_entry__.queries())
     assert [f"op{n}" for n in range(1, 14)] == [x.split("_")[0] for x in names if x[:2] == "op" and x[2].isdigit()]
     assert "pipeline" in names
+
+
+def test_stages_leave_no_scratch_tables(spark, sf_dir, monkeypatch):
+    """Once a stage's rows are written, neither the rows before it nor its other tables are needed."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(corpus_pipeline.written(docs.where("doc_id % 2 = 0")))
+        return seen[-1].select("doc_id", "text")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", lambda spark, docs, sf_dir: docs)])
+    with corpus_pipeline.tables_written() as tables:
+        rows = corpus_pipeline.run(spark, sf_dir).count()
+    there = [t for t in tables if (p := spark._jvm.org.apache.hadoop.fs.Path(t._scratch)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    assert rows and len(tables) == 4 and [t._scratch for t in there] == [tables[-1]._scratch]

@@ -179,3 +179,45 @@ def test_few_links_need_no_rounds(spark, monkeypatch, few):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: r for n, r in roots({n for e in edges for n in e}, edges).items() if n != r}
     assert (len(tables) == 2) == (few > 0)
+
+
+def test_long_texts_that_share_a_passage_are_put_aside_by_bitmaps(spark, monkeypatch):
+    """Sets of shingles are read for near copies only, not for every two long texts with a passage in common."""
+    rng = random.Random(7)
+    rows = [(i, " ".join([*(f"passage{i // 2}_{k}" for k in range(60)), *(f"w{rng.randrange(10**6)}" for _ in range(1500 + i))])) for i in range(30)]
+    rows.append((100, rows[3][1].replace(" passage1_7 ", " other ")))
+    compared = []
+
+    def written(df):
+        table = near_copies.written.real(df)
+        if "a_digest" in df.columns:
+            compared.append({(r.a, r.b) for r in table.collect()})
+        return table
+
+    written.real = near_copies.written
+    monkeypatch.setattr(near_copies, "written", written)
+    _against_brute_force(spark, rows)
+    assert len(compared) == 3 and set().union(*compared) == {(3, 100)}
+
+
+def test_wide_bitmaps_are_folded(spark):
+    rng = np.random.default_rng(1)
+    shingles = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (600, 1100, 2040)]
+    parity = lambda h, cells: np.packbits((np.bincount((h % np.uint64(cells)).astype(int), minlength=cells) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    cells = [1024, 2048, 2048]
+    for i in range(3):
+        for j in range(3):
+            x, y = parity(shingles[i], cells[i]), parity(shingles[j], cells[j])
+            least = min(cells[i], cells[j])
+            want = sum((int(v) & (2**64 - 1)).bit_count() for v in parity(shingles[i], least) ^ parity(shingles[j], least))
+            df = spark.createDataFrame([(x.tolist(), y.tolist())], "x array<long>, y array<long>")
+            assert df.select(near_copies._wide_apart(F.col("x"), F.col("y"))).first()[0] == want
+
+
+def test_scratch_tables_of_near_copies_are_deleted(spark, odd):
+    """Of all tables that are written on the way, what is returned reads one."""
+    with near_copies.tables_written() as tables:
+        kept = near_copies.one_of_each(odd)
+        n = kept.count()
+    there = [t for t in tables if (p := spark._jvm.org.apache.hadoop.fs.Path(t._scratch)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    assert n and len(tables) > 10 and [t.columns for t in there] == [["kept_id", "kept_a", "kept_b", "n_rows"]]
