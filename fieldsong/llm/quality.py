@@ -25,6 +25,8 @@ FIT_DOCS = 1500
 DIMENSIONS, NEIGHBOURS = 48, 25
 THRESHOLD = 0.3
 BLOCK = 256
+#: Documents of a block that are held in doubles at once.
+SLAB = 64
 #: Bytes that are read at once; the terms do not depend on it.
 RUN = 1 << 17
 
@@ -47,6 +49,8 @@ FIRST_GRAM = FIRST_WORD + WORDS
 TERMS = FIRST_GRAM + GRAMS
 #: Cosines are compared to so many places; of equal ones the labelled document with the smaller id votes first.
 PLACES = 6
+#: Scores are given to so many places.
+SCORE_PLACES = 9
 
 
 class Model(NamedTuple):
@@ -128,11 +132,13 @@ class Sample(NamedTuple):
 
 
 def project(x: np.ndarray, weights: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    return _unit((x * weights) @ axes)
+    """Unit vectors of damped terms, in doubles: what is left of the other texts in a block, by the order in which products are summed, is far below PLACES."""
+    wide = axes.astype(np.float64)
+    return _unit(np.concatenate([(x[a : a + SLAB] * weights).astype(np.float64) @ wide for a in range(0, len(x), SLAB)]))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(v.dtype)
 
 
 def leading(sample: Sample, weights: np.ndarray, n: int, rounds: int = 4, seed: int = 1) -> np.ndarray:
@@ -172,7 +178,7 @@ def parting(scores: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> float
 def score_block(model: Model, x: np.ndarray) -> np.ndarray:
     if not len(model.vectors):
         return np.full(len(x), model.prior)
-    return voted(model, project(x, model.weights, model.axes)) ** model.power
+    return np.round(voted(model, project(x, model.weights, model.axes)) ** model.power, SCORE_PLACES)
 
 
 def voted(model: Model, v: np.ndarray, leave: np.ndarray | None = None) -> np.ndarray:

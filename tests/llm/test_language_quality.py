@@ -141,3 +141,17 @@ def test_repeated_and_long_texts(spark):
     model = language.fit([("aa", ["ab", "cd"] * 30), ("bb", ["xy", "zz"] * 30)])
     found = [(r.doc_id, r.lang_pred) for r in language.identify(docs, model).collect()]
     assert sorted(found) == [(1, "aa"), (1, "aa"), (2, "bb"), (2, "bb"), (3, "und")]
+
+
+def test_scores_do_not_depend_on_the_block():
+    """A text's score is the same number alone, among a few and among many."""
+    rng = np.random.default_rng(4)
+    counts = np.stack([quality.terms_of(t.encode()) for _, t, _ in made(300, 6)])
+    pool = rng.normal(size=(quality.TERMS, 48)).astype(np.float32)
+    weights = rng.uniform(1, 8, quality.TERMS).astype(np.float32)
+    x = quality.damped(counts)
+    vectors = quality._unit((x * weights) @ pool)
+    model = quality.Model(weights, pool, vectors, rng.integers(0, 2, 300), rng.uniform(1, 3, 300), 0.5, 0.7)
+    whole = quality.score_block(model, x)
+    for size in (1, 2, 3, 7, 64, 100):
+        assert np.array_equal(np.concatenate([quality.score_block(model, x[a : a + size]) for a in range(0, len(x), size)]), whole)
